@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from flightlag.functions.numeric import floor_at_zero, ratio, round_to
 from flightlag.operators import scorecard as sc
 
+# Predicted minutes are summed in millionths: floors are interpolated.
+PLACES = 6
+
 
 def handed_on(added: int = 0) -> Column:
     """Delay passed to the next leg had the turn held ``added`` more minutes."""
@@ -29,8 +32,8 @@ def buffer_curve(legs: DataFrame, keys: Sequence[str], added: int = 10) -> DataF
         keys,
         [
             sc.rows("turns"),
-            sc.total("predicted_base", handed_on()),
-            sc.total("predicted_with_buffer", handed_on(added)),
+            sc.total("predicted_base", handed_on(), PLACES),
+            sc.total("predicted_with_buffer", handed_on(added), PLACES),
         ],
     )
     return curve.withColumn(
@@ -46,12 +49,15 @@ def simulate_buffer(
     tight_minutes: int = 15,
     min_turns: int = 2000,
 ) -> DataFrame:
-    """Per carrier and station: turn medians, what-if savings, efficiency, cost."""
+    """Per carrier and station: turn medians, what-if savings, efficiency, cost.
+
+    The benchmark level follows from carrier and station, so it is a key as well.
+    """
     slack = F.col("turn_slack_minutes")
     turns = legs.filter("is_continuation").withColumnRenamed("origin", "airport_code")
     figures = sc.scorecard(
         turns,
-        ["carrier", "airport_code"],
+        ["carrier", "airport_code", "benchmark_level"],
         [
             sc.rows("turns"),
             sc.quantile("median_sched_turn_minutes", F.col("sched_turn_minutes"), 0.5, digits=0),
@@ -59,9 +65,8 @@ def simulate_buffer(
             sc.quantile("median_slack_minutes", slack, 0.5, digits=0),
             sc.share("tight_turn_pct", slack < tight_minutes, digits=1),
             sc.total("actual_inherited_minutes", F.col("inherited_delay_minutes")),
-            sc.total("_base", handed_on()),
-            *[sc.total(f"_with_{n}", handed_on(n)) for n in added],
-            sc.largest("benchmark_level", F.col("benchmark_level")),
+            sc.total("_base", handed_on(), PLACES),
+            *[sc.total(f"_with_{n}", handed_on(n), PLACES) for n in added],
         ],
         min_rows=min_turns,
     )

@@ -25,16 +25,16 @@ def islands(
     """
     upto = seq.window().rowsBetween(Window.unboundedPreceding, 0)
     after = seq.reversed_window().rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*seq.keys)
     start = F.when(~continues, F.col(seq_name))
     rows = seq.rows.withColumn("_start", start).withColumns(
         {
             "_starts": F.count("_start").over(upto),
             "_first": F.max("_start").over(upto),
             "_next": F.min("_start").over(after),
-            "_last": F.max(seq_name).over(whole),
+            "_left": F.row_number().over(seq.reversed_window()),
         }
     )
+    rows = rows.withColumn("_last", F.col(seq_name) + F.col("_left") - 1)
     if seq.chunks is not None:
         per_chunk = (
             seq.split_rows()
@@ -80,5 +80,5 @@ def islands(
                 F.coalesce(F.col("_next"), F.col("_last") + 1) - F.col("_first") - 1
             ).cast("long"),
         }
-    ).drop("_start", "_starts", "_first", "_next", "_last")
+    ).drop("_start", "_starts", "_first", "_next", "_left", "_last")
     return seq.with_rows(rows)

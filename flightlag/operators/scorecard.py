@@ -8,13 +8,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlag.functions.numeric import percent, ratio, round_to
+from flightlag.functions.numeric import from_units, rate, ratio, round_to, whole_units
 from flightlag.operators.benchmark import interpolated
 
 
 @dataclass(frozen=True)
 class Measure:
-    """One output column. ``where`` limits the rows it looks at."""
+    """One output column. ``where`` limits the rows it looks at.
+
+    ``places`` says the value is a decimal number of that many places: it is then
+    summed in whole units, so the sum is exact and does not depend on the order
+    in which tasks deliver it.
+    """
 
     name: str
     kind: str
@@ -22,17 +27,19 @@ class Measure:
     where: Column | None = None
     digits: int | None = None
     p: float | None = None
+    places: int | None = None
 
     def input(self) -> Column:
-        return self.value if self.where is None else F.when(self.where, self.value)
+        value = self.value if self.places is None else whole_units(self.value, self.places)
+        return value if self.where is None else F.when(self.where, value)
 
 
 def rows(name: str) -> Measure:
     return Measure(name, "rows")
 
 
-def total(name: str, value: Column) -> Measure:
-    return Measure(name, "total", value)
+def total(name: str, value: Column, places: int | None = None) -> Measure:
+    return Measure(name, "total", value, places=places)
 
 
 def tally(name: str, flag: Column) -> Measure:
@@ -45,8 +52,14 @@ def share(name: str, flag: Column, digits: int | None = None) -> Measure:
     return Measure(name, "share", flag.cast("int"), digits=digits)
 
 
-def mean(name: str, value: Column, where: Column | None = None, digits: int | None = None) -> Measure:
-    return Measure(name, "mean", value, where, digits)
+def mean(
+    name: str,
+    value: Column,
+    where: Column | None = None,
+    digits: int | None = None,
+    places: int | None = None,
+) -> Measure:
+    return Measure(name, "mean", value, where, digits, places=places)
 
 
 def quantile(
@@ -82,9 +95,13 @@ def scorecard(
     keys = list(keys)
     points: dict[str, Column] = {}
     sums: dict[str, Column] = {"_rows": F.count("*")}
+    point_of: dict[int, str] = {}
+    names: dict[str, str] = {}
     for i, m in enumerate(measures):
         if m.kind in ("quantile", "distinct"):
-            points[f"_p{i}"] = m.input()
+            # Quantiles of one input share its histogram.
+            point_of[i] = names.setdefault(str(m.input()), f"_p{i}")
+            points[point_of[i]] = m.input()
         elif m.kind in ("total", "mean", "share"):
             sums[f"_s{i}"] = F.sum(m.input())
             if m.kind != "total":
@@ -103,24 +120,28 @@ def scorecard(
             merged.append(merge(name).alias(name))
         for i, m in enumerate(measures):
             if m.kind == "quantile":
-                merged.append(interpolated(F.col(f"_p{i}"), m.p, F.col("_rows")).alias(f"_q{i}"))
+                merged.append(interpolated(F.col(point_of[i]), m.p, F.col("_rows")).alias(f"_q{i}"))
             elif m.kind == "distinct":
-                merged.append(F.count_distinct(f"_p{i}").alias(f"_q{i}"))
+                merged.append(F.count_distinct(point_of[i]).alias(f"_q{i}"))
         grouped = grouped.groupBy(*keys).agg(*merged)
     if min_rows is not None:
         grouped = grouped.filter(F.col("_rows") >= min_rows)
     return grouped.select(*keys, *[_finish(i, m).alias(m.name) for i, m in enumerate(measures)])
 
 
+def _sum(i: int, m: Measure) -> Column:
+    return F.col(f"_s{i}") if m.places is None else from_units(F.col(f"_s{i}"), m.places)
+
+
 def _finish(i: int, m: Measure) -> Column:
     if m.kind == "rows":
         return F.col("_rows")
     if m.kind == "share":
-        out = percent(F.col(f"_s{i}"), F.col(f"_n{i}"))
+        out = rate(F.col(f"_s{i}"), F.col(f"_n{i}"))
     elif m.kind == "mean":
-        out = ratio(F.col(f"_s{i}"), F.col(f"_n{i}"))
+        out = ratio(_sum(i, m), F.col(f"_n{i}"))
     elif m.kind in ("quantile", "distinct"):
         out = F.col(f"_q{i}")
     else:
-        out = F.col(f"_s{i}")
+        out = _sum(i, m)
     return out if m.digits is None else round_to(out, m.digits)

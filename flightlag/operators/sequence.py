@@ -143,6 +143,19 @@ def neighbour(seq: Chunked, value: Column, name: str, following: bool = False) -
     return seq.with_rows(rows)
 
 
+def per_entity(seq: Chunked, figures: dict[str, Column]) -> Chunked:
+    """Aggregates of the whole entity on each of its rows.
+
+    A window reuses the rows' partitioning; cut entities are aggregated, where
+    map tasks combine, and joined.
+    """
+    if seq.chunks is None:
+        whole = Window.partitionBy(*seq.entity)
+        return seq.with_rows(seq.rows.withColumns({n: f.over(whole) for n, f in figures.items()}))
+    totals = seq.rows.groupBy(*seq.entity).agg(*[f.alias(n) for n, f in figures.items()])
+    return seq.with_rows(seq.rows.join(totals, list(seq.entity), "left"))
+
+
 def sequence_entities(
     df: DataFrame,
     entity: Sequence[str],
@@ -155,8 +168,19 @@ def sequence_entities(
 ) -> Chunked:
     """Number the rows of every entity and bring columns of the previous row along."""
     seq = cut_sequences(df, entity, at, order, max_rows)
-    seq = number_rows(seq, seq_name)
-    seq = neighbour(seq, F.struct(*[F.col(c) for c in carry]), "_previous")
+    carried = F.struct(*[F.col(c) for c in carry])
+    if seq.chunks is None:
+        window = seq.window()
+        seq = seq.with_rows(
+            seq.rows.withColumns(
+                {
+                    seq_name: F.row_number().over(window).cast("long"),
+                    "_previous": F.lag(carried).over(window),
+                }
+            )
+        )
+    else:
+        seq = neighbour(number_rows(seq, seq_name), carried, "_previous")
     rows = seq.rows.withColumns(
         {f"{prefix}{c}": F.col(f"_previous.{c}") for c in carry}
     ).drop("_previous")

@@ -8,28 +8,38 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlag.functions.numeric import open_bucket, pearson, percent, ratio
+from flightlag.functions.numeric import from_units, open_bucket, pearson, percent, rate, ratio, whole_units
 from flightlag.operators import scorecard as sc
+from flightlag.operators.benchmark import interpolated
 from flightlag.operators.buffer import buffer_curve
 from flightlag.settings import Settings
 
 
+def few(value: str | Column) -> Column:
+    """Exact distinct count of something with few values (carriers, months).
+
+    The set is combined in map tasks; unlike several distinct counts in one
+    aggregation it does not multiply the rows.
+    """
+    return F.size(F.collect_set(value)).cast("long")
+
+
 def scope(flights: DataFrame) -> DataFrame:
-    """Size of the data and the headline rates, in one pass."""
+    """Size of the data and the headline rates."""
     done = F.col("completed")
+    airframes = flights.agg(F.count_distinct("tail_number")).scalar()
     return flights.agg(
         F.count("*").alias("flights"),
-        F.count_distinct("carrier").alias("carriers"),
-        F.count_distinct("origin").alias("airports"),
-        F.count_distinct("tail_number").alias("airframes"),
+        few("carrier").alias("carriers"),
+        few("origin").alias("airports"),
         F.min("flight_date").alias("first_day"),
         F.max("flight_date").alias("last_day"),
-        percent(F.sum(F.col("is_on_time_a14").cast("int")), F.count("is_on_time_a14")).alias("a14_pct"),
-        percent(F.sum(done.cast("int")), F.count("*")).alias("completion_pct"),
-        percent(F.sum(F.col("cancelled").cast("int")), F.count("*")).alias("cancellation_pct"),
+        rate(F.sum(F.col("is_on_time_a14").cast("int")), F.count("is_on_time_a14")).alias("a14_pct"),
+        rate(F.sum(done.cast("int")), F.count("*")).alias("completion_pct"),
+        rate(F.sum(F.col("cancelled").cast("int")), F.count("*")).alias("cancellation_pct"),
         F.avg(F.when(done, F.col("arr_delay"))).alias("mean_arr_delay"),
-        F.percentile(F.when(done, F.col("arr_delay")), 0.90).alias("p90_arr_delay"),
-    )
+        interpolated(F.when(done, F.col("arr_delay")), 0.90).alias("p90_arr_delay"),
+    ).withColumn("airframes", airframes)
 
 
 def inherited_share(flights: DataFrame, cost: Column) -> DataFrame:
@@ -53,7 +63,9 @@ def model_validation(legs: DataFrame, late_from: int = 15) -> DataFrame:
     predicted, reported = F.col("predicted_inherited_minutes"), F.col("inherited_delay_minutes")
     return legs.filter(F.col("is_continuation") & (F.col("prev_arr_delay") > late_from)).agg(
         F.count("*").alias("turns"),
-        F.avg(predicted).alias("mean_predicted"),
+        ratio(from_units(F.sum(whole_units(predicted, 6)), 6), F.count(predicted)).alias(
+            "mean_predicted"
+        ),
         F.avg(reported).alias("mean_reported"),
         pearson(predicted, reported.cast("double")).alias("correlation"),
     )
@@ -102,7 +114,7 @@ def cascade_by_hour(cascades: DataFrame, first: int = 5, last: int = 22) -> Data
             sc.rows("roots"),
             sc.mean("legs", F.col("downstream_legs")),
             sc.mean("minutes", F.col("downstream_delay_minutes")),
-            sc.mean("amplification", F.col("amplification_ratio")),
+            sc.mean("amplification", F.col("amplification_ratio"), places=2),
         ],
     )
 
@@ -117,37 +129,33 @@ def buffer_by_hour(legs: DataFrame, added: int = 10, first: int = 5, last: int =
 
 def _extreme(value: str, pick: str = "max") -> Column:
     """Hour of the extreme; of equal hours the earliest."""
+    known = F.col(value).isNotNull()
     if pick == "max":
-        return F.max_by("hour", F.struct(F.col(value), -F.col("hour")))
-    return F.min_by("hour", F.struct(F.col(value), F.col("hour")))
+        return F.max_by("hour", F.when(known, F.struct(F.col(value), -F.col("hour"))))
+    return F.min_by("hour", F.when(known, F.struct(F.col(value), F.col("hour"))))
 
 
 def hour_extremes(damage: DataFrame, repair: DataFrame) -> DataFrame:
-    """Peaks and troughs of both curves: one row each from at most 24 hours."""
-    known = damage.filter("amplification IS NOT NULL")
-    peak = damage.agg(
-        _extreme("legs").alias("peak_hour"),
-        _extreme("legs", "min").alias("trough_hour"),
-        ratio(F.max("legs"), F.min("legs")).alias("peak_to_trough"),
-    )
-    amplified = known.agg(
-        _extreme("amplification").alias("amplification_hour"),
-        F.max("amplification").alias("peak_amplification"),
-    )
-    best = repair.agg(
-        _extreme("efficiency").alias("best_buffer_hour"),
-        F.max("efficiency").alias("best_efficiency"),
-        F.avg(F.when(F.col("hour") <= 8, F.col("efficiency"))).alias("morning_efficiency"),
-    )
-    at_best = (
-        damage.join(best.select(F.col("best_buffer_hour").alias("hour")), "hour", "left_semi")
-        .select(F.col("amplification").alias("amplification_at_best"))
-    )
-    one = peak.withColumns(
-        {c: amplified.select(c).scalar() for c in amplified.columns}
-        | {c: best.select(c).scalar() for c in best.columns}
+    """Peaks and troughs of both curves, from one row per hour."""
+    by_hour = F.map_from_entries(F.collect_list(F.struct("hour", "amplification")))
+    return (
+        damage.join(repair, "hour", "full_outer")
+        .agg(
+            _extreme("legs").alias("peak_hour"),
+            _extreme("legs", "min").alias("trough_hour"),
+            ratio(F.max("legs"), F.min("legs")).alias("peak_to_trough"),
+            _extreme("amplification").alias("amplification_hour"),
+            F.max("amplification").alias("peak_amplification"),
+            _extreme("efficiency").alias("best_buffer_hour"),
+            F.max("efficiency").alias("best_efficiency"),
+            F.avg(F.when(F.col("hour") <= 8, F.col("efficiency"))).alias("morning_efficiency"),
+            by_hour.alias("_by_hour"),
+        )
+        .withColumn(
+            "amplification_at_best", F.try_element_at("_by_hour", F.col("best_buffer_hour"))
+        )
+        .drop("_by_hour")
     )
-    return one.withColumn("amplification_at_best", at_best.scalar())
 
 
 def prevention_value(cascades: DataFrame, cost: Column, settings: Settings = Settings()) -> DataFrame:
@@ -159,7 +167,10 @@ def prevention_value(cascades: DataFrame, cost: Column, settings: Settings = Set
         cascades.filter(F.col("root_dep_hour_local").between(first, last))
         .agg(
             F.sum("root_controllable_minutes").alias("controllable_minutes"),
-            F.avg("amplification_ratio").alias("mean_amplification"),
+            ratio(
+                from_units(F.sum(whole_units(F.col("amplification_ratio"), 2)), 2),
+                F.count("amplification_ratio"),
+            ).alias("mean_amplification"),
         )
         .withColumn("network_minutes_saved", saved)
         .withColumn(
@@ -170,7 +181,9 @@ def prevention_value(cascades: DataFrame, cost: Column, settings: Settings = Set
 
 
 def _weighted(rate: str, weight: str) -> Column:
-    return ratio(F.sum(F.col(weight) * F.col(rate)), F.sum(weight))
+    """Mean of a rate of two places, weighted by a count."""
+    units = F.sum(F.col(weight) * whole_units(F.col(rate), 2))
+    return ratio(from_units(units, 2), F.sum(weight))
 
 
 def _inherited_pct() -> Column:
@@ -230,8 +243,8 @@ def event_vs_control(
     own = F.col("carrier") == carrier
     lost = F.col("cancelled").cast("int")
     days = window.groupBy("flight_date").agg(
-        percent(F.sum(F.when(own, lost)), F.count(F.when(own, lost))).alias("event_pct"),
-        percent(F.sum(F.when(~own, lost)), F.count(F.when(~own, lost))).alias("control_pct"),
+        rate(F.sum(F.when(own, lost)), F.count(F.when(own, lost))).alias("event_pct"),
+        rate(F.sum(F.when(~own, lost)), F.count(F.when(~own, lost))).alias("control_pct"),
     )
     peak = days.agg(
         F.max_by("flight_date", F.struct("event_pct", -F.unix_date("flight_date")))

@@ -514,9 +514,7 @@ on_warehouse("worst_cascade_days", lambda wh: explore.worst_cascade_days(
 on_warehouse("rotation_timeline", lambda wh: explore.rotation_timeline(
     wh.rotation_leg(), wh.settings
 ))
-on_warehouse("cascade_start", lambda wh: explore.cascade_start(
-    explore.rotation_timeline(wh.rotation_leg(), wh.settings)
-))
+on_warehouse("cascade_start", lambda wh: explore.cascade_start(wh.rotation_leg(), wh.settings))
 on_warehouse("rotation_breaks", lambda wh: explore.rotation_breaks(wh.rotation_leg()))
 on_warehouse("station_opportunities", lambda wh: explore.station_opportunities(
     wh.turn_slack_opportunity(), NARROWED, wh.settings.opportunity_rows

@@ -11,7 +11,7 @@ from flightlag.functions.clock import month_first
 from flightlag.functions.numeric import percent
 from flightlag.operators import scorecard as sc
 from flightlag.operators.filters import Slice
-from flightlag.operators.sequence import cut_sequences, number_rows
+from flightlag.operators.sequence import Chunked, cut_sequences, number_rows, per_entity
 from flightlag.plans.analyses import buffer_by_hour, cascade_by_hour
 from flightlag.settings import Settings
 
@@ -139,14 +139,18 @@ def one_aircraft_day(legs: DataFrame, tail: str, day: dt.date) -> DataFrame:
     return Slice(date_from=day, date_to=day).apply(legs).filter(F.col("tail_number") == tail)
 
 
-def rotation_timeline(legs: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Each aircraft day as legs with minutes from its first planned departure."""
+def aircraft_days(legs: DataFrame, settings: Settings = Settings()) -> Chunked:
+    """Legs numbered within each aircraft day."""
     order = ["sched_dep_utc", *[c for c in settings.tie_break if c in legs.columns]]
-    seq = cut_sequences(
+    days = cut_sequences(
         legs.drop("leg_seq"), AIRCRAFT_DAY, "sched_dep_utc", order, settings.max_rows_per_sequence
     )
-    numbered = number_rows(seq, "leg_seq").drop_chunk()
-    first = legs.groupBy(*AIRCRAFT_DAY).agg(F.min("sched_dep_utc").alias("_base"))
+    return number_rows(days, "leg_seq")
+
+
+def rotation_timeline(legs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """Each aircraft day as legs with minutes from its first planned departure."""
+    days = per_entity(aircraft_days(legs, settings), {"_base": F.min("sched_dep_utc")})
 
     def minutes(end: str, start: str):
         return ((F.unix_seconds(end) - F.unix_seconds(start)) / F.lit(60)).cast("double")
@@ -154,7 +158,7 @@ def rotation_timeline(legs: DataFrame, settings: Settings = Settings()) -> DataF
     def hhmm(instant: str):
         return F.date_format(instant, "HH:mm")
 
-    return numbered.join(first, AIRCRAFT_DAY).select(
+    return days.rows.select(
         *AIRCRAFT_DAY,
         "leg_seq",
         "origin",
@@ -179,24 +183,26 @@ def rotation_timeline(legs: DataFrame, settings: Settings = Settings()) -> DataF
     )
 
 
-def cascade_start(timeline: DataFrame) -> DataFrame:
+def cascade_start(legs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """First inheriting leg of each aircraft day and the day's inherited total."""
     through = F.col("is_continuation") & (F.col("inherited_delay_minutes") > 0)
-    totals = timeline.groupBy(*AIRCRAFT_DAY).agg(
-        F.sum("inherited_delay_minutes").alias("day_inherited_minutes"),
-        F.min(F.when(through, F.col("leg_seq"))).alias("start_leg"),
+    days = per_entity(
+        aircraft_days(legs, settings),
+        {
+            "day_inherited_minutes": F.sum("inherited_delay_minutes"),
+            "start_leg": F.min(F.when(through, F.col("leg_seq"))),
+        },
     )
-    started = totals.filter(F.col("start_leg").isNotNull())
-    legs = timeline.select(
+    return days.rows.filter(F.col("leg_seq") == F.col("start_leg")).select(
         *AIRCRAFT_DAY,
-        F.col("leg_seq").alias("start_leg"),
+        "day_inherited_minutes",
+        "start_leg",
         "origin",
         "dest",
         "turn_slack_minutes",
         "sched_turn_minutes",
         "inherited_delay_minutes",
     )
-    return started.join(legs, [*AIRCRAFT_DAY, "start_leg"])
 
 
 def rotation_breaks(legs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def export_cascade_by_hour(cascades: DataFrame) -> DataFrame:
             sc.rows("root_delays"),
             sc.mean("avg_downstream_legs", F.col("downstream_legs"), digits=3),
             sc.mean("avg_downstream_minutes", F.col("downstream_delay_minutes"), digits=2),
-            sc.mean("avg_amplification", F.col("amplification_ratio"), digits=3),
+            sc.mean("avg_amplification", F.col("amplification_ratio"), digits=3, places=2),
             sc.total("total_cascade_minutes", F.col("total_cascade_minutes")),
             sc.total("_usd", F.col("total_cascade_cost_usd")),
         ],
@@ -48,7 +48,7 @@ def export_cascade_length(cascades: DataFrame) -> DataFrame:
         [
             sc.rows("cascades"),
             sc.mean("avg_downstream_minutes", F.col("downstream_delay_minutes"), digits=1),
-            sc.mean("avg_amplification", F.col("amplification_ratio"), digits=3),
+            sc.mean("avg_amplification", F.col("amplification_ratio"), digits=3, places=2),
         ],
     )
 

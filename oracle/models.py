@@ -281,6 +281,11 @@ INHERITED_PCT = (
     " / nullif(sum(root_delay_minutes) + sum(inherited_delay_minutes), 0)"
 )
 
+def exact_avg(column: str, places: int) -> str:
+    """Average summed in whole units of the last place."""
+    return f"(sum(CAST(round({column} * 1e{places}) AS BIGINT)) / 1e{places} / count({column}))"
+
+
 step("monthly", f"""
 SELECT m.*, carrier_name, carrier_type FROM (
   SELECT year, month, date_trunc('month', min(flight_date)) AS month_start, carrier,
@@ -353,7 +358,7 @@ WHERE root_delay_minutes > 0
 
 def passed_on(added: int) -> str:
     need = f"inbound - turn_slack_minutes - {added}"
-    return f"sum(if({need} > 0, {need}, 0))"
+    return f"(sum(CAST(round(if({need} > 0, {need}, 0) * 1e6) AS BIGINT)) / 1e6)"
 
 
 step("opportunities", f"""
@@ -373,9 +378,9 @@ JOIN airports a USING (airport_code) JOIN carriers k USING (carrier)
 WHERE turns >= 50
 """)
 
-step("damage", """
+step("damage", f"""
 SELECT root_dep_hour_local AS hour, count(*) AS roots, avg(downstream_legs) AS legs,
-       avg(downstream_delay_minutes) AS minutes, avg(amplification_ratio) AS amplification
+       avg(downstream_delay_minutes) AS minutes, {exact_avg('amplification_ratio', 2)} AS amplification
 FROM cascades WHERE root_dep_hour_local BETWEEN 5 AND 22 GROUP BY 1
 """)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from oracle import models  # noqa: F401  (defines the steps)
 from oracle.chain import answer
-from oracle.models import INHERITED_PCT, calendar_sql, floors_sql, pct, thanks_sql
+from oracle.models import INHERITED_PCT, calendar_sql, exact_avg, floors_sql, pct, thanks_sql
 
 ORACLES: dict[str, str] = {}
 
@@ -285,8 +285,8 @@ FROM (SELECT sum(root_delay_minutes)::BIGINT AS r, sum(inherited_delay_minutes):
 oracle(
     "model_validation",
     "i:turns d:mean_predicted,mean_reported,correlation",
-    """
-SELECT count(*) AS turns, avg(predicted_inherited_minutes) AS mean_predicted,
+    f"""
+SELECT count(*) AS turns, {exact_avg('predicted_inherited_minutes', 6)} AS mean_predicted,
        avg(inherited_delay_minutes) AS mean_reported,
        corr(predicted_inherited_minutes, inherited_delay_minutes) AS correlation
 FROM legs WHERE is_continuation AND prev_arr_delay > 15
@@ -332,14 +332,14 @@ FROM (SELECT first(hour ORDER BY legs DESC, hour) AS peak_hour, first(hour ORDER
 oracle(
     "prevention_value",
     "i:controllable_minutes d:mean_amplification,network_minutes_saved,usd_saved_per_year",
-    """
+    f"""
 SELECT c AS controllable_minutes, a AS mean_amplification, 0.2::DOUBLE * c * a AS network_minutes_saved,
        0.2::DOUBLE * c * a * 98.41::DOUBLE / 5 AS usd_saved_per_year
-FROM (SELECT sum(root_controllable_minutes) AS c, avg(amplification_ratio) AS a
+FROM (SELECT sum(root_controllable_minutes) AS c, {exact_avg('amplification_ratio', 2)} AS a
       FROM cascades WHERE root_dep_hour_local BETWEEN 5 AND 11)
 """,
 )
-WEIGHTED_A14 = "sum(scheduled_flights * on_time_arrival_pct) / sum(scheduled_flights)"
+WEIGHTED_A14 = "sum(scheduled_flights * CAST(round(on_time_arrival_pct * 100) AS BIGINT)) / 1e2 / sum(scheduled_flights)"
 RANKING = f"""
 SELECT carrier_name, carrier_type, sum(scheduled_flights) AS flights, {WEIGHTED_A14} AS a14_pct,
        {INHERITED_PCT} AS inherited_pct
@@ -356,8 +356,8 @@ WHERE carrier_name = 'Delta Air Lines' AND airport_code = 'ATL'
 """,
 )
 EVENT = f"""
-SELECT flight_date, avg(if(carrier = 'WN', 100.0 * cancelled::INT, NULL)) AS event_pct,
-       avg(if(carrier <> 'WN', 100.0 * cancelled::INT, NULL)) AS control_pct
+SELECT flight_date, 100.0 * avg(if(carrier = 'WN', cancelled::INT, NULL)) AS event_pct,
+       100.0 * avg(if(carrier <> 'WN', cancelled::INT, NULL)) AS control_pct
 FROM flights GROUP BY flight_date
 """
 oracle(
@@ -432,11 +432,11 @@ oracle(
     "export_cascade_by_hour",
     "i:dep_hour s:carrier,carrier_name,carrier_type i:root_delays d:avg_downstream_legs,"
     "avg_downstream_minutes,avg_amplification i:total_cascade_minutes d:total_cascade_cost_usd",
-    """
+    f"""
 SELECT root_dep_hour_local AS dep_hour, carrier, carrier_name, carrier_type, count(*) AS root_delays,
        round(avg(downstream_legs), 3) AS avg_downstream_legs,
        round(avg(downstream_delay_minutes), 2) AS avg_downstream_minutes,
-       round(avg(amplification_ratio), 3) AS avg_amplification,
+       round({exact_avg('amplification_ratio', 2)}, 3) AS avg_amplification,
        sum(total_cascade_minutes) AS total_cascade_minutes,
        round(sum(total_cascade_cost_usd), 0) AS total_cascade_cost_usd
 FROM cascades GROUP BY ALL
@@ -445,10 +445,10 @@ FROM cascades GROUP BY ALL
 oracle(
     "export_cascade_length",
     "i:cascade_length s:carrier_type i:cascades d:avg_downstream_minutes,avg_amplification",
-    """
+    f"""
 SELECT downstream_legs AS cascade_length, carrier_type, count(*) AS cascades,
        round(avg(downstream_delay_minutes), 1) AS avg_downstream_minutes,
-       round(avg(amplification_ratio), 3) AS avg_amplification
+       round({exact_avg('amplification_ratio', 2)}, 3) AS avg_amplification
 FROM cascades GROUP BY ALL
 """,
 )
@@ -475,7 +475,7 @@ def long_form(series: str, item: str, measures: dict[str, str], source: str) ->
     )
 
 
-META = """
+META = f"""
 SELECT * FROM
  (SELECT count(*) AS flights, count(DISTINCT carrier) AS carriers, count(DISTINCT origin) AS airports,
          count(DISTINCT tail_number) AS airframes, min(flight_date) AS lo, max(flight_date) AS hi,
@@ -483,7 +483,7 @@ SELECT * FROM
          100.0 * avg(cancelled::INT) AS lost, avg(arr_delay) AS mean_delay,
          quantile_cont(arr_delay, 0.9) AS p90, sum(root_delay_minutes)::DOUBLE AS r,
          sum(inherited_delay_minutes)::DOUBLE AS h FROM flights),
- (SELECT count(*) AS n, avg(predicted_inherited_minutes) AS p, avg(inherited_delay_minutes) AS q,
+ (SELECT count(*) AS n, {exact_avg('predicted_inherited_minutes', 6)} AS p, avg(inherited_delay_minutes) AS q,
          corr(predicted_inherited_minutes, inherited_delay_minutes) AS c
   FROM legs WHERE is_continuation AND prev_arr_delay > 15)
 """
@@ -591,7 +591,7 @@ FROM flights WHERE {BY_ORIGIN} GROUP BY 1
 )
 DAMAGE_SLICE = f"""
 SELECT root_dep_hour_local AS hour, count(*) AS roots, avg(downstream_legs) AS legs,
-       avg(downstream_delay_minutes) AS minutes, avg(amplification_ratio) AS amplification
+       avg(downstream_delay_minutes) AS minutes, {exact_avg('amplification_ratio', 2)} AS amplification
 FROM cascades WHERE root_dep_hour_local BETWEEN 5 AND 22 AND {NARROW.format(airport='root_origin')} GROUP BY 1
 """
 oracle("filtered_damage", HOURLY, DAMAGE_SLICE)
