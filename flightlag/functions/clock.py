@@ -18,9 +18,8 @@ def hhmm_hour(hhmm: Column, mode: str = "floor") -> Column:
 
 def hhmm_to_local(day: Column, hhmm: Column, mode: str = "floor") -> Column:
     """Wall-clock timestamp (no zone); 2400 is midnight of the next day."""
-    return day.cast("timestamp_ntz") + F.make_dt_interval(
-        hours=hhmm_hour(hhmm, mode), mins=hhmm % F.lit(100)
-    )
+    minutes = hhmm_hour(hhmm, mode) * F.lit(60) + hhmm % F.lit(100)
+    return F.timestamp_add("MINUTE", minutes, day.cast("timestamp_ntz"))
 
 
 def local_to_instant(local: Column, zone: Column) -> Column:
@@ -31,14 +30,16 @@ def local_to_instant(local: Column, zone: Column) -> Column:
     """
     wall = local.cast("timestamp")
     earlier = F.to_utc_timestamp(wall, zone)
-    later = earlier + F.expr("INTERVAL 1 HOUR")
+    later = plus_minutes(earlier, F.lit(60))
     return F.when(F.from_utc_timestamp(later, zone) == wall, later).otherwise(earlier)
 
 
 def plus_minutes(instant: Column, *minutes: Column) -> Column:
+    """Instant moved by whole minutes, in plain long arithmetic."""
+    micros = F.unix_micros(instant)
     for step in minutes:
-        instant = instant + F.make_dt_interval(mins=step)
-    return instant
+        micros = micros + step.cast("long") * F.lit(60_000_000)
+    return F.timestamp_micros(micros)
 
 
 def epoch_minute(instant: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlag.operators.sequence import CHUNK, Chunked
@@ -19,66 +19,74 @@ def islands(
     """Add the id, position and length of the run each row belongs to.
 
     The id counts the rows of the entity, up to and including this one, that do
-    not continue; it is unique within the entity. Position and length follow
-    from the numbers of the run's first row and of the next run's first row, so
-    a run is never gathered in one group and may cross chunks.
+    not continue; it is unique within the entity.
     """
     upto = seq.window().rowsBetween(Window.unboundedPreceding, 0)
-    after = seq.reversed_window().rowsBetween(Window.unboundedPreceding, -1)
     start = F.when(~continues, F.col(seq_name))
     rows = seq.rows.withColumn("_start", start).withColumns(
-        {
-            "_starts": F.count("_start").over(upto),
-            "_first": F.max("_start").over(upto),
-            "_next": F.min("_start").over(after),
-            "_left": F.row_number().over(seq.reversed_window()),
-        }
+        {"_starts": F.count("_start").over(upto), "_first": F.max("_start").over(upto)}
     )
-    rows = rows.withColumn("_last", F.col(seq_name) + F.col("_left") - 1)
-    if seq.chunks is not None:
-        per_chunk = (
-            seq.split_rows()
-            .groupBy(*seq.keys)
-            .agg(
-                F.count(start).alias("_c_starts"),
-                F.max(start).alias("_c_last_start"),
-                F.min(start).alias("_c_first_start"),
-                F.max(seq_name).alias("_c_last"),
-            )
-        )
-        by_chunk = Window.partitionBy(*seq.entity).orderBy(CHUNK)
-        before = by_chunk.rowsBetween(Window.unboundedPreceding, -1)
-        later = (
-            Window.partitionBy(*seq.entity)
-            .orderBy(F.col(CHUNK).desc())
-            .rowsBetween(Window.unboundedPreceding, -1)
-        )
-        carried = per_chunk.select(
-            *seq.keys,
-            F.sum("_c_starts").over(before).alias("_in_starts"),
-            F.max("_c_last_start").over(before).alias("_in_first"),
-            F.min("_c_first_start").over(later).alias("_in_next"),
-            F.max("_c_last").over(Window.partitionBy(*seq.entity)).alias("_in_last"),
-        )
-        rows = (
-            rows.join(carried, seq.keys, "left")
-            .withColumns(
-                {
-                    "_starts": F.col("_starts") + F.coalesce(F.col("_in_starts"), F.lit(0)),
-                    "_first": F.coalesce(F.col("_first"), F.col("_in_first")),
-                    "_next": F.coalesce(F.col("_next"), F.col("_in_next")),
-                    "_last": F.coalesce(F.col("_in_last"), F.col("_last")),
-                }
-            )
-            .drop("_in_starts", "_in_first", "_in_next", "_in_last")
-        )
+    if seq.chunks is None:
+        # Rows already come in the order of their runs, so this sort is a scan.
+        run = Window.partitionBy(*seq.entity, "_starts")
+        rows = rows.withColumn("_length", F.count("*").over(run) - 1)
+    else:
+        rows = _across_chunks(seq, rows, start, seq_name)
     rows = rows.withColumns(
         {
             id_name: F.col("_starts").cast("long"),
             position_name: (F.col(seq_name) - F.col("_first")).cast("long"),
-            length_name: (
-                F.coalesce(F.col("_next"), F.col("_last") + 1) - F.col("_first") - 1
-            ).cast("long"),
+            length_name: F.col("_length").cast("long"),
         }
-    ).drop("_start", "_starts", "_first", "_next", "_left", "_last")
+    ).drop("_start", "_starts", "_first", "_length")
     return seq.with_rows(rows)
+
+
+def _across_chunks(seq: Chunked, rows: DataFrame, start: Column, seq_name: str) -> DataFrame:
+    """Complete what a chunk knows of its runs by what its neighbours know.
+
+    The length follows from the numbers of the run's first row and of the next
+    run's first row, so a long run is never gathered in one group.
+    """
+    backwards = seq.reversed_window()
+    rows = rows.withColumns(
+        {
+            "_next": F.min("_start").over(backwards.rowsBetween(Window.unboundedPreceding, -1)),
+            "_last": F.col(seq_name) + F.row_number().over(backwards) - 1,
+        }
+    )
+    per_chunk = (
+        seq.split_rows()
+        .groupBy(*seq.keys)
+        .agg(
+            F.count(start).alias("_c_starts"),
+            F.max(start).alias("_c_last_start"),
+            F.min(start).alias("_c_first_start"),
+            F.max(seq_name).alias("_c_last"),
+        )
+    )
+    chunks = Window.partitionBy(*seq.entity)
+    before = chunks.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    later = chunks.orderBy(F.col(CHUNK).desc()).rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_chunk.select(
+        *seq.keys,
+        F.sum("_c_starts").over(before).alias("_in_starts"),
+        F.max("_c_last_start").over(before).alias("_in_first"),
+        F.min("_c_first_start").over(later).alias("_in_next"),
+        F.max("_c_last").over(chunks).alias("_in_last"),
+    )
+    return (
+        rows.join(carried, seq.keys, "left")
+        .withColumns(
+            {
+                "_starts": F.col("_starts") + F.coalesce(F.col("_in_starts"), F.lit(0)),
+                "_first": F.coalesce(F.col("_first"), F.col("_in_first")),
+                "_next": F.coalesce(F.col("_next"), F.col("_in_next")),
+                "_last": F.coalesce(F.col("_in_last"), F.col("_last")),
+            }
+        )
+        .withColumn(
+            "_length", F.coalesce(F.col("_next"), F.col("_last") + 1) - F.col("_first") - 1
+        )
+        .drop("_in_starts", "_in_first", "_in_next", "_in_last", "_next", "_last")
+    )

@@ -168,19 +168,14 @@ def sequence_entities(
 ) -> Chunked:
     """Number the rows of every entity and bring columns of the previous row along."""
     seq = cut_sequences(df, entity, at, order, max_rows)
-    carried = F.struct(*[F.col(c) for c in carry])
     if seq.chunks is None:
         window = seq.window()
-        seq = seq.with_rows(
-            seq.rows.withColumns(
-                {
-                    seq_name: F.row_number().over(window).cast("long"),
-                    "_previous": F.lag(carried).over(window),
-                }
-            )
-        )
-    else:
-        seq = neighbour(number_rows(seq, seq_name), carried, "_previous")
+        before = {f"{prefix}{c}": F.lag(c).over(window) for c in carry}
+        number = {seq_name: F.row_number().over(window).cast("long")}
+        return seq.with_rows(seq.rows.withColumns(number | before))
+    seq = neighbour(
+        number_rows(seq, seq_name), F.struct(*[F.col(c) for c in carry]), "_previous"
+    )
     rows = seq.rows.withColumns(
         {f"{prefix}{c}": F.col(f"_previous.{c}") for c in carry}
     ).drop("_previous")

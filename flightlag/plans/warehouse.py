@@ -12,7 +12,7 @@ from flightlag.plans import dimensions, facts, marts, staging
 from flightlag.session import pin_session, scratch_path
 from flightlag.settings import Settings
 from flightlag.sources.airports import with_overrides
-from flightlag.sources.reference import cost_assumptions, cost_per_minute
+from flightlag.sources.reference import cost_assumptions, cost_per_minute, one_row
 from flightlag.sources.tables import TableStore
 
 
@@ -59,7 +59,7 @@ class Warehouse:
         return self._table("feed", lambda: self._feed, ("year", "month"), compact=True)
 
     def stg_airport(self) -> DataFrame:
-        return self._table("stg_airport", lambda: with_overrides(self._airports), compact=True)
+        return self._table("stg_airport", lambda: with_overrides(self._airports))
 
     def stg_flight(self) -> DataFrame:
         """A view: only the fact and the dimensions' counts read it."""
@@ -75,25 +75,24 @@ class Warehouse:
 
     def airport_activity(self) -> DataFrame:
         return self._table(
-            "airport_activity", lambda: dimensions.airport_activity(self.feed()), compact=True
+            "airport_activity", lambda: dimensions.airport_activity(self.feed())
         )
 
     def dim_airport(self) -> DataFrame:
         return self._table(
             "dim_airport",
             lambda: dimensions.dim_airport(self.airport_activity(), self.stg_airport()),
-            compact=True,
         )
 
     def dim_carrier(self) -> DataFrame:
         return self._table(
-            "dim_carrier", lambda: dimensions.dim_carrier(self.feed()), compact=True
+            "dim_carrier", lambda: dimensions.dim_carrier(self.feed())
         )
 
     def days(self) -> DataFrame:
         if self._span is not None:
             first, last = self._span
-            span = self.spark.range(1).select(
+            span = one_row(self.spark).select(
                 F.lit(first).cast("date").alias("first_day"), F.lit(last).cast("date").alias("last_day")
             )
         else:
@@ -103,7 +102,7 @@ class Warehouse:
         return dimensions.calendar(span)
 
     def dim_date(self) -> DataFrame:
-        return self._table("dim_date", lambda: dimensions.dim_date(self.days()), compact=True)
+        return self._table("dim_date", lambda: dimensions.dim_date(self.days()))
 
     # ------------------------------------------------------------- facts
 
@@ -115,24 +114,23 @@ class Warehouse:
         )
 
     def rotation_links(self) -> DataFrame:
+        """Linked legs by month: one shuffle by aircraft, one to lay out the files."""
         return self._table(
-            "int_rotation_leg", lambda: facts.rotation_links(self.flight(), self.settings)
+            "int_rotation_leg",
+            lambda: facts.rotation_links(self.flight(), self.settings),
+            ("year", "month"),
+            compact=True,
         )
 
     def min_turn(self) -> DataFrame:
         return self._table(
             "ref_min_turn",
             lambda: facts.ref_min_turn(self.rotation_links(), self.settings),
-            compact=True,
         )
 
     def rotation_leg(self) -> DataFrame:
-        return self._table(
-            "fct_rotation_leg",
-            lambda: facts.fct_rotation_leg(self.rotation_links(), self.min_turn()),
-            ("year", "month"),
-            compact=True,
-        )
+        """A view: stored links joined to the short floor table, without a shuffle."""
+        return facts.fct_rotation_leg(self.rotation_links(), self.min_turn())
 
     # ------------------------------------------------------------- marts
 
@@ -140,14 +138,12 @@ class Warehouse:
         return self._table(
             "mart_carrier_monthly",
             lambda: marts.mart_carrier_monthly(self.flight(), self.dim_carrier()),
-            compact=True,
         )
 
     def airport_daily(self) -> DataFrame:
         return self._table(
             "mart_airport_daily",
             lambda: marts.mart_airport_daily(self.flight(), self.dim_airport(), self.dim_date()),
-            compact=True,
         )
 
     def route_reliability(self) -> DataFrame:
@@ -156,7 +152,6 @@ class Warehouse:
             lambda: marts.mart_route_reliability(
                 self.flight(), self.dim_airport(), self.dim_carrier(), self.settings.route_min_flights
             ),
-            compact=True,
         )
 
     def cascade(self) -> DataFrame:
@@ -165,7 +160,6 @@ class Warehouse:
             lambda: marts.mart_cascade(
                 self.rotation_leg(), self.dim_carrier(), self.cost(), self.settings
             ),
-            compact=True,
         )
 
     def turn_slack_opportunity(self) -> DataFrame:
@@ -174,7 +168,6 @@ class Warehouse:
             lambda: marts.mart_turn_slack_opportunity(
                 self.rotation_leg(), self.dim_airport(), self.dim_carrier(), self.cost(), self.settings
             ),
-            compact=True,
         )
 
     def models(self) -> dict[str, Callable[[], DataFrame]]:

@@ -22,6 +22,7 @@ def build_session(app: str = "flightlag", master: str | None = None, **conf: str
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.parquet.compression.codec": "zstd",
+        "spark.sql.parquet.outputTimestampType": "TIMESTAMP_MICROS",
         **conf,
     }
     for key, value in settings.items():
@@ -34,6 +35,8 @@ def pin_session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Plain longs with min/max statistics instead of INT96.
+    spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
     return spark
 
 

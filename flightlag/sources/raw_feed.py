@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flightlag.sources.reference import one_row
 from flightlag.sources.schema import FEED_COLUMNS, FEED_SCHEMA, cast_text, text_cell
 
 ENCODING = "ISO-8859-1"
@@ -66,7 +67,7 @@ def read_months(spark: SparkSession, root: str) -> DataFrame:
 
 def month_window(spark: SparkSession, first: dt.date, last: dt.date) -> DataFrame:
     """One row per month of the inclusive window."""
-    return spark.range(1).select(months_between(F.lit(first), F.lit(last)))
+    return one_row(spark).select(months_between(F.lit(first), F.lit(last)))
 
 
 def months_between(first: Column, last: Column) -> Column:
@@ -116,6 +117,6 @@ def ingest_new_months(typed: DataFrame, wanted_months: DataFrame, root: str) ->
 
 
 def empty_months(spark: SparkSession) -> DataFrame:
-    return spark.range(0).select(
+    return one_row(spark).filter("id < 0").select(
         F.col("id").cast("int").alias("year"), F.col("id").cast("int").alias("month")
     )

@@ -83,6 +83,11 @@ HOLIDAY_RULES = [
 THANKSGIVING_WINDOW = (-2, 4)
 
 
+def one_row(spark: SparkSession) -> DataFrame:
+    """A single row in a single partition, to start literal tables from."""
+    return spark.range(0, 1, 1, 1)
+
+
 def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
     """Literal rows as a table of known size, without a Python task."""
     fields = T.StructType.fromDDL(schema).fields
@@ -90,7 +95,7 @@ def inline_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Dat
         F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(row, fields)])
         for row in rows
     ]
-    return spark.range(1).select(F.inline(F.array(*records)))
+    return one_row(spark).select(F.inline(F.array(*records)))
 
 
 def carrier_lookup(spark: SparkSession) -> DataFrame:
