@@ -58,6 +58,16 @@ KEPT = [
     "month",
 ]
 
+# What is the same on every flown leg: neither shuffled nor stored with the rotation.
+SAME_WHEN_FLOWN = {
+    "cancelled": (False, "boolean"),
+    "diverted": (False, "boolean"),
+    "completed": (True, "boolean"),
+    "is_schedule_valid": (True, "boolean"),
+    "cancellation_code": (None, "string"),
+    "cancellation_reason": (None, "string"),
+}
+
 # What the rotation needs of the leg before.
 CARRIED = [
     "dest",
@@ -106,7 +116,7 @@ def rotation_links(flights: DataFrame, settings: Settings = Settings()) -> DataF
     on the links and the reported causes only, so they are found here rather than
     after the benchmark join.
     """
-    legs = flyable_legs(flights)
+    legs = flyable_legs(flights).drop(*SAME_WHEN_FLOWN)
     seq = sequence_entities(
         legs,
         ["tail_number"],
@@ -150,4 +160,5 @@ def ref_min_turn(links: DataFrame, settings: Settings = Settings()) -> DataFrame
 
 def fct_rotation_leg(links: DataFrame, min_turn: DataFrame) -> DataFrame:
     """Linked legs with slack and predicted inherited delay; no further windows."""
-    return propagate(links, min_turn)
+    same = {name: F.lit(value).cast(kind) for name, (value, kind) in SAME_WHEN_FLOWN.items()}
+    return propagate(links, min_turn).withColumns(same)

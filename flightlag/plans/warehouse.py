@@ -62,8 +62,28 @@ class Warehouse:
         return self._table("stg_airport", lambda: with_overrides(self._airports))
 
     def stg_flight(self) -> DataFrame:
-        """A view: only the fact and the dimensions' counts read it."""
-        return staging.stg_flight(self.feed(), self.stg_airport(), self.settings.clock)
+        """A view: only the flight fact reads it."""
+        return staging.stg_flight(
+            self.feed(), self.stg_airport(), self.settings.clock, self.zone_offsets()
+        )
+
+    def zone_offsets(self) -> DataFrame:
+        """Clock offsets of the zones in use, over the days of the feed.
+
+        Two days more, as a departure at 2400 or with a rounded hour is on the next.
+        """
+
+        def plan() -> DataFrame:
+            codes = self.airport_activity().select("airport_code")
+            used = self.stg_airport().join(codes, "airport_code", "left_semi")
+            span = self.feed().agg(
+                F.min("flight_date").alias("first_day"),
+                F.date_add(F.max("flight_date"), 2).alias("last_day"),
+            )
+            first, last = (span.select(c).scalar() for c in span.columns)
+            return staging.zone_offsets(used, first, last)
+
+        return self._table("zone_offsets", plan)
 
     def cost_assumptions(self) -> DataFrame:
         return cost_assumptions(self.spark)

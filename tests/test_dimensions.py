@@ -144,3 +144,36 @@ def test_instants_only_where_they_can_be_known(spark):
         5: (True, 0, 60, 5, None),
         6: (True, None, None, None, None),
     }
+
+
+def test_offset_table_agrees_with_direct_conversion(spark):
+    """Every quarter of an hour around both clock changes, in several zones."""
+    zones = spark.createDataFrame(
+        [("A", "America/Chicago"), ("B", "America/Phoenix"), ("C", "America/New_York"), ("D", None),
+         ("E", "America/Santiago")],
+        "airport_code string, timezone string",
+    )
+    days = [dt.date(2024, m, d) for m, ds in ((3, (9, 10, 11)), (4, (6, 7, 8)), (9, (7, 8, 9)), (11, (2, 3, 4))) for d in ds]
+    rows = [
+        (n, day, hour * 100 + minute, code, "B", 60, 0, 0, False, False)
+        for n, (day, hour, minute, code) in enumerate(
+            (day, h, m, c) for day in days for h in range(25) for m in (0, 15, 30, 59) for c in "ABCDE"
+        )
+    ]
+    legs = spark.createDataFrame(
+        rows,
+        "id int, flight_date date, crs_dep_time int, origin string, dest string, crs_elapsed_time int,"
+        " dep_delay int, arr_delay int, cancelled boolean, diverted boolean",
+    )
+    from flightlag.plans.staging import zone_offsets
+
+    first, last = (F.lit(d) for d in (min(days), max(days) + dt.timedelta(days=2)))
+    table = zone_offsets(zones, first, last)
+    for clock in ("floor", "round"):
+        direct = stg_flight(legs, zones, clock).select("id", "sched_dep_utc", "sched_arr_utc")
+        through = stg_flight(legs, zones, clock, table).select("id", "sched_dep_utc", "sched_arr_utc")
+        assert direct.exceptAll(through).isEmpty() and through.exceptAll(direct).isEmpty()
+    changes = {(r.zone, str(r.day)): r.changes_at for r in table.filter("changes_at IS NOT NULL").collect()}
+    assert changes[("America/Chicago", "2024-03-10")] == 180
+    assert changes[("America/Chicago", "2024-11-03")] == 60
+    assert not any(z == "America/Phoenix" for z, _ in changes)
