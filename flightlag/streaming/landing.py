@@ -6,14 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from flightlag.sources.raw_feed import ENCODING, typed_projection
+from flightlag.sources.raw_feed import ENCODING, read_text_feed, typed_projection
 from flightlag.sources.schema import FEED_COLUMNS
 
 TEXT_SCHEMA = T.StructType([T.StructField(source, T.StringType()) for source, _, _ in FEED_COLUMNS])
 
 
+def text_schema(spark: SparkSession, sample: str) -> T.StructType:
+    """The columns of a feed file, all text, from its header line."""
+    return read_text_feed(spark, sample).schema
+
+
 def watch_landing(spark: SparkSession, landing: str, schema: T.StructType = TEXT_SCHEMA) -> DataFrame:
-    """Typed rows of files that appear below ``landing``."""
+    """Typed rows of files that appear below ``landing``.
+
+    ``schema`` names all columns of the files, of which the declared are kept.
+    """
     text = (
         spark.readStream.schema(schema)
         .options(header=True, encoding=ENCODING, mode="FAILFAST", escape='"', enforceSchema=False)

@@ -67,6 +67,8 @@ def test_slack(spark):
         5: (15.0, 0.0, 0.0),
         6: (15.0, 0.0, 0.0),
     }
+    with_default = {r.id: r.turn_slack_minutes for r in propagate(legs, floors, F.lit(50.0)).collect()}
+    assert (with_default[1], with_default[2], with_default[3]) == (15.0, 10.0, 0.0)
 
 
 def test_benchmark_levels(spark):

@@ -10,7 +10,7 @@ from flightlag.sources import raw_feed
 from flightlag.sources.airports import read_airport_file, with_overrides
 from flightlag.sources.schema import FEED_COLUMNS, FEED_SCHEMA, cast_text
 from flightlag.sources.sinks import json_document, write_csv, write_json_document
-from flightlag.streaming.landing import ingest_landing, watch_landing
+from flightlag.streaming.landing import ingest_landing, text_schema, watch_landing
 
 
 @pytest.mark.parametrize(
@@ -154,6 +154,19 @@ def test_landing_files_are_stored_once(spark, tmp_path):
     assert run() == {(2024, 1, 3), (2024, 2, 3)}
 
 
+def test_landing_files_with_more_columns(spark, tmp_path):
+    landing, root, mark = (str(tmp_path / n) for n in ("landing", "months", "mark"))
+    wide = raw_feed.to_text_feed(feed(spark, [(2024, 3)])).withColumn("Div1Airport", F.lit("XYZ"))
+    wide.select("Div1Airport", *wide.columns[:-1]).write.options(
+        header=True, encoding=raw_feed.ENCODING
+    ).csv(landing)
+    schema = text_schema(spark, landing)
+    assert len(schema) == 50
+    ingest_landing(watch_landing(spark, landing, schema), root, mark).awaitTermination()
+    stored = raw_feed.read_months(spark, root)
+    assert stored.filter("carrier = 'AA' AND crs_dep_time = 856").count() == 3
+
+
 def test_filters(spark):
     df = spark.sql(
         "SELECT * FROM VALUES ('AA', 'ORD', 'DEN', date'2024-01-01', 2024, 1),"
