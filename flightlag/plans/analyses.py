@@ -342,9 +342,13 @@ def pilot_baseline(flights: DataFrame, first: int = 5, last: int = 10, effect: f
 
 
 def difference_in_differences(
-    station_days: DataFrame, treated: Column, after: Column, outcome: str
+    station_days: DataFrame, treated: Column, after: Column, outcome: str, places: int = 2
 ) -> DataFrame:
-    """Change of the treated mean minus change of the untreated mean."""
+    """Change of the treated mean minus change of the untreated mean.
+
+    ``outcome`` is a number of so many decimal places, summed exactly.
+    """
+    units = whole_units(F.col(outcome), places)
     cell = {
         "treated_before": treated & ~after,
         "treated_after": treated & after,
@@ -352,7 +356,12 @@ def difference_in_differences(
         "control_after": ~treated & after,
     }
     return station_days.agg(
-        *[F.avg(F.when(where, F.col(outcome))).alias(name) for name, where in cell.items()]
+        *[
+            ratio(
+                from_units(F.sum(F.when(where, units)), places), F.count(F.when(where, units))
+            ).alias(name)
+            for name, where in cell.items()
+        ]
     ).withColumn(
         "effect",
         (F.col("treated_after") - F.col("treated_before"))

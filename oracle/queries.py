@@ -411,15 +411,17 @@ FROM (SELECT *, greatest(late_share - 0.05::DOUBLE, 0::DOUBLE) AS lower
             GROUP BY carrier, origin))
 """,
 )
+def arm_mean(where: str) -> str:
+    return exact_avg(f"if({where}, departures_delayed_pct, NULL)", 2)
+
+
 oracle(
     "difference_in_differences",
     "d:treated_before,treated_after,control_before,control_after,effect",
-    """
+    f"""
 SELECT *, (treated_after - treated_before) - (control_after - control_before) AS effect FROM (
-  SELECT avg(departures_delayed_pct) FILTER (WHERE t AND NOT a) AS treated_before,
-         avg(departures_delayed_pct) FILTER (WHERE t AND a) AS treated_after,
-         avg(departures_delayed_pct) FILTER (WHERE NOT t AND NOT a) AS control_before,
-         avg(departures_delayed_pct) FILTER (WHERE NOT t AND a) AS control_after
+  SELECT {arm_mean('t AND NOT a')} AS treated_before, {arm_mean('t AND a')} AS treated_after,
+         {arm_mean('NOT t AND NOT a')} AS control_before, {arm_mean('NOT t AND a')} AS control_after
   FROM (SELECT *, airport_code IN ('ATL', 'DEN', 'DFW') AS t, flight_date >= DATE '2024-01-16' AS a FROM daily))
 """,
 )
