@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -209,8 +210,26 @@ class Warehouse:
             "mart_turn_slack_opportunity": self.turn_slack_opportunity,
         }
 
+    def materialise(self) -> None:
+        """Write every stored model; those of a group do not need each other, so
+        their jobs are submitted together and fill each other's idle cores."""
+        groups = [
+            [self.feed],
+            [self.stg_airport, self.airport_activity, self.dim_carrier, self.dim_date],
+            [self.zone_offsets, self.dim_airport],
+            [self.flight],
+            [self.rotation_links, self.carrier_monthly, self.airport_daily, self.route_reliability],
+            [self.min_turn],
+            [self.cascade, self.turn_slack_opportunity],
+        ]
+        for group in groups:
+            with ThreadPoolExecutor(len(group)) as pool:
+                for done in [pool.submit(model) for model in group]:
+                    done.result()
+
     def build(self) -> DataFrame:
         """Build every model; returns (model, rows, seconds)."""
+        self.materialise()
         log = [(name, model().count(), self.seconds.get(name)) for name, model in self.models().items()]
         return self.spark.createDataFrame(log, "model string, rows long, seconds double")
 
