@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlag.functions.clock import epoch_minute
+from flightlag.functions.clock import epoch_minute, hhmm_hour
 from flightlag.functions.numeric import round_to
 from flightlag.operators import scorecard as sc
 from flightlag.operators.benchmark import benchmark_floor
@@ -23,6 +23,7 @@ from flightlag.operators.filters import Slice
 from flightlag.operators.periods import join_periods
 from flightlag.operators.turns import flyable_legs
 from flightlag.plans import analyses, dimensions, explore, exports, quality
+from flightlag.plans.staging import stg_flight
 from flightlag.plans.warehouse import Warehouse
 from flightlag.session import pin_session, scratch_path
 from flightlag.settings import Settings
@@ -379,9 +380,6 @@ on_warehouse("flyable_legs", lambda wh: flyable_legs(wh.flight()).select(
 @query
 def stg_flight_rounded_clock(x: Inputs) -> DataFrame:
     """Instants and hours with the hour rounded instead of cut."""
-    from flightlag.functions.clock import hhmm_hour
-    from flightlag.plans.staging import stg_flight
-
     wh = x.warehouse()
     staged = stg_flight(wh.feed(), wh.stg_airport(), "round")
     return staged.select(
@@ -498,11 +496,12 @@ on_warehouse("dashboard_payload", exports.payload_rows)
 
 # ------------------------------------------------------------------- interactive
 
-COST = 98.41
 on_warehouse("filter_domain", lambda wh: explore.filter_domain(
     wh.flight(), wh.dim_carrier(), wh.dim_airport()
 ))
-on_warehouse("filtered_kpis", lambda wh: explore.filtered_kpis(wh.flight(), NARROWED, COST))
+on_warehouse("filtered_kpis", lambda wh: explore.filtered_kpis(
+    wh.flight(), NARROWED, wh.cost()
+))
 on_warehouse("filtered_trend", lambda wh: explore.filtered_trend(wh.flight(), NARROWED))
 on_warehouse("filtered_damage", lambda wh: explore.filtered_damage(wh.cascade(), NARROWED))
 on_warehouse("damage_vs_repair", lambda wh: explore.damage_vs_repair(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flightlag.functions.clock import month_first
@@ -51,7 +51,7 @@ def filter_domain(flights: DataFrame, carriers: DataFrame, airports: DataFrame)
     )
 
 
-def filtered_kpis(flights: DataFrame, where: Slice, cost: float) -> DataFrame:
+def filtered_kpis(flights: DataFrame, where: Slice, cost: Column) -> DataFrame:
     """The headline row of a slice with its delay split and cost."""
     done = F.col("completed")
     figures = sc.scorecard(
