@@ -5,8 +5,7 @@ import pytest
 import __spark_entry__ as entry_module
 from tests.compare import connect, difference
 
-QUERIES = entry_module.queries()
-ORACLES = entry_module.oracle_sql()
+QUERIES, ORACLES = entry_module.QUERIES, entry_module.ORACLES
 
 
 @pytest.fixture(scope="module")
@@ -18,6 +17,11 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLES)
 
 
+def test_all_of_them_are_registered():
+    assert QUERIES.items() <= entry_module.queries().items()
+    assert ORACLES.items() <= entry_module.oracle_sql().items()
+
+
 def test_entry_gives_hours(spark):
     hours = entry_module.entry(spark)
     assert hours.columns == ["hour", "roots", "legs", "minutes", "amplification"]
