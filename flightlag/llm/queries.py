@@ -2,17 +2,33 @@
 
 from __future__ import annotations
 
-from flightlag.llm import exact_dedup, mixing, sharding, url_filter
+from flightlag.llm import (
+    decontaminate,
+    exact_dedup,
+    language_id,
+    mixing,
+    secret_scan,
+    sharding,
+    simhash,
+    token_files,
+    url_filter,
+)
 
 QUERIES = {
     "op1_sharding": sharding.op1_sharding,
+    "op2_simhash": simhash.op2_simhash,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_token_files": token_files.op4_token_files,
+    "op5_language_id": language_id.op5_language_id,
+    "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_mixing": mixing.op7_mixing,
+    "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 
 ORACLES = {
     "op3_exact_dedup": exact_dedup.OP3_SQL,
+    "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
