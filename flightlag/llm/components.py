@@ -14,15 +14,16 @@ def _state(df: DataFrame) -> tuple[int, int]:
     return row["n"], row["x"]
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _large_star(links: DataFrame, scratch: str) -> DataFrame:
     both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    least = store_at(least, scratch)
     met = both.join(least, "u").where(F.col("v") > F.col("u"))
     return met.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("u").agg(F.min("v").alias("m"))
+def _small_star(links: DataFrame, scratch: str) -> DataFrame:
+    least = store_at(links.groupBy("u").agg(F.min("v").alias("m")), scratch)
     met = links.join(least, "u")
     onward = met.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
     return onward.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
@@ -34,7 +35,8 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     Alternating stars: each node's neighbours are hung on the least of them, first
     above, then below the node, until nothing changes. Every round is written to the
     shared folder, the one before is removed. A node with very many neighbours is
-    aggregated before the shuffle and split in the join. Links to oneself and
+    aggregated before the shuffle; the result is stored, so that the join is one of
+    two plain shuffles and adaptive execution can split that node. Links to oneself and
     repeated links do no harm; no links give no rows.
     """
     spark = links.sparkSession
@@ -45,10 +47,10 @@ def components(links: DataFrame, most_rounds: int = 100) -> DataFrame:
     for _ in range(most_rounds):
         if before[0] == 0:
             break
-        middle, fresh = scratch_path(spark, "stars"), scratch_path(spark, "stars")
-        now = store_at(_small_star(store_at(_large_star(now), middle)), fresh)
-        discard(spark, path)
-        discard(spark, middle)
+        above, middle, below, fresh = (scratch_path(spark, "stars") for _ in range(4))
+        now = store_at(_small_star(store_at(_large_star(now, above), middle), below), fresh)
+        for used in (path, above, middle, below):
+            discard(spark, used)
         path, after = fresh, _state(now)
         if after == before:
             break

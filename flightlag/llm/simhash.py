@@ -310,7 +310,7 @@ def near_groups(
         ),
         "rooted",
     )
-    names = rooted.groupBy("root").agg(F.min("least").alias("component_id")).alias("n")
+    names = store(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "names").alias("n")
     named = store(
         rooted.alias("v").join(names, F.col("v.root") == F.col("n.root")).select("v.value", "n.component_id"), "named"
     )
