@@ -10,6 +10,7 @@ from flightlag.llm import (
     secret_scan,
     sharding,
     simhash,
+    suffix_dedup,
     token_files,
     url_filter,
 )
@@ -22,6 +23,7 @@ QUERIES = {
     "op5_language_id": language_id.op5_language_id,
     "op6_decontaminate": decontaminate.op6_decontaminate,
     "op7_mixing": mixing.op7_mixing,
+    "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
 }
