@@ -1,12 +1,84 @@
-"""Documents to token files in stages; each stage is one operator at work."""
+"""Documents to token files in stages; each stage is one operator at work on what the one before kept."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from flightlag.llm.common import read_table, store
+from flightlag.llm.decontaminate import contamination, is_contaminated
+from flightlag.llm.language_id import UNDETERMINED, fit_on_two_thirds
+from flightlag.llm.mixing import mix, mix_rows
+from flightlag.llm.simhash import near_groups
+from flightlag.llm.token_files import token_output
 
-STAGES = []
+
+def _matching(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` by (_id, _hash) of ``decisions``; null ids meet null ids."""
+    d, k = docs.withColumn("_text_hash", F.xxhash64("text")).alias("d"), decisions.alias("k")
+    same: Column = F.col("d.doc_id").eqNullSafe(F.col("k._id")) & (F.col("d._text_hash") == F.col("k._hash"))
+    return d.join(k, same, how)
+
+
+def _each_once(docs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with their decision, rows equal in id and text once.
+
+    ``decisions`` has one row per (_id, _hash) and the number ``_rows`` of rows that
+    share them. Only rows that repeat are dealt out again to be told apart.
+    """
+    met = _matching(docs, decisions, "inner")
+    again = met.where("_rows > 1").dropDuplicates(["_id", "_hash"])
+    return met.where("_rows = 1").unionByName(again)
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts that are null or without a letter, and all others that get no language, go."""
+    told = fit_on_two_thirds(docs).predict(docs, pred="_lang", score="_score")
+    return told.where(F.col("_lang") != UNDETERMINED).select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group the document with the smallest id stays, one without an id before all others.
+
+    Of rows that repeat this id the one with the smallest text hash stays, once.
+    """
+    row_id = F.struct(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    groups = near_groups(docs.select("text", row_id.alias("row_id")), "row_id")
+    kept = groups.where(F.col("row_id") == F.col("component_id")).groupBy("row_id").agg(F.count("*").alias("_rows"))
+    return _each_once(docs, kept.select("row_id.*", "_rows")).select(*docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which one word in twenty lies in passages of the benchmark go."""
+    found = contamination(docs, read_table(spark, sf_dir, "benchmark")).where(is_contaminated())
+    marked = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+    return _matching(docs, marked, "left_anti").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it: not at all, or up to three times."""
+    mixed = mix(mix_rows(docs), carry=("text_hash",))
+    taken = (
+        mixed.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
+        .agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+        .where("_copies > 0")
+    )
+    repeated = _each_once(docs, taken).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))))
+    return repeated.select(*docs.columns)
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of all rows, read back: (doc_id, start, n_tokens, ids_crc32)."""
+    return token_output(spark, docs.select("doc_id", "text"))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_dedup", near_dedup),
+    ("decontaminate", decontaminate),
+    ("mix_sources", mix_sources),
+    ("token_files", token_files),
+]
 
 #: SQL cannot express the stages; tests compare them with plain Python.
 ORACLE_SQL = None

@@ -63,8 +63,8 @@ def source_targets(
     level = (F.col("total") - before_cap) / (F.col("all_weights") - before_weight)
     levels = caps.withColumn("level", level)
     free = F.col("cap") / F.col("weight") > F.col("level")
-    # The first source that is not capped sets the level for all the others.
-    rate = F.coalesce(F.min(F.when(free, F.col("level"))).over(everything), F.lit(float("inf")))
+    # Levels rise up to the first source that is not capped and fall after it; that one's holds for all.
+    rate = F.coalesce(F.max(F.when(free, F.col("level"))).over(everything), F.lit(float("inf")))
     return levels.select(
         "source", "source_size", F.least(F.col("cap"), F.col("weight") * rate).alias("target")
     )
@@ -75,9 +75,12 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     max_repeats: float = MAX_REPEATS,
     pieces: int = PIECES,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Narrow rows (doc_id, source, size, quality, u) with source_size, target, copies, taken.
 
+    Of other columns those named in ``carry`` stay.
+
     A source whose target is n times its size or more gives n complete epochs. For
     the rest its documents are ordered by ``-ln(u) / quality`` and taken while the
     middle of a document lies within what is left, so a source ends within half a
@@ -92,7 +95,7 @@ def mix(
     quality = F.when(F.col("quality") > 0, F.col("quality")).otherwise(F.lit(1e-9))
     key = -F.log(F.col("u")) / quality
     keyed = rows.select(
-        "doc_id", "source", F.coalesce("size", F.lit(0)).cast("long").alias("size"), key.alias("key")
+        "doc_id", "source", *carry, F.coalesce("size", F.lit(0)).cast("long").alias("size"), key.alias("key")
     ).withColumn("piece", F.floor((1 - F.exp(-F.col("key"))) * pieces).cast("int"))
     keyed = store(keyed, "mix-rows")
 
@@ -120,7 +123,8 @@ def mix(
         .withColumn("epochs", epochs)
         .withColumn("left", F.col("target") - F.col("epochs") * F.col("source_size"))
         .withColumn("copies", F.col("epochs") + (F.col("before") + F.col("size") / 2.0 < F.col("left")).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+        .withColumn("taken", F.col("copies") * F.col("size"))
+        .select("doc_id", "source", *carry, "size", "source_size", "target", "copies", "taken")
     )
 
 
@@ -130,6 +134,7 @@ def mix_rows(docs: DataFrame) -> DataFrame:
     return docs.select(
         "doc_id",
         "source",
+        F.xxhash64(text).alias("text_hash"),
         word_count(text).alias("size"),
         plain_share(text).alias("quality"),
         # Rows that share an id, as null ids do, still get numbers of their own.
@@ -164,7 +169,7 @@ WITH d AS (
   WINDOW b AS (ORDER BY cap / weight, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), t AS (
   SELECT source, source_size,
-         least(cap, weight * coalesce(min(level) FILTER (cap / weight > level) OVER (), 'inf'::DOUBLE)) AS target
+         least(cap, weight * coalesce(max(level) FILTER (cap / weight > level) OVER (), 'inf'::DOUBLE)) AS target
   FROM l
 ), m AS (
   SELECT k.doc_id, k.size, t.source_size, t.target,
