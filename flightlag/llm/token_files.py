@@ -20,7 +20,7 @@ from flightlag.session import scratch_path
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
 TEXT_AT_ONCE = 1 << 20
-#: Words whose ids a task remembers; the memory is emptied when full.
+#: Words whose ids a task remembers, twice: of late and before.
 CACHED_WORDS = 300_000
 
 RAW_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, lengths array<int>, ids binary"
@@ -42,43 +42,76 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # The strings of special tokens are ordinary text in a document.
         self.tokenizer.encode_special_tokens = True
-        self.kind = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        vocabulary = self.tokenizer.get_vocab()
+        self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
+        # In byte-level BPE the letters G and C with dot above stand for a blank and a line end.
+        self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.opens[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words, as one text: a word begins where a blank or line end does."""
+        spaced = [w if w[0] == "\n" else " " + w for w in words]
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, self.kind)
+        at = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.kind.itemsize).tolist()
+        if len(at) != len(words) + 1:  # some word has a sign that is taken for a blank
+            self.known.update(zip(words, self._ids(spaced)))
+            return
+        raw = ids.tobytes()
+        self.known.update(zip(words, [raw[a:b] for a, b in zip(at[:-1], at[1:])]))
+
+    def _remember(self, words: set[str]) -> None:
+        """All ``words`` are in ``known`` afterwards, with None for what is no word.
+
+        Words not met for long are forgotten.
+        """
+        if len(self.known) > CACHED_WORDS:
+            self.known, self.older = {}, self.known
+        new = words.difference(self.known)
+        seen = new.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in seen)
+        new.difference_update(seen)
+        plain = [w for w in new if _is_word(w)]
+        if len(plain) < len(new):
+            self.known.update((w, None) for w in new.difference(plain))
+        if plain:
+            self._learn(plain)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = [b""] * len(texts)
-        regular, whole = [], []
-        for i, text in enumerate(texts):
-            if not text:
-                continue
-            words = text.split()
-            parts = text.replace("\n", " \n").split(" ")
-            if len(words) == len(parts) and len(" ".join(words)) == len(text):
-                regular.append((i, parts))
-            else:
-                whole.append(i)
-        if len(self.known) > CACHED_WORDS:
-            self.known.clear()
+        parts = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        self._remember(set().union(*[p[1:] for p in parts]))
         if len(self.first) > CACHED_WORDS:
             self.first.clear()
-        new = list(set().union(*[parts[1:] for _, parts in regular]).difference(self.known)) if regular else []
-        self.known.update(zip(new, self._ids([w if w[0] == "\n" else " " + w for w in new])))
-        new = list({parts[0] for _, parts in regular}.difference(self.first))
+        new = [w for w in {p[0] for p in parts if p}.difference(self.first) if _is_word(w) and w[0] != "\n"]
         self.first.update(zip(new, self._ids(new)))
-        known = self.known
-        for i, parts in regular:
-            rest = iter(parts)
-            out[i] = self.first[next(rest)] + b"".join([known[w] for w in rest])
+        known, whole = self.known, []
+        for i, p in enumerate(parts):
+            if not p:
+                continue
+            ids = [known[w] for w in p[1:]]
+            first = self.first.get(p[0])
+            if first is None or None in ids:
+                whole.append(i)
+            else:
+                out[i] = first + b"".join(ids)
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids
         return out
 
 
+def _is_word(part: str) -> bool:
+    """Whether a part has signs other than blanks, and no blank but a line end at its start."""
+    body = part[1:] if part[:1] == "\n" else part
+    return body.split() == [body]
+
+
 @lru_cache(maxsize=1)
 def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
