@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from flightlag.operators.sequence import CHUNK, Chunked
@@ -20,41 +20,13 @@ def islands(
 
     The id counts the rows of the entity, up to and including this one, that do
     not continue; it is unique within the entity.
-    """
-    upto = seq.window().rowsBetween(Window.unboundedPreceding, 0)
-    start = F.when(~continues, F.col(seq_name))
-    rows = seq.rows.withColumn("_start", start).withColumns(
-        {"_starts": F.count("_start").over(upto), "_first": F.max("_start").over(upto)}
-    )
-    if seq.chunks is None:
-        # Rows already come in the order of their runs, so this sort is a scan.
-        run = Window.partitionBy(*seq.entity, "_starts")
-        rows = rows.withColumn("_length", F.count("*").over(run) - 1)
-    else:
-        rows = _across_chunks(seq, rows, start, seq_name)
-    rows = rows.withColumns(
-        {
-            id_name: F.col("_starts").cast("long"),
-            position_name: (F.col(seq_name) - F.col("_first")).cast("long"),
-            length_name: F.col("_length").cast("long"),
-        }
-    ).drop("_start", "_starts", "_first", "_length")
-    return seq.with_rows(rows)
 
-
-def _across_chunks(seq: Chunked, rows: DataFrame, start: Column, seq_name: str) -> DataFrame:
-    """Complete what a chunk knows of its runs by what its neighbours know.
-
-    The length follows from the numbers of the run's first row and of the next
-    run's first row, so a long run is never gathered in one group.
+    A run may go on over cuts. What a chunk knows of its runs is completed by one row
+    per chunk: starts before it, and the first start after it. The length follows from
+    the numbers of the run's first row and of the next run's first row, so a long run
+    is never gathered in one group.
     """
-    backwards = seq.reversed_window()
-    rows = rows.withColumns(
-        {
-            "_next": F.min("_start").over(backwards.rowsBetween(Window.unboundedPreceding, -1)),
-            "_last": F.col(seq_name) + F.row_number().over(backwards) - 1,
-        }
-    )
+    start = F.when(~continues, F.col(seq_name))
     per_chunk = (
         seq.split_rows()
         .groupBy(*seq.keys)
@@ -62,7 +34,6 @@ def _across_chunks(seq: Chunked, rows: DataFrame, start: Column, seq_name: str)
             F.count(start).alias("_c_starts"),
             F.max(start).alias("_c_last_start"),
             F.min(start).alias("_c_first_start"),
-            F.max(seq_name).alias("_c_last"),
         )
     )
     chunks = Window.partitionBy(*seq.entity)
@@ -73,20 +44,35 @@ def _across_chunks(seq: Chunked, rows: DataFrame, start: Column, seq_name: str)
         F.sum("_c_starts").over(before).alias("_in_starts"),
         F.max("_c_last_start").over(before).alias("_in_first"),
         F.min("_c_first_start").over(later).alias("_in_next"),
-        F.max("_c_last").over(chunks).alias("_in_last"),
     )
+    upto = seq.window().rowsBetween(Window.unboundedPreceding, 0)
+    chunk = Window.partitionBy(*seq.keys)
+    # Rows already come in the order of their runs, so this sort is a scan.
+    run = Window.partitionBy(*seq.keys, "_starts")
+    rows = (
+        seq.attach(carried)
+        .withColumn("_start", start)
+        .withColumns({"_starts": F.count("_start").over(upto), "_first": F.max("_start").over(upto)})
+        .withColumns({"_run_last": F.max(seq_name).over(run), "_chunk_last": F.max(seq_name).over(chunk)})
+    )
+    return seq.with_rows(_finish(seq, rows, seq_name, id_name, position_name, length_name))
+
+
+def _finish(seq: Chunked, rows, seq_name: str, id_name: str, position_name: str, length_name: str):
+    """A run that ends with its chunk goes on to the next start, or to the end of its entity."""
+    ends = seq.split_rows().groupBy(*seq.entity).agg(F.max(seq_name).alias("_entity_last"))
+    first = F.coalesce(F.col("_first"), F.col("_in_first"))
+    end = F.coalesce(F.col("_in_next"), F.coalesce("_entity_last", "_chunk_last") + 1)
+    next_start = F.when(F.col("_run_last") < F.col("_chunk_last"), F.col("_run_last") + 1).otherwise(end)
     return (
-        rows.join(carried, seq.keys, "left")
+        rows.join(F.broadcast(ends), list(seq.entity), "left")
         .withColumns(
             {
-                "_starts": F.col("_starts") + F.coalesce(F.col("_in_starts"), F.lit(0)),
-                "_first": F.coalesce(F.col("_first"), F.col("_in_first")),
-                "_next": F.coalesce(F.col("_next"), F.col("_in_next")),
-                "_last": F.coalesce(F.col("_in_last"), F.col("_last")),
+                id_name: (F.col("_starts") + F.coalesce(F.col("_in_starts"), F.lit(0))).cast("long"),
+                position_name: (F.col(seq_name) - first).cast("long"),
+                length_name: (next_start - first - 1).cast("long"),
             }
         )
-        .withColumn(
-            "_length", F.coalesce(F.col("_next"), F.col("_last") + 1) - F.col("_first") - 1
-        )
-        .drop("_in_starts", "_in_first", "_in_next", "_in_last", "_next", "_last")
+        .drop("_start", "_starts", "_first", "_run_last", "_chunk_last", "_entity_last")
+        .drop("_in_starts", "_in_first", "_in_next")
     )

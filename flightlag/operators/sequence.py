@@ -1,9 +1,11 @@
 """Ordered sequences per entity, safe for entities with very many rows.
 
-A window per entity puts all its rows in one task. When some entity is longer
-than ``max_rows`` its rows are cut along time into chunks, the windows run per
-(entity, chunk), and what crosses a cut comes from a table with one row per
-chunk of a long entity: at most two rows per ``max_rows`` input rows.
+A window per entity puts all its rows in one task. So the rows of an entity that has
+more than ``max_rows`` are cut, at every ``max_rows``-th row of their order, into
+chunks. Windows run per (entity, chunk), and what crosses a cut comes from a table with
+one row per chunk. The plan is the same whatever the sizes are, and describing it
+starts no job: where no entity is long, the table of cuts turns out empty when the
+query runs, and adaptive execution drops what hangs on it.
 """
 
 from __future__ import annotations
@@ -14,131 +16,133 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from flightlag.session import shared_dir
-
 CHUNK = "_chunk"
 
 
 @dataclass(frozen=True)
 class Chunked:
-    """Rows with their chunk, and the chunks of long entities if there are any."""
+    """Rows with their chunk: 0, 1, .. in entities that are cut, -1 in all others."""
 
     rows: DataFrame
     entity: tuple[str, ...]
     order: tuple[str, ...]
-    chunks: DataFrame | None = None
 
     @property
     def keys(self) -> list[str]:
-        return [*self.entity, CHUNK] if self.chunks is not None else list(self.entity)
+        return [*self.entity, CHUNK]
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy(*[F.col(c).asc() for c in self.order])
 
-    def reversed_window(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(
-            *[F.col(c).desc_nulls_last() for c in self.order]
-        )
-
     def with_rows(self, rows: DataFrame) -> Chunked:
-        return Chunked(rows, self.entity, self.order, self.chunks)
+        return Chunked(rows, self.entity, self.order)
 
     def split_rows(self) -> DataFrame:
         """Only the rows of entities that were cut."""
         return self.rows.filter(F.col(CHUNK) >= 0)
 
+    def attach(self, per_chunk: DataFrame) -> DataFrame:
+        """Rows with figures of their chunk.
+
+        An entity that is cut has more than ``max_rows`` rows and all its chunks but
+        the last are full, so there are fewer chunks than rows / max_rows, twice.
+        """
+        return self.rows.join(F.broadcast(per_chunk), self.keys, "left")
+
     def drop_chunk(self) -> DataFrame:
         return self.rows.drop(CHUNK)
 
 
+def cut_points(
+    df: DataFrame, entity: Sequence[str], at: str, order: Sequence[str], max_rows: int, grains: Sequence[str]
+) -> DataFrame:
+    """(entity, cuts): for each long entity the order of every ``max_rows``-th row, sorted.
+
+    Rows are counted per coarse unit of time, which is combined in map tasks, and the
+    units in which a cut falls are opened: by finer units, and at last by row. Only the
+    order columns of rows that share the finest unit with a cut are ever sorted.
+    """
+    sizes = df.groupBy(*entity).agg(F.count("*").alias("_size"))
+    # Fewer rows than rows / max_rows.
+    long_entities = F.broadcast(sizes.filter(F.col("_size") > max_rows).select(*entity))
+    opened = df.select(*dict.fromkeys([*entity, *order])).join(long_entities, list(entity), "left_semi")
+    opened = opened.withColumn("_before", F.lit(0).cast("long"))
+    last = F.col("_before") + F.col("_n")
+    # The first cut at or after the unit's first row; a cut before row 0 is none.
+    next_cut = F.greatest(F.ceil(F.col("_before") / max_rows), F.lit(1)) * max_rows
+    keys = list(entity)
+    for grain in grains:
+        unit = F.date_trunc(grain, F.col(at))
+        counts = opened.groupBy(*keys, "_before", unit.alias("_unit")).agg(F.count("*").alias("_n"))
+        within = Window.partitionBy(*keys, "_before").orderBy("_unit").rowsBetween(Window.unboundedPreceding, -1)
+        met = (
+            counts.withColumn("_earlier", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+            .withColumn("_before", F.col("_before") + F.col("_earlier"))
+            .filter(next_cut < last)
+            .select(*entity, "_unit", F.col("_before").alias("_from"))
+        )
+        opened = (
+            opened.withColumn("_unit", unit)
+            .drop("_before")
+            .join(met, [*entity, "_unit"])
+            .withColumnRenamed("_from", "_before")
+        ).drop("_unit")
+    rank = F.row_number().over(Window.partitionBy(*keys, "_before").orderBy(*order)) - 1
+    found = opened.withColumn("_place", F.col("_before") + rank).filter(
+        (F.col("_place") > 0) & (F.col("_place") % max_rows == 0)
+    )
+    return found.groupBy(*entity).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("_cuts"))
+
+
 def cut_sequences(
     df: DataFrame,
     entity: Sequence[str],
     at: str,
     order: Sequence[str],
     max_rows: int,
-    grain: str = "hour",
+    grains: Sequence[str] = ("hour", "second"),
 ) -> Chunked:
-    """Decide, by counting, which entities are too long for one task and cut them.
+    """Give every row its chunk; chunks have at most ``max_rows`` rows.
 
-    ``at`` is the leading, non-null time of ``order``; a chunk is a run of whole
-    ``grain`` units, so rows of one unit stay together. Uncut rows have chunk -1.
+    ``order`` is a total order within an entity and ``at``, its leading non-null
+    time, only speeds the cutting up: rows of one instant are cut like others.
     """
     entity, order = tuple(entity), tuple(order)
-    sizes = df.groupBy(*entity).agg(F.count("*").alias("_size"))
-    longest = sizes.agg(F.max("_size")).first()[0] or 0
-    if longest <= max_rows:
-        return Chunked(df, entity, order)
-
-    unit = F.date_trunc(grain, F.col(at))
-    long_entities = sizes.filter(F.col("_size") > max_rows).select(*entity)
-    histogram = (
-        df.groupBy(*entity, unit.alias("_unit"))
-        .agg(F.count("*").alias("_n"))
-        .join(long_entities, list(entity), "left_semi")
-    )
-    earlier = (
-        Window.partitionBy(*entity)
-        .orderBy("_unit")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    histogram = (
-        histogram.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0)))
-        .withColumn(CHUNK, F.floor(F.col("_before") / F.lit(max_rows)).cast("long"))
-    )
-    shared_dir(df.sparkSession)
-    histogram = histogram.checkpoint()
-    chunks = histogram.groupBy(*entity, CHUNK).agg(
-        F.min("_before").alias("_rows_before"), F.sum("_n").alias("_rows")
-    )
-    rows = (
-        df.withColumn("_unit", unit)
-        .join(histogram.select(*entity, "_unit", CHUNK), [*entity, "_unit"], "left")
-        .drop("_unit")
-        .withColumn(CHUNK, F.coalesce(F.col(CHUNK), F.lit(-1)))
-    )
-    return Chunked(rows, entity, order, chunks)
+    # Fewer cuts than rows / max_rows.
+    cuts = F.broadcast(cut_points(df, entity, at, order, max_rows, grains))
+    passed = F.size(F.filter("_cuts", lambda cut: cut <= F.struct(*order)))
+    chunk = F.when(F.col("_cuts").isNull(), F.lit(-1)).otherwise(passed).cast("long")
+    rows = df.join(cuts, list(entity), "left").withColumn(CHUNK, chunk).drop("_cuts")
+    return Chunked(rows, entity, order)
 
 
-def _attach(rows: DataFrame, per_chunk: DataFrame, keys: list[str]) -> DataFrame:
-    return rows.join(per_chunk, keys, "left")
+def _chunk_order(seq: Chunked) -> WindowSpec:
+    return Window.partitionBy(*seq.entity).orderBy(CHUNK)
 
 
 def number_rows(seq: Chunked, name: str) -> Chunked:
     """Position of each row in its entity, from 1."""
-    rows = seq.rows.withColumn(name, F.row_number().over(seq.window()).cast("long"))
-    if seq.chunks is not None:
-        before = seq.chunks.select(*seq.keys, "_rows_before")
-        rows = (
-            _attach(rows, before, seq.keys)
-            .withColumn(name, F.col(name) + F.coalesce(F.col("_rows_before"), F.lit(0)))
-            .drop("_rows_before")
-        )
-    return seq.with_rows(rows)
+    earlier = _chunk_order(seq).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = seq.split_rows().groupBy(*seq.keys).agg(F.count("*").alias("_rows"))
+    before = sizes.select(*seq.keys, F.sum("_rows").over(earlier).alias("_rows_before"))
+    number = F.row_number().over(seq.window()) + F.coalesce(F.col("_rows_before"), F.lit(0))
+    return seq.with_rows(seq.attach(before).withColumn(name, number.cast("long")).drop("_rows_before"))
 
 
 def neighbour(seq: Chunked, value: Column, name: str, following: bool = False) -> Chunked:
     """``value`` of the row before (or after) in the same entity."""
-    window = seq.window()
-    beside = F.lead(value).over(window) if following else F.lag(value).over(window)
-    if seq.chunks is None:
-        return seq.with_rows(seq.rows.withColumn(name, beside))
-
+    beside = F.lead if following else F.lag
     # The row at the far end of the neighbouring chunk, one per chunk.
     place = F.struct(*[F.col(c) for c in seq.order])
     pick = F.min_by if following else F.max_by
     ends = seq.split_rows().groupBy(*seq.keys).agg(pick(F.struct(value.alias("v")), place).alias("_end"))
-    chunk_order = Window.partitionBy(*seq.entity).orderBy(CHUNK)
-    across = F.lead("_end").over(chunk_order) if following else F.lag("_end").over(chunk_order)
-    carried = ends.select(*seq.keys, across.alias("_across"))
-    at_edge = (
-        F.row_number().over(seq.reversed_window() if following else window) == 1
-    )
+    across = beside("_end").over(_chunk_order(seq))
+    at_edge = beside(F.lit(True)).over(seq.window()).isNull()
+    inner = beside(value).over(seq.window())
     rows = (
-        seq.rows.withColumns({name: beside, "_edge": at_edge})
-        .transform(_attach, carried, seq.keys)
-        .withColumn(name, F.when(F.col("_edge"), F.col("_across.v")).otherwise(F.col(name)))
-        .drop("_edge", "_across")
+        seq.attach(ends.select(*seq.keys, across.alias("_across")))
+        .withColumn(name, F.when(at_edge, F.col("_across.v")).otherwise(inner))
+        .drop("_across")
     )
     return seq.with_rows(rows)
 
@@ -146,14 +150,15 @@ def neighbour(seq: Chunked, value: Column, name: str, following: bool = False) -
 def per_entity(seq: Chunked, figures: dict[str, Column]) -> Chunked:
     """Aggregates of the whole entity on each of its rows.
 
-    A window reuses the rows' partitioning; cut entities are aggregated, where
-    map tasks combine, and joined.
+    A window reuses the rows' partitioning; entities that are cut are aggregated,
+    where map tasks combine, and joined: fewer of them than rows / max_rows.
     """
-    if seq.chunks is None:
-        whole = Window.partitionBy(*seq.entity)
-        return seq.with_rows(seq.rows.withColumns({n: f.over(whole) for n, f in figures.items()}))
-    totals = seq.rows.groupBy(*seq.entity).agg(*[f.alias(n) for n, f in figures.items()])
-    return seq.with_rows(seq.rows.join(totals, list(seq.entity), "left"))
+    totals = seq.split_rows().groupBy(*seq.entity).agg(F.struct(*[f.alias(n) for n, f in figures.items()]).alias("_whole"))
+    chunk = Window.partitionBy(*seq.keys)
+    rows = seq.rows.withColumns({n: f.over(chunk) for n, f in figures.items()})
+    rows = rows.join(F.broadcast(totals), list(seq.entity), "left")
+    whole = {n: F.when(F.col(CHUNK) >= 0, F.col(f"_whole.{n}")).otherwise(F.col(n)) for n in figures}
+    return seq.with_rows(rows.withColumns(whole).drop("_whole"))
 
 
 def sequence_entities(
@@ -168,15 +173,18 @@ def sequence_entities(
 ) -> Chunked:
     """Number the rows of every entity and bring columns of the previous row along."""
     seq = cut_sequences(df, entity, at, order, max_rows)
-    if seq.chunks is None:
-        window = seq.window()
-        before = {f"{prefix}{c}": F.lag(c).over(window) for c in carry}
-        number = {seq_name: F.row_number().over(window).cast("long")}
-        return seq.with_rows(seq.rows.withColumns(number | before))
-    seq = neighbour(
-        number_rows(seq, seq_name), F.struct(*[F.col(c) for c in carry]), "_previous"
+    # One row per chunk: its size and the last row's columns, moved on to the next chunk.
+    last = F.max_by(F.struct(*carry), F.struct(*seq.order))
+    ends = seq.split_rows().groupBy(*seq.keys).agg(F.count("*").alias("_rows"), last.alias("_last"))
+    chunks = _chunk_order(seq)
+    carried = ends.select(
+        *seq.keys,
+        F.sum("_rows").over(chunks.rowsBetween(Window.unboundedPreceding, -1)).alias("_rows_before"),
+        F.lag("_last").over(chunks).alias("_across"),
     )
-    rows = seq.rows.withColumns(
-        {f"{prefix}{c}": F.col(f"_previous.{c}") for c in carry}
-    ).drop("_previous")
-    return seq.with_rows(rows)
+    window = seq.window()
+    number = F.row_number().over(window) + F.coalesce(F.col("_rows_before"), F.lit(0))
+    at_edge = F.row_number().over(window) == 1
+    before = {f"{prefix}{c}": F.when(at_edge, F.col(f"_across.{c}")).otherwise(F.lag(c).over(window)) for c in carry}
+    rows = seq.attach(carried).withColumns({seq_name: number.cast("long")} | before)
+    return seq.with_rows(rows.drop("_rows_before", "_across"))

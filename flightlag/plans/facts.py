@@ -126,9 +126,6 @@ def rotation_links(flights: DataFrame, settings: Settings = Settings()) -> DataF
         max_rows=settings.max_rows_per_sequence,
     )
     seq = seq.with_rows(link_turns(seq.rows, settings.max_turn_minutes))
-    if seq.chunks is not None:
-        # Two passes over the cut sequences follow; both start from this point.
-        seq = seq.with_rows(seq.rows.checkpoint())
     inheriting = F.col("is_continuation") & (F.col("inherited_delay_minutes") > 0)
     seq = seq.with_rows(seq.rows.withColumn("is_inheriting", inheriting))
     seq = islands(

@@ -63,7 +63,7 @@ def computed(df, max_rows):
 def test_sequences_match_plain_python(spark, seed, max_rows):
     rows = make_rows(seed)
     seq, got = computed(spark.createDataFrame(rows, SCHEMA), max_rows)
-    assert (seq.chunks is None) == (max_rows > 400)
+    assert seq.split_rows().isEmpty() == (max_rows > 400)
     assert got == expected(rows)
 
 
@@ -71,9 +71,26 @@ def test_one_entity_holds_everything(spark):
     rows = make_rows(5, hot_share=1.0)
     seq, got = computed(spark.createDataFrame(rows, SCHEMA), 50)
     assert got == expected(rows)
-    # No chunk is much longer than asked: a chunk ends with the hour that fills it.
     biggest = seq.rows.groupBy("_chunk").count().agg(F.max("count")).first()[0]
-    assert biggest <= 50 + 20
+    assert biggest <= 50
+
+
+def test_one_second_is_cut_too(spark):
+    rows = [("a", START, i, i % 7 > 0) for i in range(100_000)]
+    seq, got = computed(spark.createDataFrame(rows, SCHEMA), 9_000)
+    sizes = [r["count"] for r in seq.rows.groupBy("_chunk").count().collect()]
+    assert max(sizes) <= 9_000 and sum(sizes) == 100_000
+    assert got == expected(rows)
+
+
+def test_describing_starts_no_job(spark):
+    frame = spark.createDataFrame(make_rows(1), SCHEMA)
+    context = spark.sparkContext
+    context.setJobGroup("describing", "no job may start")
+    seq = sequence_entities(frame, ["entity"], "at", ["at", "tie"], ["tie"], "seq", "prev_", 5)
+    islands(neighbour(seq, F.col("tie"), "next", following=True), F.col("flag"), "seq")
+    assert len(context.statusTracker().getJobIdsForGroup("describing")) == 0
+    context.setLocalProperty("spark.jobGroup.id", None)
 
 
 def test_long_island_crosses_chunks(spark):
@@ -94,7 +111,7 @@ def test_islands_example(spark):
 
 def test_empty_input(spark):
     seq, got = computed(spark.createDataFrame([], SCHEMA), 10)
-    assert got == {} and seq.chunks is None
+    assert got == {} and seq.split_rows().isEmpty()
 
 
 def test_numbers_go_on_over_chunks(spark):
