@@ -26,29 +26,27 @@ ROOT_COLUMNS = {
 ISLAND = ["tail_number", "cascade_id"]
 
 
-def downstream_totals(legs: DataFrame) -> DataFrame:
-    """Legs, inherited minutes and distinct stations after the root, per cascade."""
-    per_station = (
-        legs.filter("cascade_position > 0")
-        .groupBy(*ISLAND, "dest")
-        .agg(F.count("*").alias("_legs"), F.sum("inherited_delay_minutes").alias("_minutes"))
+def roll_up_islands(links: DataFrame, cost_per_minute: Column, min_root: int = 1) -> DataFrame:
+    """One row per cascade whose root lost at least ``min_root`` minutes itself.
+
+    One aggregation by cascade: the root's columns, sums over the legs after it, and
+    the set of stations they touched, which is no larger than the list of stations.
+    Map tasks combine, so a long cascade of one aircraft is no large group.
+    """
+    root, later = F.col("cascade_position") == 0, F.col("cascade_position") > 0
+    lost = root & (F.col("root_delay_minutes") >= min_root)
+    kept = F.struct(*[F.col(c).alias(name) for c, name in ROOT_COLUMNS.items() if c not in ISLAND])
+    figures = links.groupBy(*ISLAND).agg(
+        F.max(F.when(lost, kept)).alias("_root"),
+        F.count_if(later).alias("downstream_legs"),
+        F.sum(F.when(later, F.col("inherited_delay_minutes"))).alias("downstream_delay_minutes"),
+        F.size(F.collect_set(F.when(later, F.col("dest")))).alias("downstream_stations_touched"),
     )
-    return per_station.groupBy(*ISLAND).agg(
-        F.sum("_legs").alias("downstream_legs"),
-        F.sum("_minutes").alias("downstream_delay_minutes"),
-        F.count("dest").alias("downstream_stations_touched"),
-    )
-
-
-def roll_up_islands(legs: DataFrame, cost_per_minute: Column, min_root: int = 1) -> DataFrame:
-    """One row per cascade whose root lost at least ``min_root`` minutes itself."""
-    roots = legs.filter(
-        (F.col("cascade_position") == 0) & (F.col("root_delay_minutes") >= min_root)
-    ).select(*[F.col(c).alias(name) for c, name in ROOT_COLUMNS.items()])
     counts = ["downstream_legs", "downstream_delay_minutes", "downstream_stations_touched"]
     total = F.col("root_delay_minutes") + F.col("downstream_delay_minutes")
     return (
-        roots.join(downstream_totals(legs), ISLAND, "left")
+        figures.filter(F.col("_root").isNotNull())
+        .select(*ISLAND, "_root.*", *counts)
         .withColumns({c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in counts})
         .withColumns(
             {

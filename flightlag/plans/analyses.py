@@ -261,11 +261,11 @@ def cascade_length(cascades: DataFrame, longest: int = 8) -> DataFrame:
     )
 
 
-def top_stations(opportunities: DataFrame, rows: int = 10) -> DataFrame:
+def top_stations(opportunities: DataFrame, rows: int = 10, ranked: int = 10) -> DataFrame:
     """Stations where the ranked buffer saves the most minutes."""
     return (
         opportunities.orderBy(
-            F.col("minutes_saved_plus_10").desc(), F.col("carrier"), F.col("airport_code")
+            F.col(f"minutes_saved_plus_{ranked}").desc(), F.col("carrier"), F.col("airport_code")
         )
         .limit(rows)
         .select(
@@ -275,8 +275,8 @@ def top_stations(opportunities: DataFrame, rows: int = 10) -> DataFrame:
             "turns",
             F.col("median_slack_minutes").alias("slack"),
             F.col("tight_turn_pct").alias("tight"),
-            F.col("minutes_saved_plus_10").alias("saved"),
-            (F.col("delay_cost_avoided_usd_plus_10") / 1e6).alias("cost_musd"),
+            F.col(f"minutes_saved_plus_{ranked}").alias("saved"),
+            (F.col(f"delay_cost_avoided_usd_plus_{ranked}") / 1e6).alias("cost_musd"),
         )
     )
 

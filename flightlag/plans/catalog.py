@@ -7,8 +7,9 @@ are given in types every engine shares, see ``portable``.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,13 +23,13 @@ from flightlag.operators.benchmark import benchmark_floor
 from flightlag.operators.filters import Slice
 from flightlag.operators.periods import join_periods
 from flightlag.operators.turns import flyable_legs
-from flightlag.plans import analyses, dimensions, explore, exports, quality
+from flightlag.plans import analyses, dimensions, explore, exports, marts, quality
 from flightlag.plans.staging import stg_flight
 from flightlag.plans.warehouse import Warehouse
 from flightlag.session import pin_session, scratch_path
 from flightlag.settings import Settings
 from flightlag.sources import raw_feed
-from flightlag.sources.airports import read_airport_file, with_overrides, write_airport_file
+from flightlag.sources.airports import MISSING, read_airport_file, with_overrides, write_airport_file
 from flightlag.sources.event_feed import legs_from_events, station_zones
 from flightlag.sources.reference import inline_table, thanksgiving_periods
 from flightlag.sources.schema import cast_text
@@ -48,9 +49,9 @@ FEED_SETTINGS = Settings(
 FEED_BOUNDS = quality.Bounds(
     months=2,
     calendar_days=31,
-    flights_per_year=(1, 999999),
+    flights_per_year=(1, None),
     unexplained_share=0.01,
-    invalid_schedules=(0, 999999),
+    invalid_schedules=(0, None),
     on_time_pct=(50, 90),
     correlation=0.1,
     tight_over_loose=1.01,
@@ -59,6 +60,7 @@ FEED_BOUNDS = quality.Bounds(
 )
 # A narrowed view for the filter queries: the filter is what they show.
 NARROWED = Slice(carriers=("AA", "WN", "OO"), airports=("ATL", "DEN", "ORD", "HNL"))
+WEEK = replace(NARROWED, date_from=dt.date(2024, 1, 8), date_to=dt.date(2024, 1, 14))
 
 
 def portable(df: DataFrame) -> DataFrame:
@@ -127,10 +129,10 @@ class Inputs:
         return self.once("airports", write)
 
     def airport_rows(self) -> DataFrame:
-        """Stations of the feed and one more airport per customer.
+        """Stations of the feed and one more airport per code that customers share.
 
-        Customer keys are written in base 26; from 26^3 on they have four letters
-        and are dropped by the reader, as are codes that are missing.
+        A customer's code is its key in base 26, modulo 26^3. Two fixed rows more have
+        a missing code and a code of four letters, which the reader drops.
         """
         stations = inline_table(
             self.spark, station_zones(), "airport_code string, timezone string"
@@ -145,18 +147,20 @@ class Inputs:
         )
         k = F.col("c_custkey")
         digits = [F.pmod(F.floor(k / F.lit(26**n)), F.lit(26)) for n in (2, 1, 0)]
-        letters = F.concat(*[F.chr(d + 65) for d in digits])
-        longer = F.concat(letters, F.floor(k / F.lit(26**3)).cast("string"))
-        code = F.when(k % 97 == 5, F.lit("\\N")).when(k < 26**3, letters).otherwise(longer)
-        others = self.table("customer").select(
-            code.alias("airport_code"),
-            F.col("c_name").alias("airport_name"),
-            F.col("c_mktsegment").alias("city"),
-            F.concat(F.lit("NATION_"), F.col("c_nationkey")).alias("country"),
-            ((k % 180) - 90.0).alias("latitude"),
-            ((k % 360) - 180.0).alias("longitude"),
-            F.when(k % 5 == 0, F.lit(None)).otherwise(F.lit("America/Denver")).alias("timezone"),
+        others = (
+            self.table("customer")
+            .groupBy(F.concat(*[F.chr(d + 65) for d in digits]).alias("airport_code"))
+            .agg(
+                F.min("c_name").alias("airport_name"),
+                F.min("c_mktsegment").alias("city"),
+                F.concat(F.lit("NATION_"), F.min("c_nationkey")).alias("country"),
+                (F.min(k % 180) - 90.0).alias("latitude"),
+                (F.max(k % 360) - 180.0).alias("longitude"),
+                F.max(F.when(k % 5 != 0, F.lit("America/Denver"))).alias("timezone"),
+            )
         )
+        dropped = inline_table(self.spark, [(MISSING, "UTC"), ("ABCD", "UTC")], "airport_code string, timezone string")
+        others = others.unionByName(dropped, allowMissingColumns=True)
         return stations.unionByName(others.join(stations, "airport_code", "left_anti"))
 
     def text_feed(self) -> str:
@@ -467,8 +471,20 @@ on_warehouse("cascade_length", lambda wh: analyses.cascade_length(
     wh.cascade(), wh.settings.longest_reported_chain
 ))
 on_warehouse("top_stations", lambda wh: analyses.top_stations(
-    wh.turn_slack_opportunity(), wh.settings.top_station_rows
+    wh.turn_slack_opportunity(), wh.settings.top_station_rows, wh.settings.ranked_buffer
 ))
+
+
+@query
+def top_stations_by_5(x: Inputs) -> DataFrame:
+    """The same ranking with other buffers."""
+    wh, settings = x.warehouse(), replace(x.settings, ranked_buffer=5, added_buffers=(5, 20))
+    ranked = marts.mart_turn_slack_opportunity(
+        wh.rotation_leg(), wh.dim_airport(), wh.dim_carrier(), wh.cost(), settings
+    )
+    return analyses.top_stations(ranked, settings.top_station_rows, settings.ranked_buffer)
+
+
 on_warehouse("monthly_trend", lambda wh: analyses.monthly_trend(wh.carrier_monthly()))
 on_warehouse("turn_cutoff_sensitivity", lambda wh: analyses.turn_cutoff_sensitivity(
     wh.rotation_links()
@@ -508,17 +524,30 @@ on_warehouse("damage_vs_repair", lambda wh: explore.damage_vs_repair(
     wh.cascade(), wh.rotation_leg(), NARROWED
 ))
 on_warehouse("worst_cascade_days", lambda wh: explore.worst_cascade_days(
-    wh.rotation_leg(), Slice(), wh.settings
+    wh.rotation_links(), Slice(), wh.settings
 ))
 on_warehouse("rotation_timeline", lambda wh: explore.rotation_timeline(
     wh.rotation_leg(), wh.settings
 ))
 on_warehouse("cascade_start", lambda wh: explore.cascade_start(wh.rotation_leg(), wh.settings))
-on_warehouse("rotation_breaks", lambda wh: explore.rotation_breaks(wh.rotation_leg()))
-on_warehouse("station_opportunities", lambda wh: explore.station_opportunities(
-    wh.turn_slack_opportunity(), NARROWED, wh.settings.opportunity_rows
+on_warehouse("rotation_breaks", lambda wh: explore.rotation_breaks(wh.rotation_links()))
+def ranked_stations(wh: Warehouse) -> DataFrame:
+    s = wh.settings
+    return explore.station_opportunities(wh.turn_slack_opportunity(), NARROWED, s.opportunity_rows, s.ranked_buffer)
+
+
+on_warehouse("station_opportunities", ranked_stations)
+on_warehouse("station_labels", lambda wh: explore.station_labels(ranked_stations(wh)))
+on_warehouse("filtered_kpis_week", lambda wh: explore.filtered_kpis(wh.flight(), WEEK, wh.cost()))
+on_warehouse("filtered_trend_week", lambda wh: explore.filtered_trend(wh.flight(), WEEK))
+on_warehouse("one_aircraft_day", lambda wh: explore.one_aircraft_day(
+    wh.rotation_leg(), "N107", dt.date(2024, 1, 9)
+).select("tail_number", "flight_date", "leg_seq", "origin", "dest", "arr_delay", "is_continuation"))
+on_warehouse("event_window", lambda wh: analyses.event_vs_control(
+    wh.flight(), wh.settings.focus_carrier, WEEK.date_from, WEEK.date_to
 ))
 
+
 # ----------------------------------------------------------------------- quality
 
 on_warehouse("dq_suite", lambda wh: quality.dq_suite(wh, FEED_BOUNDS))

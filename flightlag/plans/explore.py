@@ -213,12 +213,12 @@ def rotation_breaks(legs: DataFrame) -> DataFrame:
     )
 
 
-def station_opportunities(opportunities: DataFrame, where: Slice, rows: int = 40) -> DataFrame:
+def station_opportunities(opportunities: DataFrame, where: Slice, rows: int = 40, ranked: int = 10) -> DataFrame:
     """Stations ranked by what a buffer would absorb; dates do not apply here."""
     undated = Slice(where.carriers, where.airports)
     return (
         opportunities.filter(undated.predicate("airport_code"))
-        .orderBy(F.col("minutes_saved_plus_10").desc(), "carrier", "airport_code")
+        .orderBy(F.col(f"minutes_saved_plus_{ranked}").desc(), "carrier", "airport_code")
         .limit(rows)
         .select(
             F.col("carrier_name").alias("carrier"),
@@ -234,8 +234,14 @@ def station_opportunities(opportunities: DataFrame, where: Slice, rows: int = 40
             F.col("min_feasible_turn_minutes").alias("min_turn"),
             F.col("median_slack_minutes").alias("slack"),
             F.col("tight_turn_pct").alias("tight_pct"),
-            F.col("minutes_saved_plus_10").alias("minutes_saved"),
-            F.col("efficiency_plus_10").alias("efficiency"),
-            F.col("delay_cost_avoided_usd_plus_10").alias("cost_avoided_usd"),
+            F.col(f"minutes_saved_plus_{ranked}").alias("minutes_saved"),
+            F.col(f"efficiency_plus_{ranked}").alias("efficiency"),
+            F.col(f"delay_cost_avoided_usd_plus_{ranked}").alias("cost_avoided_usd"),
         )
     )
+
+
+def station_labels(ranked: DataFrame, rows: int = 12) -> DataFrame:
+    """The first of the ranked stations with the label and figures a chart shows."""
+    shown = ranked.orderBy(F.col("minutes_saved").desc(), "carrier", "station").limit(rows)
+    return shown.select("label", "slack", "minutes_saved", "cost_avoided_usd")

@@ -202,7 +202,7 @@ def payload_series(wh, event_from=None, event_to=None) -> dict[str, tuple[DataFr
         ),
         "stations": (
             _rounded(
-                analyses.top_stations(wh.turn_slack_opportunity(), s.top_station_rows), cost_musd=1
+                analyses.top_stations(wh.turn_slack_opportunity(), s.top_station_rows, s.ranked_buffer), cost_musd=1
             ),
             [-F.col("saved"), "carrier", "station"],
         ),

@@ -139,11 +139,11 @@ def mart_route_reliability(
 
 
 def mart_cascade(
-    legs: DataFrame, carriers: DataFrame, cost: Column, settings: Settings = Settings()
+    links: DataFrame, carriers: DataFrame, cost: Column, settings: Settings = Settings()
 ) -> DataFrame:
     """One row per root delay with everything it went on to delay."""
     return named(
-        roll_up_islands(legs, cost, settings.min_root_minutes),
+        roll_up_islands(links, cost, settings.min_root_minutes),
         carriers,
         "carrier",
         carrier_name="carrier_name",

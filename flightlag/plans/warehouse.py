@@ -179,7 +179,7 @@ class Warehouse:
         return self._table(
             "mart_cascade",
             lambda: marts.mart_cascade(
-                self.rotation_leg(), self.dim_carrier(), self.cost(), self.settings
+                self.rotation_links(), self.dim_carrier(), self.cost(), self.settings
             ),
         )
 

@@ -183,12 +183,13 @@ SELECT code AS airport_code, code || ' Airport' AS airport_name, 'City of ' || c
        zone AS timezone
 FROM stations
 UNION ALL
-SELECT c.code, c_name, c_mktsegment, 'NATION_' || c_nationkey, k % 180 - 90.0, k % 360 - 180.0,
-       if(k % 5 = 0, NULL, 'America/Denver')
+SELECT code, min(c_name), min(c_mktsegment), 'NATION_' || min(c_nationkey), min(k % 180) - 90.0, max(k % 360) - 180.0,
+       max(if(k % 5 = 0, NULL, 'America/Denver'))
 FROM (SELECT *, c_custkey AS k,
              chr((65 + c_custkey // 676 % 26)::INT) || chr((65 + c_custkey // 26 % 26)::INT)
-               || chr((65 + c_custkey % 26)::INT) AS code FROM customer) c
-WHERE k % 97 <> 5 AND k < 17576 AND c.code NOT IN (SELECT code FROM stations)
+               || chr((65 + c_custkey % 26)::INT) AS code FROM customer)
+WHERE code NOT IN (SELECT code FROM stations)
+GROUP BY code
 """)
 
 step("corrected", """

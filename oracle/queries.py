@@ -380,6 +380,13 @@ FROM (SELECT *, row_number() OVER (ORDER BY minutes_saved_plus_10 DESC, carrier,
       FROM opportunities) WHERE place <= 10
 """
 oracle("top_stations", "s:carrier,station,city i:turns d:slack,tight,saved,cost_musd", TOP_TEN)
+oracle(
+    "top_stations_by_5",
+    "s:carrier,station,city i:turns d:slack,tight,saved,cost_musd",
+    TOP_TEN.replace("minutes_saved_plus_10", "minutes_saved_plus_5").replace(
+        "delay_cost_avoided_usd_plus_10 / 1e6", "round(minutes_saved_plus_5 * 98.41, 0) / 1e6"
+    ),
+)
 TREND = f"""
 SELECT month_start, {WEIGHTED_A14} AS a14_pct, {INHERITED_PCT} AS inherited_pct
 FROM monthly GROUP BY month_start
@@ -556,6 +563,8 @@ oracle(
 
 NARROW = "carrier IN ('AA', 'WN', 'OO') AND {airport} IN ('ATL', 'DEN', 'ORD', 'HNL')"
 BY_ORIGIN = NARROW.format(airport="origin")
+THE_WEEK = "flight_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'"
+IN_WEEK = f"{BY_ORIGIN} AND {THE_WEEK}"
 oracle(
     "filter_domain",
     "s:kind,code,label,detail i:volume",
@@ -591,6 +600,42 @@ SELECT date_trunc('month', flight_date) AS month_start, {pct('is_on_time_a14')}
 FROM flights WHERE {BY_ORIGIN} GROUP BY 1
 """,
 )
+oracle(
+    "filtered_kpis_week",
+    "i:flights d:a14_pct,completion_pct,cancellation_pct,mean_arr_delay,p90_arr_delay i:root_minutes,"
+    "inherited_minutes d:inherited_pct,inherited_cost_usd",
+    f"""
+SELECT *, 100.0 * inherited_minutes / nullif(root_minutes + inherited_minutes, 0) AS inherited_pct,
+       inherited_minutes * 98.41::DOUBLE AS inherited_cost_usd
+FROM (SELECT count(*) AS flights, {pct('is_on_time_a14')} AS a14_pct, {pct('completed')} AS completion_pct,
+             {pct('cancelled')} AS cancellation_pct, avg(arr_delay) AS mean_arr_delay,
+             quantile_cont(arr_delay, 0.9) AS p90_arr_delay, sum(root_delay_minutes) AS root_minutes,
+             sum(inherited_delay_minutes) AS inherited_minutes
+      FROM flights WHERE {IN_WEEK})
+""",
+)
+oracle(
+    "filtered_trend_week",
+    "y:month_start d:a14_pct,inherited_pct",
+    f"""
+SELECT date_trunc('month', flight_date) AS month_start, {pct('is_on_time_a14')} AS a14_pct,
+       {INHERITED_PCT} AS inherited_pct
+FROM flights WHERE {IN_WEEK} GROUP BY 1
+""",
+)
+oracle(
+    "one_aircraft_day",
+    "s:tail_number y:flight_date i:leg_seq s:origin,dest i:arr_delay b:is_continuation",
+    "SELECT * FROM legs WHERE tail_number = 'N107' AND flight_date = DATE '2024-01-09'",
+)
+oracle(
+    "event_window",
+    "y:flight_date d:event_pct,control_pct b:is_peak",
+    f"""
+SELECT *, row_number() OVER (ORDER BY event_pct DESC NULLS LAST, flight_date) = 1 AS is_peak
+FROM ({EVENT.replace("FROM flights", f"FROM flights WHERE {THE_WEEK}")})
+""",
+)
 DAMAGE_SLICE = f"""
 SELECT root_dep_hour_local AS hour, count(*) AS roots, avg(downstream_legs) AS legs,
        avg(downstream_delay_minutes) AS minutes, {exact_avg('amplification_ratio', 2)} AS amplification
@@ -683,6 +728,21 @@ WHERE place <= 40
 """,
 )
 
+oracle(
+    "station_labels",
+    "s:label d:slack,minutes_saved,cost_avoided_usd",
+    f"""
+SELECT carrier_name AS carrier, airport_code AS station,
+       replace(carrier_name, ' Airlines', '') || ' · ' || airport_code AS label, city, turns,
+       median_sched_turn_minutes AS sched_turn, min_feasible_turn_minutes AS min_turn,
+       median_slack_minutes AS slack, tight_turn_pct AS tight_pct, minutes_saved_plus_10 AS minutes_saved,
+       efficiency_plus_10 AS efficiency, delay_cost_avoided_usd_plus_10 AS cost_avoided_usd
+FROM (SELECT *, row_number() OVER (ORDER BY minutes_saved_plus_10 DESC, carrier, airport_code) AS place
+      FROM opportunities WHERE {NARROW.format(airport='airport_code')})
+WHERE place <= 12
+""",
+)
+
 # ----------------------------------------------------------------------- quality
 
 
@@ -710,8 +770,8 @@ PAIR_AVG = (
 CHECKS = [
     check("every_month_present", "= 2", "SELECT count(DISTINCT year * 100 + month) FROM flights", "o = 2"),
     check(
-        "flights_per_year_plausible", "> 1 and < 999999",
-        "SELECT count(*) / count(DISTINCT year) FROM flights", "o > 1 AND o < 999999",
+        "flights_per_year_plausible", "> 1",
+        "SELECT count(*) / count(DISTINCT year) FROM flights", "o > 1",
     ),
     violations(
         "causes_sum_to_arrival_delay", "flights",
@@ -729,8 +789,8 @@ CHECKS = [
     ),
     violations("arrival_follows_departure", "flights", "sched_arr_utc <= sched_dep_utc"),
     check(
-        "invalid_schedules_flagged", "> 0 and < 999999",
-        "SELECT count(*) FROM flights WHERE crs_elapsed_time <= 0", "o > 0 AND o < 999999",
+        "invalid_schedules_flagged", "> 0",
+        "SELECT count(*) FROM flights WHERE crs_elapsed_time <= 0", "o > 0",
     ),
     violations("invalid_schedules_have_no_arrival", "flights", "NOT is_schedule_valid AND sched_arr_utc IS NOT NULL"),
     violations(
