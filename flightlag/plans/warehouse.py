@@ -13,6 +13,7 @@ from flightlag.plans import dimensions, facts, marts, staging
 from flightlag.session import pin_session, scratch_path
 from flightlag.settings import Settings
 from flightlag.sources.airports import with_overrides
+from flightlag.sources.raw_feed import read_months
 from flightlag.sources.reference import cost_assumptions, cost_per_minute, one_row
 from flightlag.sources.tables import TableStore
 
@@ -20,6 +21,9 @@ from flightlag.sources.tables import TableStore
 class Warehouse:
     """Models over a typed feed and an airport table.
 
+    ``feed`` is the root of a month store, which is read where it lies, or a
+    DataFrame, which may be costly to compute and is stored once.
+
     Every model is written as parquet below ``root`` (by default a fresh folder
     in the shared directory of the session) and read back, so later models start
     from stored data: a lost executor costs the running stage only, and Spark
@@ -29,7 +33,7 @@ class Warehouse:
     def __init__(
         self,
         spark: SparkSession,
-        feed: DataFrame,
+        feed: DataFrame | str,
         airports: DataFrame,
         settings: Settings = Settings(),
         root: str | None = None,
@@ -57,6 +61,8 @@ class Warehouse:
 
     def feed(self) -> DataFrame:
         """The typed feed by month."""
+        if isinstance(self._feed, str):
+            return read_months(self.spark, self._feed)
         return self._table("feed", lambda: self._feed, ("year", "month"), compact=True)
 
     def stg_airport(self) -> DataFrame:
@@ -233,6 +239,10 @@ class Warehouse:
         log = [(name, model().count(), self.seconds.get(name)) for name, model in self.models().items()]
         return self.spark.createDataFrame(log, "model string, rows long, seconds double")
 
+    def close(self) -> None:
+        """Remove the model tables; a month store given as feed stays."""
+        self.store.drop()
+
     def register(self, prefix: str = "") -> None:
         """Name every model for SQL."""
         for name, model in self.models().items():

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from flightlag.sources.reference import one_row
 from flightlag.sources.schema import FEED_COLUMNS, FEED_SCHEMA, cast_text, text_cell
+from flightlag.sources.tables import folder_exists
 
 ENCODING = "ISO-8859-1"
 
@@ -61,7 +62,9 @@ def write_months(typed: DataFrame, root: str) -> None:
 
 
 def read_months(spark: SparkSession, root: str) -> DataFrame:
-    """All months below ``root``; year and month come from the folders."""
+    """All months below ``root``, none if it does not exist; year and month come from the folders."""
+    if not folder_exists(spark, root):
+        return spark.createDataFrame([], FEED_SCHEMA)
     return spark.read.schema(FEED_SCHEMA).parquet(root)
 
 

@@ -7,6 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    system, folder = _folder(spark, path)
+    return system.exists(folder)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    system, folder = _folder(spark, path)
+    system.delete(folder, True)
+
+
 class TableStore:
     """Write a DataFrame once, read it back as a table with known size."""
 
@@ -39,5 +54,10 @@ class TableStore:
             reader = reader.schema(self._schemas[name])
         return reader.parquet(self.path(name))
 
+    def drop(self) -> None:
+        """Remove the folder and forget its tables."""
+        delete_folder(self.spark, self.root)
+        self._schemas.clear()
+
     def has(self, name: str) -> bool:
         return name in self._schemas

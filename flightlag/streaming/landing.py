@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from flightlag.sources.raw_feed import ENCODING, read_text_feed, typed_projection
+from flightlag.session import scratch_path
+from flightlag.sources.raw_feed import ENCODING, read_months, read_text_feed, typed_projection, write_months
 from flightlag.sources.schema import FEED_COLUMNS
+from flightlag.sources.tables import delete_folder
 
 TEXT_SCHEMA = T.StructType([T.StructField(source, T.StringType()) for source, _, _ in FEED_COLUMNS])
 
@@ -33,15 +35,23 @@ def watch_landing(spark: SparkSession, landing: str, schema: T.StructType = TEXT
 def ingest_landing(typed: DataFrame, root: str, checkpoint: str) -> StreamingQuery:
     """Store what has landed since the last run, then stop.
 
-    The checkpoint remembers finished files, so a month is stored exactly once
-    and a run after a failure continues where the last one ended.
+    The months a batch touches are read, joined by the new rows and replaced by the
+    writer that batches use, so streaming and batch may share a store. Rows equal in
+    all columns count once: a month that lands twice, or a batch that is repeated
+    after a failure, changes nothing.
     """
+
+    def merge(batch: DataFrame, _: int) -> None:
+        spark = batch.sparkSession
+        touched = read_months(spark, root).join(batch.select("year", "month").distinct(), ["year", "month"], "left_semi")
+        path = scratch_path(spark, "landed")
+        batch.unionByName(touched).distinct().write.parquet(path)
+        write_months(spark.read.schema(batch.schema).parquet(path), root)
+        delete_folder(spark, path)
+
     return (
-        typed.writeStream.format("parquet")
-        .option("path", root)
+        typed.writeStream.foreachBatch(merge)
         .option("checkpointLocation", checkpoint)
-        .option("compression", "zstd")
-        .partitionBy("year", "month")
         .trigger(availableNow=True)
         .start()
     )

@@ -152,6 +152,21 @@ def test_landing_files_are_stored_once(spark, tmp_path):
         header=True, encoding=raw_feed.ENCODING
     ).csv(landing)
     assert run() == {(2024, 1, 3), (2024, 2, 3)}
+    # The same month again, and a month that a batch job stores.
+    raw_feed.to_text_feed(feed(spark, [(2024, 2)])).write.mode("append").options(
+        header=True, encoding=raw_feed.ENCODING
+    ).csv(landing)
+    raw_feed.write_months(feed(spark, [(2024, 3)]), root)
+    assert run() == {(2024, 1, 3), (2024, 2, 3), (2024, 3, 3)}
+    raw_feed.write_months(feed(spark, [(2024, 1)]), root)
+    assert run() == {(2024, 1, 3), (2024, 2, 3), (2024, 3, 3)}
+
+
+def test_an_empty_store_has_no_months(spark, tmp_path):
+    root = str(tmp_path / "none yet")
+    assert raw_feed.stored_months(spark, root).count() == 0
+    raw_feed.ingest_new_months(feed(spark, [(2024, 1)]), spark.sql("SELECT 2024 AS year, 1 AS month"), root)
+    assert raw_feed.stored_months(spark, root).count() == 1
 
 
 def test_landing_files_with_more_columns(spark, tmp_path):

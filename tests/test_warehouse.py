@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from flightlag import Settings, Warehouse
+from flightlag.operators.cascades import roll_up_islands
 from flightlag.operators.checks import Check, equal, none, run_checks
 from flightlag.operators.filters import Slice
 from flightlag.plans import explore, exports, facts, marts, quality
-from flightlag.plans.catalog import FEED_SETTINGS, inputs
+from flightlag.plans.catalog import FEED_SETTINGS, Inputs, inputs
 from flightlag.sources.airports import read_airport_file
 from flightlag.sources.event_feed import legs_from_events
+from flightlag.sources.tables import folder_exists
 
 
 @pytest.fixture(scope="module")
@@ -36,15 +38,19 @@ def shuffles(df) -> int:
 # -------------------------------------------------------------------------- plans
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(entry_module.QUERIES))
 def test_no_query_crosses_rows_or_runs_python(spark, sf_dir, wh, name):
-    text = plan(entry_module.queries()[name](spark, sf_dir))
+    text = plan(entry_module.QUERIES[name](spark, sf_dir))
     for bad in ("CartesianProduct", "NestedLoop", "PythonUDF", "EvalPython", "ExistingRDD", "MapInPandas"):
         assert bad not in text
 
 
 def test_rotation_needs_one_exchange(wh):
-    assert shuffles(facts.rotation_links(wh.flight(), wh.settings)) == 1
+    """As it runs: without a long aircraft nothing is left of cutting and carrying."""
+    links = facts.rotation_links(wh.flight(), wh.settings)
+    links.collect()
+    ran = plan(links).split("== Initial Plan ==")[0]
+    assert len(re.findall(r"Exchange hash", ran)) == 1 and "Join" not in ran
     assert shuffles(facts.fct_rotation_leg(wh.rotation_links(), wh.min_turn())) == 0
 
 
@@ -100,6 +106,43 @@ def test_hot_aircraft_gives_the_same_tables(spark, sf_dir):
 # ------------------------------------------------------------------------ building
 
 
+def test_a_stored_feed_is_read_where_it_lies(spark, sf_dir):
+    x = inputs(spark, sf_dir)
+    settings = dataclasses.replace(FEED_SETTINGS, tie_break=Settings().tie_break)
+    wh = Warehouse(spark, x.month_root(), read_airport_file(spark, x.airport_file()), settings)
+    wh.zone_offsets()
+    staged = plan(wh.stg_flight())
+    assert "Exchange hashpartitioning" not in staged and x.month_root() in staged
+    wh.materialise()
+    assert not folder_exists(spark, wh.store.path("feed")) and folder_exists(spark, wh.store.path("fct_flight"))
+    wh.close()
+    assert not folder_exists(spark, wh.store.root) and folder_exists(spark, x.month_root())
+
+
+def test_cascades_take_one_scan_and_one_shuffle(wh):
+    text = plan(roll_up_islands(wh.rotation_links(), F.lit(98.41)))
+    assert text.count("FileScan") == 1 and text.count("Exchange") == 1 and "Join" not in text
+
+
+def test_other_buffers(spark, wh):
+    settings = dataclasses.replace(FEED_SETTINGS, ranked_buffer=5, added_buffers=(5, 20), opportunity_min_turns=3)
+    stations = marts.mart_turn_slack_opportunity(
+        wh.rotation_leg(), wh.dim_airport(), wh.dim_carrier(), wh.cost(), settings
+    )
+    assert explore.station_opportunities(stations, Slice(), 40, 5).count() > 0
+    assert explore.station_labels(explore.station_opportunities(stations, Slice(), 40, 5), 3).count() == 3
+
+
+def test_every_customer_counts(spark, sf_dir):
+    x = Inputs(spark, sf_dir)
+    keys = spark.range(17_570, 17_590).select(
+        F.col("id").alias("c_custkey"), F.lit("n").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit("m").alias("c_mktsegment")
+    )
+    x.table = lambda name: keys
+    codes = {r.airport_code for r in x.airport_rows().collect()}
+    assert {"ZZU", "ZZZ", "AAA", "AAN"} <= codes and {"\\N", "ABCD"} <= codes
+
+
 def test_build_log(wh):
     log = {r.model: r.rows for r in wh.build().collect()}
     assert len(log) == 15
