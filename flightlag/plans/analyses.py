@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightlag.functions.numeric import from_units, open_bucket, pearson, percent, rate, ratio, whole_units
@@ -28,8 +28,8 @@ def few(value: str | Column) -> Column:
 def scope(flights: DataFrame) -> DataFrame:
     """Size of the data and the headline rates."""
     done = F.col("completed")
-    airframes = flights.agg(F.count_distinct("tail_number")).scalar()
     return flights.agg(
+        F.count_distinct("tail_number").alias("airframes"),
         F.count("*").alias("flights"),
         few("carrier").alias("carriers"),
         few("origin").alias("airports"),
@@ -40,7 +40,7 @@ def scope(flights: DataFrame) -> DataFrame:
         rate(F.sum(F.col("cancelled").cast("int")), F.count("*")).alias("cancellation_pct"),
         F.avg(F.when(done, F.col("arr_delay"))).alias("mean_arr_delay"),
         interpolated(F.when(done, F.col("arr_delay")), 0.90).alias("p90_arr_delay"),
-    ).withColumn("airframes", airframes)
+    )
 
 
 def inherited_share(flights: DataFrame, cost: Column) -> DataFrame:
@@ -245,10 +245,9 @@ def event_vs_control(
         rate(F.sum(F.when(own, lost)), F.count(F.when(own, lost))).alias("event_pct"),
         rate(F.sum(F.when(~own, lost)), F.count(F.when(~own, lost))).alias("control_pct"),
     )
-    peak = days.agg(
-        F.max_by("flight_date", F.struct("event_pct", -F.unix_date("flight_date")))
-    ).scalar()
-    return days.withColumn("is_peak", F.col("flight_date") == peak)
+    # One row per day, so the ranking needs no second look at the flights.
+    worst_first = Window.orderBy(F.col("event_pct").desc_nulls_last(), "flight_date")
+    return days.withColumn("is_peak", F.row_number().over(worst_first) == 1)
 
 
 def cascade_length(cascades: DataFrame, longest: int = 8) -> DataFrame:

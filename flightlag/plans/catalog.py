@@ -552,12 +552,7 @@ on_warehouse("event_window", lambda wh: analyses.event_vs_control(
 
 on_warehouse("dq_suite", lambda wh: quality.dq_suite(wh, FEED_BOUNDS))
 on_warehouse("table_profile", lambda wh: quality.table_profile(
-    {
-        "dim_carrier": wh.dim_carrier(),
-        "ref_min_turn": wh.min_turn(),
-        "mart_cascade": wh.cascade(),
-        "mart_airport_daily": wh.airport_daily(),
-    }
+    {name: model() for name, model in wh.models().items()}
 ))
 
 

@@ -862,31 +862,142 @@ CHECKS = [
 oracle("dq_suite", "s:check_name d:observed s:bound b:passed", "\nUNION ALL\n".join(CHECKS))
 
 PROFILED = {
+    "stg_airport": (
+        "airport_ref",
+        "airport_code:string airport_name:string city:string country:string latitude:double longitude:double "
+        "timezone:string",
+    ),
+    "stg_flight": (
+        "flights",
+        "origin_tz:string dest:string origin:string event_id:bigint flight_date:date crs_dep_time:int "
+        "carrier:string tail_number:string flight_number:int crs_elapsed_time:int cancelled:boolean "
+        "diverted:boolean cancellation_code:string arr_delay:int dep_delay:int taxi_out:int "
+        "distance_miles:double quarter:int day_of_month:int day_of_week:int arr_delay_minutes:int "
+        "dep_delay_minutes:int arr_del15:boolean dep_del15:boolean actual_elapsed_time:int carrier_delay:int "
+        "weather_delay:int nas_delay:int security_delay:int late_aircraft_delay:int air_time:int year:int "
+        "month:int dest_tz:string sched_dep_local:timestamp_ntz sched_dep_utc:timestamp "
+        "is_schedule_valid:boolean sched_arr_utc:timestamp actual_dep_utc:timestamp actual_arr_utc:timestamp",
+    ),
+    "dim_airport": (
+        "airports",
+        "airport_code:string airport_name:string city:string country:string latitude:double longitude:double "
+        "timezone:string departures:bigint arrivals:bigint departure_share:double size_band:string "
+        "is_mapped:boolean",
+    ),
     "dim_carrier": (
         "carriers",
         "carrier:string carrier_name:string carrier_type:string operates_for:string is_mapped:boolean "
         "flights:bigint first_seen:date last_seen:date",
     ),
+    "dim_date": (
+        "dates",
+        "date_day:date year:int quarter:int month:int month_name:string day_of_month:int iso_day_of_week:int "
+        "day_name:string is_weekend:boolean holiday_name:string is_federal_holiday:boolean "
+        "travel_period:string",
+    ),
+    "fct_flight": (
+        "flights",
+        "flight_date:date carrier:string flight_number:int tail_number:string origin:string dest:string "
+        "quarter:int day_of_week:int sched_dep_utc:timestamp sched_arr_utc:timestamp actual_dep_utc:timestamp "
+        "actual_arr_utc:timestamp sched_dep_local:timestamp_ntz crs_dep_time:int cancelled:boolean "
+        "cancellation_code:string diverted:boolean is_schedule_valid:boolean dep_delay:int "
+        "dep_delay_minutes:int dep_del15:boolean arr_delay:int arr_delay_minutes:int arr_del15:boolean "
+        "taxi_out:int crs_elapsed_time:int actual_elapsed_time:int air_time:int distance_miles:double "
+        "carrier_delay:int weather_delay:int nas_delay:int security_delay:int late_aircraft_delay:int "
+        "event_id:bigint route:string sched_dep_hour_local:int cancellation_reason:string completed:boolean "
+        "is_on_time_a14:boolean block_time_variance:int primary_cause:string has_cause_attribution:boolean "
+        "has_complete_attribution:boolean root_delay_minutes:int inherited_delay_minutes:int "
+        "controllable_root_minutes:int external_root_minutes:int year:int month:int",
+    ),
+    "int_rotation_leg": (
+        "legs",
+        "tail_number:string flight_date:date carrier:string flight_number:int origin:string dest:string "
+        "quarter:int day_of_week:int sched_dep_utc:timestamp sched_arr_utc:timestamp actual_dep_utc:timestamp "
+        "actual_arr_utc:timestamp sched_dep_local:timestamp_ntz crs_dep_time:int dep_delay:int "
+        "dep_delay_minutes:int dep_del15:boolean arr_delay:int arr_delay_minutes:int arr_del15:boolean "
+        "taxi_out:int crs_elapsed_time:int actual_elapsed_time:int air_time:int distance_miles:double "
+        "carrier_delay:int weather_delay:int nas_delay:int security_delay:int late_aircraft_delay:int "
+        "event_id:bigint route:string sched_dep_hour_local:int is_on_time_a14:boolean block_time_variance:int "
+        "primary_cause:string has_cause_attribution:boolean has_complete_attribution:boolean "
+        "root_delay_minutes:int inherited_delay_minutes:int controllable_root_minutes:int "
+        "external_root_minutes:int leg_seq:bigint prev_dest:string prev_carrier:string prev_flight_date:date "
+        "prev_flight_number:int prev_origin:string prev_sched_arr_utc:timestamp prev_actual_arr_utc:timestamp "
+        "prev_arr_delay:int prev_root_delay_minutes:int prev_inherited_delay_minutes:int "
+        "prev_primary_cause:string sched_turn_minutes:bigint actual_turn_minutes:bigint "
+        "is_continuation:boolean is_inheriting:boolean cascade_id:bigint cascade_position:bigint "
+        "cascade_length:bigint year:int month:int",
+    ),
     "ref_min_turn": (
         "floors",
         "carrier:string airport:string sample_size:bigint min_turn_minutes:double benchmark_level:string",
     ),
-    "mart_cascade": (
-        "cascades",
-        "carrier:string tail_number:string cascade_id:bigint flight_date:date root_origin:string root_dest:string "
-        "root_sched_dep_utc:timestamp root_dep_hour_local:int root_arr_delay:int root_delay_minutes:int "
-        "root_controllable_minutes:int root_external_minutes:int root_primary_cause:string "
-        "downstream_legs:bigint downstream_delay_minutes:bigint downstream_stations_touched:bigint "
-        "total_cascade_minutes:bigint amplification_ratio:double total_cascade_cost_usd:decimal(38,2) "
-        "carrier_name:string carrier_type:string",
+    "fct_rotation_leg": (
+        "legs",
+        "carrier:string origin:string tail_number:string flight_date:date flight_number:int dest:string "
+        "quarter:int day_of_week:int sched_dep_utc:timestamp sched_arr_utc:timestamp actual_dep_utc:timestamp "
+        "actual_arr_utc:timestamp sched_dep_local:timestamp_ntz crs_dep_time:int dep_delay:int "
+        "dep_delay_minutes:int dep_del15:boolean arr_delay:int arr_delay_minutes:int arr_del15:boolean "
+        "taxi_out:int crs_elapsed_time:int actual_elapsed_time:int air_time:int distance_miles:double "
+        "carrier_delay:int weather_delay:int nas_delay:int security_delay:int late_aircraft_delay:int "
+        "event_id:bigint route:string sched_dep_hour_local:int is_on_time_a14:boolean block_time_variance:int "
+        "primary_cause:string has_cause_attribution:boolean has_complete_attribution:boolean "
+        "root_delay_minutes:int inherited_delay_minutes:int controllable_root_minutes:int "
+        "external_root_minutes:int leg_seq:bigint prev_dest:string prev_carrier:string prev_flight_date:date "
+        "prev_flight_number:int prev_origin:string prev_sched_arr_utc:timestamp prev_actual_arr_utc:timestamp "
+        "prev_arr_delay:int prev_root_delay_minutes:int prev_inherited_delay_minutes:int "
+        "prev_primary_cause:string sched_turn_minutes:bigint actual_turn_minutes:bigint "
+        "is_continuation:boolean is_inheriting:boolean cascade_id:bigint cascade_position:bigint "
+        "cascade_length:bigint year:int month:int min_turn_minutes:double benchmark_level:string "
+        "turn_slack_minutes:double predicted_inherited_minutes:double inherited_prediction_error:double "
+        "cancelled:boolean diverted:boolean completed:boolean is_schedule_valid:boolean "
+        "cancellation_code:string cancellation_reason:string",
+    ),
+    "ref_cost_assumption": (
+        "(SELECT 1 AS assumption, 1 AS value, 1 AS note, 1 AS source FROM range(2))",
+        "assumption:string value:decimal(5,2) note:string source:string",
+    ),
+    "mart_carrier_monthly": (
+        "monthly",
+        "carrier:string year:int month:int scheduled_flights:bigint completed_flights:bigint "
+        "cancelled_flights:bigint diverted_flights:bigint on_time_arrival_pct:double "
+        "completion_factor_pct:double cancellation_rate_pct:double avg_arr_delay_minutes:double "
+        "p90_arr_delay_minutes:double median_arr_delay_minutes:double root_delay_minutes:bigint "
+        "inherited_delay_minutes:bigint controllable_root_minutes:bigint external_root_minutes:bigint "
+        "avg_block_variance_minutes:double month_start:date inherited_share_pct:double carrier_name:string "
+        "carrier_type:string",
     ),
     "mart_airport_daily": (
         "daily",
-        "flight_date:date airport_code:string departures:bigint carriers_operating:bigint cancellations:bigint "
-        "cancellation_rate_pct:double departures_delayed_pct:double avg_dep_delay_minutes:double "
-        "p90_dep_delay_minutes:double avg_taxi_out_minutes:double root_delay_minutes:bigint "
-        "inherited_delay_minutes:bigint city:string size_band:string travel_period:string "
-        "is_federal_holiday:boolean day_name:string",
+        "flight_date:date airport_code:string departures:bigint carriers_operating:bigint "
+        "cancellations:bigint cancellation_rate_pct:double departures_delayed_pct:double "
+        "avg_dep_delay_minutes:double p90_dep_delay_minutes:double avg_taxi_out_minutes:double "
+        "root_delay_minutes:bigint inherited_delay_minutes:bigint city:string size_band:string "
+        "travel_period:string is_federal_holiday:boolean day_name:string",
+    ),
+    "mart_route_reliability": (
+        "routes",
+        "carrier:string dest:string origin:string route:string flights:bigint distance_miles:double "
+        "avg_scheduled_block_minutes:double on_time_arrival_pct:double cancellation_rate_pct:double "
+        "avg_arr_delay_minutes:double p90_arr_delay_minutes:double avg_block_variance_minutes:double "
+        "avg_air_time_minutes:double root_delay_minutes:bigint inherited_delay_minutes:bigint "
+        "origin_city:string origin_size_band:string dest_city:string carrier_name:string",
+    ),
+    "mart_cascade": (
+        "cascades",
+        "carrier:string tail_number:string cascade_id:bigint flight_date:date root_origin:string "
+        "root_dest:string root_sched_dep_utc:timestamp root_dep_hour_local:int root_arr_delay:int "
+        "root_delay_minutes:int root_controllable_minutes:int root_external_minutes:int "
+        "root_primary_cause:string downstream_legs:bigint downstream_delay_minutes:bigint "
+        "downstream_stations_touched:bigint total_cascade_minutes:bigint amplification_ratio:double "
+        "total_cascade_cost_usd:decimal(38,2) carrier_name:string carrier_type:string",
+    ),
+    "mart_turn_slack_opportunity": (
+        "opportunities",
+        "carrier:string airport_code:string benchmark_level:string turns:bigint "
+        "median_sched_turn_minutes:double min_feasible_turn_minutes:double median_slack_minutes:double "
+        "tight_turn_pct:double actual_inherited_minutes:bigint minutes_saved_plus_5:double "
+        "minutes_saved_plus_10:double minutes_saved_plus_15:double efficiency_plus_10:double "
+        "delay_cost_avoided_usd_plus_10:double city:string size_band:string carrier_name:string",
     ),
 }
 
