@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from flightlag.session import scratch_path
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -28,6 +29,16 @@ def _setting(spark: SparkSession, key: str, value: str):
             spark.conf.set(key, before)
 
 
+def bound_batches(spark: SparkSession, size: str = "4m") -> None:
+    """Let Python workers get few texts at a time, unless the session says how many bytes.
+
+    A batch of 10,000 records may else hold any number of bytes, several times over in
+    the executor and its worker. Results do not depend on it.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, size)
+
+
 def store(df: DataFrame, label: str) -> DataFrame:
     """Write a table below the shared folder and read it back.
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlag.llm.common import flat_text, lower_ascii, pieces, read_table, store
+from flightlag.llm.common import bound_batches, flat_text, lower_ascii, pieces, read_table, store
 
 #: Words of a span that must be found wherever it is shared.
 SPAN = 13
@@ -212,6 +212,7 @@ def contamination(
     each by its own text, items that repeat one count once, items without an id mark
     words but are not counted. Empty tables give no rows, or no hits.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     scanned = f"id {kind}, text_hash long, n_words long, prints {FINGERPRINTS}"
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlag.llm.common import flat_text, lower_ascii, pieces, read_table
+from flightlag.llm.common import bound_batches, flat_text, lower_ascii, pieces, read_table
 
 #: Bytes of context at most.
 ORDER = 3
@@ -18,7 +18,7 @@ UNDETERMINED = "und"
 #: The model is fitted on at most about so many documents per language, chosen by hash.
 FIT_DOCUMENTS = 10_000
 #: Languages (most frequent first) and grams (most frequent first) a model keeps.
-MAX_LANGUAGES, MAX_GRAMS = 64, 400_000
+MAX_LANGUAGES, MAX_GRAMS = 64, 120_000
 TEXT_AT_ONCE = 1 << 20
 
 
@@ -88,7 +88,6 @@ class Statistics:
     lang: np.ndarray
     gram: np.ndarray
     n: np.ndarray
-    name: str = ""
 
 
 class CodeLengths:
@@ -125,6 +124,7 @@ class CodeLengths:
         self.row_of = np.repeat((w + np.arange(len(pairs), dtype=np.int32))[:, None], w, 1)
         self.row_of[triples // w, triples % w] = w + len(pairs) + np.arange(len(triples))
         for k in range(self.n_languages):
+            # One language at a time, so the work arrays are of one language only.
             mine = lang == k
             flat = self._escape(np.zeros(mine.sum(), np.int64), s[mine], n[mine], np.full((1, w), 8.0))
             one = self._escape(c1[mine], s[mine], n[mine], np.repeat(flat, w, 0))
@@ -158,17 +158,6 @@ class CodeLengths:
         return out
 
 
-_LENGTHS: dict[str, CodeLengths] = {}
-
-
-def _code_lengths(statistics: Statistics) -> CodeLengths:
-    """Unfolded once per worker process."""
-    if statistics.name not in _LENGTHS:
-        _LENGTHS.clear()
-        _LENGTHS[statistics.name] = CodeLengths(statistics)
-    return _LENGTHS[statistics.name]
-
-
 def has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Whether each text has a letter of any script."""
     low = lower_ascii(raw)
@@ -198,6 +187,7 @@ class LanguageModel:
         A language with more than ``fit_documents`` rows gives about so many, chosen
         by the hash of id and text, the same in every run.
         """
+        bound_batches(docs.sparkSession)
         taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
         found = (
             taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
@@ -221,8 +211,7 @@ class LanguageModel:
         )
         kept = grams.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
         arrays = [kept[c].to_numpy() for c in ("lang", "gram", "n")]
-        name = f"{languages}:{hash(b''.join(a.tobytes() for a in arrays))}"
-        return cls(Statistics(tuple(languages), *arrays, name))
+        return cls(Statistics(tuple(languages), *arrays))
 
     def predict(self, docs: DataFrame, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
         """``docs`` with the predicted language and its probability; columns so named give way.
@@ -232,12 +221,14 @@ class LanguageModel:
         no letter, and all texts if nothing was learned, are ``und`` with score 0.
         Whole texts are scored, in the rows they are in, without a shuffle.
         """
+        bound_batches(docs.sparkSession)
         statistics = self.statistics
         names = np.array([*statistics.languages, UNDETERMINED], object)
 
         @F.arrow_udf("struct<pred:string,score:double>")
         def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            lengths = _code_lengths(statistics) if statistics.languages else None
+            # Unfolded per task and gone with it: later stages need the worker's memory.
+            lengths = CodeLengths(statistics) if statistics.languages else None
             for batch in texts:
                 best, sure = [], []
                 for part in pieces(iter([pa.RecordBatch.from_arrays([batch], names=["text"])]), "text", TEXT_AT_ONCE):

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlag.llm.common import read_table
+from flightlag.llm.common import bound_batches, read_table
 
 KINDS = ("assign", "access", "hex", "lexed")
 #: A literal is reported from this score on.
@@ -171,6 +171,7 @@ def scan_secrets(docs: DataFrame, text: str = "text", name: str = "secrets") ->
     Rows are scanned where they are, without a shuffle. Null and empty texts have no
     spans, repeated rows get the same ones. A text is one unit of work.
     """
+    bound_batches(docs.sparkSession)
     return docs.withColumn(name, secret_spans(F.col(text)))
 
 

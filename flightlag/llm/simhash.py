@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlag.llm.common import read_table, store, unsigned_hex
+from flightlag.llm.common import bound_batches, read_table, store, unsigned_hex
 from flightlag.llm.components import components
 
 BITS = 64
@@ -299,6 +299,7 @@ def near_groups(
     Equal fingerprints are one value in all that follows, so a large group of copies
     costs one value; the joins back to rows are split by adaptive execution.
     """
+    bound_batches(docs.sparkSession)
     prints = store(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text)).alias("value")), "fingerprints")
     values = store(prints.groupBy("value").agg(F.min("doc_id").alias("least")), "values")
     links = store(near_links(values.select("value"), max_bits), "links")

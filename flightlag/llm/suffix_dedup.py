@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlag.llm.common import discard, flat_text, pieces, read_table, store_at, utf8_length
+from flightlag.llm.common import bound_batches, discard, flat_text, pieces, read_table, store_at, utf8_length
 from flightlag.session import scratch_path
 
 #: A repeated string has so many bytes at least; windows a suffix stands for; bytes of the first buckets.
@@ -358,6 +358,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     adaptive execution splits.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"),

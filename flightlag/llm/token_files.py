@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from flightlag.llm.common import discard, pieces, read_table, store_at
+from flightlag.llm.common import bound_batches, discard, pieces, read_table, store_at
 from flightlag.llm.rans import Block, Table, encode
 from flightlag.session import scratch_path
 
@@ -213,6 +213,7 @@ def write_token_files(
     one number per id of the vocabulary. The raw blocks are removed afterwards.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("text"))
     order = [F.col("doc_id").asc(), F.xxhash64("text").asc()]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
@@ -281,6 +282,7 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     ``start`` counts the ids of all documents before. Blocks are decoded wherever
     they are; the ids of earlier parts are added from one row per part.
     """
+    bound_batches(spark)
     blocks = spark.read.schema(FILE_SCHEMA).parquet(f"{path}/blocks")
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = (
