@@ -55,24 +55,17 @@ def islands(
         .withColumns({"_starts": F.count("_start").over(upto), "_first": F.max("_start").over(upto)})
         .withColumns({"_run_last": F.max(seq_name).over(run), "_chunk_last": F.max(seq_name).over(chunk)})
     )
-    return seq.with_rows(_finish(seq, rows, seq_name, id_name, position_name, length_name))
-
-
-def _finish(seq: Chunked, rows, seq_name: str, id_name: str, position_name: str, length_name: str):
-    """A run that ends with its chunk goes on to the next start, or to the end of its entity."""
+    # A run that ends with its chunk goes on to the next start, or to the end of its entity.
     ends = seq.split_rows().groupBy(*seq.entity).agg(F.max(seq_name).alias("_entity_last"))
     first = F.coalesce(F.col("_first"), F.col("_in_first"))
     end = F.coalesce(F.col("_in_next"), F.coalesce("_entity_last", "_chunk_last") + 1)
     next_start = F.when(F.col("_run_last") < F.col("_chunk_last"), F.col("_run_last") + 1).otherwise(end)
-    return (
-        rows.join(F.broadcast(ends), list(seq.entity), "left")
-        .withColumns(
-            {
-                id_name: (F.col("_starts") + F.coalesce(F.col("_in_starts"), F.lit(0))).cast("long"),
-                position_name: (F.col(seq_name) - first).cast("long"),
-                length_name: (next_start - first - 1).cast("long"),
-            }
-        )
-        .drop("_start", "_starts", "_first", "_run_last", "_chunk_last", "_entity_last")
-        .drop("_in_starts", "_in_first", "_in_next")
+    rows = rows.join(F.broadcast(ends), list(seq.entity), "left").withColumns(
+        {
+            id_name: (F.col("_starts") + F.coalesce(F.col("_in_starts"), F.lit(0))).cast("long"),
+            position_name: (F.col(seq_name) - first).cast("long"),
+            length_name: (next_start - first - 1).cast("long"),
+        }
     )
+    known = ["_start", "_starts", "_first", "_run_last", "_chunk_last", "_entity_last"]
+    return seq.with_rows(rows.drop(*known, "_in_starts", "_in_first", "_in_next"))

@@ -28,7 +28,7 @@ from flightlag.plans.staging import stg_flight
 from flightlag.plans.warehouse import Warehouse
 from flightlag.session import pin_session, scratch_path
 from flightlag.settings import Settings
-from flightlag.sources import raw_feed
+from flightlag.sources import raw_feed, sinks
 from flightlag.sources.airports import MISSING, read_airport_file, with_overrides, write_airport_file
 from flightlag.sources.event_feed import legs_from_events, station_zones
 from flightlag.sources.reference import inline_table, thanksgiving_periods
@@ -554,6 +554,28 @@ on_warehouse("dq_suite", lambda wh: quality.dq_suite(wh, FEED_BOUNDS))
 on_warehouse("table_profile", lambda wh: quality.table_profile(
     {name: model() for name, model in wh.models().items()}
 ))
+on_warehouse("build_log", lambda wh: wh.build().select("model", "rows"))
+
+
+@query
+def csv_file(x: Inputs) -> DataFrame:
+    """The carrier report written as CSV in order and read back."""
+    report, path = portable(x.warehouse().carrier_monthly()), scratch_path(x.spark, "csv")
+    sinks.write_csv(report, path, ["carrier", "month_start"])
+    return x.spark.read.schema(report.schema).options(header=True).csv(path)
+
+
+@query
+def json_file(x: Inputs) -> DataFrame:
+    """A report series written into a JSON document, in order, and read back."""
+    lengths = portable(analyses.cascade_length(x.warehouse().cascade()))
+    meta = x.warehouse().flight().agg(F.count("*").alias("flights"))
+    path = scratch_path(x.spark, "json")
+    sinks.write_json_document(sinks.json_document(meta, {"lengths": (lengths, ["length"])}), path)
+    record = T.StructType([T.StructField("lengths", T.ArrayType(lengths.schema)), T.StructField("meta", meta.schema)])
+    read = x.spark.read.text(path).select(F.from_json("value", record).alias("d"))
+    series = read.select("d.meta.flights", F.posexplode("d.lengths").alias("place", "row"))
+    return series.select("flights", "place", "row.*")
 
 
 # --------------------------------------------- the generic operators on other tables

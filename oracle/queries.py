@@ -227,6 +227,15 @@ oracle(
     "avg_block_variance_minutes",
     "SELECT * FROM monthly",
 )
+oracle(
+    "csv_file",
+    "i:year,month y:month_start s:carrier,carrier_name,carrier_type i:scheduled_flights,completed_flights,"
+    "cancelled_flights,diverted_flights d:on_time_arrival_pct,completion_factor_pct,cancellation_rate_pct,"
+    "avg_arr_delay_minutes,median_arr_delay_minutes,p90_arr_delay_minutes i:root_delay_minutes,"
+    "inherited_delay_minutes,controllable_root_minutes,external_root_minutes d:inherited_share_pct,"
+    "avg_block_variance_minutes",
+    "SELECT * FROM monthly",
+)
 DAILY = (
     "y:flight_date s:airport_code,city,size_band,travel_period b:is_federal_holiday s:day_name "
     "i:departures,carriers_operating,cancellations d:cancellation_rate_pct,departures_delayed_pct,"
@@ -1020,6 +1029,21 @@ oracle(
     "\nUNION ALL\n".join(profile(t, r, c) for t, (r, c) in PROFILED.items()),
 )
 
+oracle(
+    "build_log",
+    "s:model i:rows",
+    "\nUNION ALL\n".join(f"SELECT '{t}' AS model, count(*) AS rows FROM {r}" for t, (r, _) in PROFILED.items()),
+)
+oracle(
+    "json_file",
+    "i:flights,place,length,cascades d:avg_minutes",
+    f"""
+SELECT (SELECT count(*) FROM flights) AS flights, row_number() OVER (ORDER BY length) - 1 AS place, length, cascades,
+       avg_minutes
+FROM ({LENGTHS})
+""",
+)
+
 # ------------------------------------------- the generic operators on other tables
 
 oracle(
