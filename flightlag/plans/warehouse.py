@@ -14,7 +14,7 @@ from flightlag.session import pin_session, scratch_path
 from flightlag.settings import Settings
 from flightlag.sources.airports import with_overrides
 from flightlag.sources.raw_feed import read_months
-from flightlag.sources.reference import cost_assumptions, cost_per_minute, one_row
+from flightlag.sources.reference import cost_assumptions, cost_per_minute, inline_table, one_row
 from flightlag.sources.tables import TableStore
 
 
@@ -237,7 +237,7 @@ class Warehouse:
         """Build every model; returns (model, rows, seconds)."""
         self.materialise()
         log = [(name, model().count(), self.seconds.get(name)) for name, model in self.models().items()]
-        return self.spark.createDataFrame(log, "model string, rows long, seconds double")
+        return inline_table(self.spark, log, "model string, rows long, seconds double")
 
     def close(self) -> None:
         """Remove the model tables; a month store given as feed stays."""
