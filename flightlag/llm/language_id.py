@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +18,8 @@ ORDER = 3
 UNDETERMINED = "und"
 #: The model is fitted on at most about so many documents per language, chosen by hash.
 FIT_DOCUMENTS = 10_000
-#: Languages (most frequent first) and grams (most frequent first) a model keeps.
-MAX_LANGUAGES, MAX_GRAMS = 64, 120_000
+#: Languages (most frequent first) a model keeps.
+MAX_LANGUAGES = 64
 TEXT_AT_ONCE = 1 << 20
 
 
@@ -98,63 +99,62 @@ class CodeLengths:
     what it costs in the context one byte shorter; below the empty context all 256
     bytes are alike. Contexts a language lacks cost it no escape.
 
-    Contexts of all languages and orders are rows of one matrix; a position finds
-    its row, that of the longest context known, by two lookups.
+    A language's tree is sorted arrays of what it has seen, so it takes room by its
+    own grams. Distinct grams of a batch of texts are looked up once per language.
     """
 
     def __init__(self, statistics: Statistics):
-        lang, gram, n = statistics.lang, statistics.gram.astype(np.int64), statistics.n.astype(np.float64)
         self.n_languages = len(statistics.languages)
-        present = np.unique(gram & 255)
-        self.width = w = len(present) + 2  # other bytes, the bytes present, the pad
-        self.pad = pad = w - 1
-        self.symbol = np.zeros(256, np.uint8 if w <= 256 else np.uint16)
-        self.symbol[present] = np.arange(1, len(present) + 1)
-        as_context = self.symbol.copy()
-        as_context[0] = pad  # byte 0 stands for the pad in counts
-        s = self.symbol[gram & 255].astype(np.int64)
-        c1, c2, c3 = (as_context[(gram >> (8 * k)) & 255].astype(np.int64) for k in (1, 2, 3))
-
-        pairs, pair = np.unique(c2 * w + c1, return_inverse=True)
-        triples, triple = np.unique(pair * w + c3, return_inverse=True)
-        rows = w + len(pairs) + len(triples)
-        self.cost = np.empty((rows * w, self.n_languages), np.float32)
-        self.pair_of = np.full(w * w, -1, np.int32)
-        self.pair_of[pairs] = np.arange(len(pairs))
-        self.row_of = np.repeat((w + np.arange(len(pairs), dtype=np.int32))[:, None], w, 1)
-        self.row_of[triples // w, triples % w] = w + len(pairs) + np.arange(len(triples))
-        for k in range(self.n_languages):
-            # One language at a time, so the work arrays are of one language only.
-            mine = lang == k
-            flat = self._escape(np.zeros(mine.sum(), np.int64), s[mine], n[mine], np.full((1, w), 8.0))
-            one = self._escape(c1[mine], s[mine], n[mine], np.repeat(flat, w, 0))
-            two = self._escape(pair[mine], s[mine], n[mine], one[pairs % w])
-            three = self._escape(triple[mine], s[mine], n[mine], two[triples // w])
-            self.cost[:, k] = np.concatenate([one, two, three]).ravel()
-
-    def _escape(self, context: np.ndarray, s: np.ndarray, n: np.ndarray, shorter: np.ndarray) -> np.ndarray:
-        key, inverse = np.unique(context * self.width + s, return_inverse=True)
-        count = np.bincount(inverse, n, len(key))
-        total = np.bincount(key // self.width, count, len(shorter))
-        distinct = np.bincount(key // self.width, minlength=len(shorter)).astype(np.float64)
-        known = total > 0
-        out = shorter.copy()
-        out[known] += (np.log2(total[known] + distinct[known]) - np.log2(distinct[known]))[:, None]
-        out.ravel()[key] = np.log2((total + distinct)[key // self.width]) - np.log2(count)
-        return out
+        self.trees = []
+        order = np.argsort(statistics.lang, kind="stable")
+        ends = np.searchsorted(statistics.lang[order], np.arange(self.n_languages + 1))
+        for start, end in zip(ends[:-1], ends[1:]):
+            mine = order[start:end]
+            self.trees.append(self._tree(statistics.gram[mine].astype(np.uint32), statistics.n[mine].astype(np.float64)))
+
+    @staticmethod
+    def _tree(gram: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, ...]]:
+        """From the empty context on: contexts, their escapes, grams, their costs; both sorted."""
+        levels = []
+        for length in range(ORDER + 1):
+            seen, inverse = np.unique(gram & np.uint32((1 << 8 * (length + 1)) - 1), return_inverse=True)
+            count = np.bincount(inverse, n, len(seen))
+            context, of = np.unique(seen >> np.uint32(8), return_inverse=True)
+            total = np.bincount(of, count, len(context))
+            distinct = np.bincount(of, minlength=len(context)).astype(np.float64)
+            escape = np.log2(total + distinct) - np.log2(distinct)
+            levels.append((context, escape, seen, np.log2((total + distinct)[of]) - np.log2(count)))
+        return levels
+
+    @staticmethod
+    def _cost(tree: list[tuple[np.ndarray, ...]], gram: np.ndarray) -> np.ndarray:
+        cost = np.full(len(gram), 8.0)
+        for length, (context, escape, seen, bits) in enumerate(tree):
+            if not len(seen):
+                continue
+            key = gram & np.uint32((1 << 8 * (length + 1)) - 1)
+            at = np.minimum(np.searchsorted(context, key >> np.uint32(8)), len(context) - 1)
+            cost += np.where(context[at] == key >> np.uint32(8), escape[at], 0.0)
+            at = np.minimum(np.searchsorted(seen, key), len(seen) - 1)
+            cost = np.where(seen[at] == key, bits[at], cost)
+        return cost.astype(np.float32)
 
     def bits(self, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Code length of each text (bytes end to end) in each language."""
         out = np.zeros((len(at) - 1, self.n_languages))
         if len(raw) == 0:
             return out
-        symbols = self.symbol[lower_ascii(raw)]
-        c1, c2, c3 = _contexts(symbols, at, self.pad)
-        pair = self.pair_of[c2.astype(np.int32) * self.width + c1]
-        row = np.where(pair >= 0, self.row_of.ravel()[pair * self.width + c3], c1)
-        cost = self.cost[row * self.width + symbols]
+        symbols = lower_ascii(raw)
+        code = symbols.astype(np.uint32)
+        for back, before in enumerate(_contexts(symbols, at, 0), 1):
+            code |= before.astype(np.uint32) << np.uint32(8 * back)
+        place, gram = pd.factorize(code)
+        order = np.argsort(gram)
         filled = np.flatnonzero(np.diff(at))
-        out[filled] = np.add.reduceat(cost, at[:-1][filled], axis=0, dtype=np.float64)
+        cost = np.empty(len(gram), np.float32)
+        for k, tree in enumerate(self.trees):
+            cost[order] = self._cost(tree, gram[order])
+            out[filled, k] = np.add.reduceat(cost[place], at[:-1][filled], dtype=np.float64)
         return out
 
 
@@ -180,12 +180,11 @@ class LanguageModel:
         docs: DataFrame,
         fit_documents: int = FIT_DOCUMENTS,
         max_languages: int = MAX_LANGUAGES,
-        max_grams: int = MAX_GRAMS,
     ) -> LanguageModel:
         """``docs`` has doc_id, text and lang; rows without text or lang teach nothing.
 
         A language with more than ``fit_documents`` rows gives about so many, chosen
-        by the hash of id and text, the same in every run.
+        by the hash of id and text, the same in every run. All their grams are kept.
         """
         bound_batches(docs.sparkSession)
         taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
@@ -209,7 +208,7 @@ class LanguageModel:
             .groupBy("lang", "gram")
             .agg(F.sum("n").alias("n"))
         )
-        kept = grams.orderBy(F.desc("n"), "lang", "gram").limit(max_grams).toPandas()
+        kept = grams.toPandas()  # bounded by the sample
         arrays = [kept[c].to_numpy() for c in ("lang", "gram", "n")]
         return cls(Statistics(tuple(languages), *arrays))
 

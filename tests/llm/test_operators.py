@@ -158,6 +158,24 @@ def test_code_lengths_by_hand(spark):
     assert bits == pytest.approx(1 + 1 + 1 + 1 + 1 + np.log2(5 / 2) + 8)
 
 
+def test_rare_language_keeps_its_grams(spark):
+    """Two common languages have more grams, and higher counts, than a model once kept in all."""
+    import numpy as np
+
+    rnd = np.random.default_rng(3)
+
+    def noise(letters: str, n: int) -> str:
+        return "".join(np.array(list(letters))[rnd.integers(0, len(letters), n)])
+
+    rows = [(k, noise("abcdefghijklmnopqrstuvwxyz ", 30_000), lang) for k in range(100) for lang in ("aa", "bb")]
+    rare = "zwei boxer jagen viktor quer durch den dichten wald".split()
+    texts = [" ".join(rnd.permutation(rare)) for _ in range(40)]
+    rows += [(1000 + k, text, "rare") for k, text in enumerate(texts[:3])]
+    model = language_id.LanguageModel.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    told = model.predict(spark.createDataFrame([(t,) for t in texts[3:]], "text string")).collect()
+    assert [r["lang_pred"] for r in told] == ["rare"] * 37
+
+
 # ------------------------------------------------------------------------- SimHash
 
 
