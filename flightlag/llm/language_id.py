@@ -8,19 +8,23 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlag.llm.common import bound_batches, flat_text, lower_ascii, pieces, read_table
+from flightlag.llm.common import bound_batches, discard, flat_text, lower_ascii, pieces, read_table, store_at
+from flightlag.session import scratch_path
 
 #: Bytes of context at most.
 ORDER = 3
 UNDETERMINED = "und"
 #: The model is fitted on at most about so many documents per language, chosen by hash.
 FIT_DOCUMENTS = 10_000
-#: Languages (most frequent first) a model keeps.
-MAX_LANGUAGES = 64
+#: Grams of the languages that are scored together; a language with more is a group of its own.
+GROUP_GRAMS = 2_000_000
 TEXT_AT_ONCE = 1 << 20
+#: Bytes of text a task reads before it turns to the next group.
+TEXT_FOR_GROUPS = 1 << 25
 
 
 def in_thirds(doc_id: Column) -> Column:
@@ -41,44 +45,40 @@ def _contexts(symbols: np.ndarray, at: np.ndarray, pad: int) -> list[np.ndarray]
     return out
 
 
-def _gram_counts(languages: list[str]):
-    """Rows (lang, text) to counts of 4-grams: (lang number, gram, n). The pad is byte 0."""
-    number = {name: i for i, name in enumerate(languages)}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
-
-        def merged() -> tuple[np.ndarray, np.ndarray]:
-            key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            return key, np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
-
-        for batch in pieces(batches, "text", TEXT_AT_ONCE):
-            raw, at = flat_text(batch.column("text"))
-            lang = np.array([number[x] for x in batch.column("lang").to_pylist()], np.uint64)
-            symbols = lower_ascii(raw)
-            code = symbols.astype(np.uint64)
-            for back, before in enumerate(_contexts(symbols, at, 0), 1):
-                code |= before.astype(np.uint64) << np.uint64(8 * back)
-            code |= np.repeat(lang, np.diff(at)) << np.uint64(32)
-            key, n = np.unique(code, return_counts=True)
-            keys.append(key)
-            counts.append(n)
-            held += len(key)
-            if held > 4_000_000:
-                key, n = merged()
-                keys, counts, held = [key], [n], len(key)
-        if keys:
-            key, n = merged()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array((key >> np.uint64(32)).astype(np.int32)),
-                    pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)),
-                    pa.array(n),
-                ],
-                names=["lang", "gram", "n"],
-            )
+def _gram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang number, text) to counts of 4-grams: (lang, gram, n). The pad is byte 0."""
+    keys, counts, held = [], [], 0
+
+    def merged() -> tuple[np.ndarray, np.ndarray]:
+        key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        return key, np.bincount(inverse, np.concatenate(counts), len(key)).astype(np.int64)
 
-    return run
+    def rows(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        lang = pa.array((key >> np.uint64(32)).astype(np.int32))
+        return pa.RecordBatch.from_arrays(
+            [lang, pa.array((key & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"]
+        )
+
+    for batch in pieces(batches, "text", TEXT_AT_ONCE):
+        raw, at = flat_text(batch.column("text"))
+        lang = batch.column("lang").to_numpy(zero_copy_only=False).astype(np.uint64)
+        symbols = lower_ascii(raw)
+        code = symbols.astype(np.uint64)
+        for back, before in enumerate(_contexts(symbols, at, 0), 1):
+            code |= before.astype(np.uint64) << np.uint64(8 * back)
+        code |= np.repeat(lang, np.diff(at)) << np.uint64(32)
+        key, n = np.unique(code, return_counts=True)
+        keys.append(key)
+        counts.append(n)
+        held += len(key)
+        if held > 4_000_000:
+            key, n = merged()
+            keys, counts, held = [key], [n], len(key)
+            if held > 2_000_000:  # many languages: the counts are added up later
+                yield rows(key, n)
+                keys, counts, held = [], [], 0
+    if keys:
+        yield rows(*merged())
 
 
 @dataclass(frozen=True)
@@ -169,48 +169,70 @@ def has_letter(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 class LanguageModel:
-    """One context tree per language, fitted on labelled documents."""
+    """One context tree per language, fitted on labelled documents.
 
-    def __init__(self, statistics: Statistics):
-        self.statistics = statistics
+    ``groups`` hold the statistics of some languages each, in the order of their names,
+    and are read one at a time: neither the driver nor a task holds two.
+    """
+
+    def __init__(self, groups: list[Broadcast]):
+        self.groups = groups
+
+    @property
+    def statistics(self) -> Statistics:
+        """Those of all groups as one, on the driver."""
+        empty = np.zeros(0, np.int64)
+        all_of, names = [(empty, empty, empty)], []
+        for s in map(_read, self.groups):
+            all_of.append((s.lang + len(names), s.gram, s.n))
+            names += s.languages
+        return Statistics(tuple(names), *(np.concatenate(x) for x in zip(*all_of)))
 
     @classmethod
-    def fit(
-        cls,
-        docs: DataFrame,
-        fit_documents: int = FIT_DOCUMENTS,
-        max_languages: int = MAX_LANGUAGES,
-    ) -> LanguageModel:
+    def fit(cls, docs: DataFrame, fit_documents: int = FIT_DOCUMENTS, group_grams: int = GROUP_GRAMS) -> LanguageModel:
         """``docs`` has doc_id, text and lang; rows without text or lang teach nothing.
 
         A language with more than ``fit_documents`` rows gives about so many, chosen
-        by the hash of id and text, the same in every run. All their grams are kept.
+        by the hash of id and text, the same in every run. All languages and all their
+        grams are kept; they are cut into groups of about ``group_grams`` grams.
         """
-        bound_batches(docs.sparkSession)
+        spark = docs.sparkSession
+        bound_batches(spark)
         taught = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        found = (
-            taught.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
-        )  # bounded by max_languages
-        languages = sorted(r["lang"] for r in found)
-        if not languages:
-            empty = np.zeros(0, np.int64)
-            return cls(Statistics((), empty, empty, empty))
+        found = sorted((r["lang"], r["count"]) for r in taught.groupBy("lang").count().collect())  # one row per language
+        if not found:
+            return cls([])
         steps = 1 << 30
         draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(steps))
-        chosen = F.lit(False)
-        for r in found:
-            share = min(steps, -(-fit_documents * steps // r["count"]))
-            chosen = chosen | ((F.col("lang") == r["lang"]) & (draw < share))
-        grams = (
-            taught.where(chosen)
-            .select("lang", "text")
-            .mapInArrow(_gram_counts(languages), "lang int, gram long, n long")
+        shares = spark.createDataFrame(
+            [(name, i, min(steps, -(-fit_documents * steps // n))) for i, (name, n) in enumerate(found)],
+            "_name string, _number int, _share long",
+        )
+        # One row per language.
+        chosen = taught.join(F.broadcast(shares), F.col("lang") == F.col("_name")).where(draw < F.col("_share"))
+        counted = (
+            chosen.select(F.col("_number").alias("lang"), "text")
+            .mapInArrow(_gram_counts, "lang int, gram long, n long")
             .groupBy("lang", "gram")
             .agg(F.sum("n").alias("n"))
         )
-        kept = grams.toPandas()  # bounded by the sample
-        arrays = [kept[c].to_numpy() for c in ("lang", "gram", "n")]
-        return cls(Statistics(tuple(languages), *arrays))
+        path = scratch_path(spark, "grams")
+        grams = store_at(counted, path)
+        sizes = {r["lang"]: r["count"] for r in grams.groupBy("lang").count().collect()}  # one row per language
+        ends, held = [0], 0
+        for i in range(len(found)):
+            if i > ends[-1] and held + sizes.get(i, 0) > group_grams:
+                ends.append(i)
+                held = 0
+            held += sizes.get(i, 0)
+        groups = []
+        for start, end in zip(ends, [*ends[1:], len(found)]):
+            kept = grams.where((F.col("lang") >= start) & (F.col("lang") < end)).toPandas()  # bounded by group_grams
+            names = tuple(name for name, _ in found[start:end])
+            arrays = (kept["lang"].to_numpy() - start, kept["gram"].to_numpy(), kept["n"].to_numpy())
+            groups.append(spark.sparkContext.broadcast(Statistics(names, *arrays)))
+        discard(spark, path)
+        return cls(groups)
 
     def predict(self, docs: DataFrame, text: str = "text", pred: str = "lang_pred", score: str = "score") -> DataFrame:
         """``docs`` with the predicted language and its probability; columns so named give way.
@@ -218,30 +240,23 @@ class LanguageModel:
         The probability is that of the shortest code among all languages alike
         likely. Ties go to the first language by name. Texts that are null or have
         no letter, and all texts if nothing was learned, are ``und`` with score 0.
-        Whole texts are scored, in the rows they are in, without a shuffle.
+        Whole texts are scored, in the rows they are in, without a shuffle. If there
+        is more than one group, a task scores TEXT_FOR_GROUPS of text by each in turn.
         """
         bound_batches(docs.sparkSession)
-        statistics = self.statistics
-        names = np.array([*statistics.languages, UNDETERMINED], object)
+        groups = self.groups
 
         @F.arrow_udf("struct<pred:string,score:double>")
         def judge(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            # Unfolded per task and gone with it: later stages need the worker's memory.
-            lengths = CodeLengths(statistics) if statistics.languages else None
-            for batch in texts:
-                best, sure = [], []
-                for part in pieces(iter([pa.RecordBatch.from_arrays([batch], names=["text"])]), "text", TEXT_AT_ONCE):
-                    raw, at = flat_text(part.column("text"))
-                    known = has_letter(raw, at) & bool(lengths)
-                    bits = lengths.bits(raw, at) if lengths else np.zeros((len(at) - 1, 1))
-                    least = bits.min(1)
-                    best.append(np.where(known, bits.argmin(1), len(names) - 1))
-                    sure.append(np.where(known, 1 / np.exp2(np.maximum(least[:, None] - bits, -1000)).sum(1), 0.0))
-                chosen = names[np.concatenate(best)] if best else []
-                yield pa.StructArray.from_arrays(
-                    [pa.array(chosen, pa.string()), pa.array(np.concatenate(sure) if sure else [], pa.float64())],
-                    names=["pred", "score"],
-                )
+            for batches, told in _scored(texts, groups):
+                start = 0
+                for batch in batches:
+                    end = start + len(batch)
+                    yield pa.StructArray.from_arrays(
+                        [pa.array(told[0][start:end], pa.string()), pa.array(told[1][start:end], pa.float64())],
+                        names=["pred", "score"],
+                    )
+                    start = end
 
         told = judge(F.col(text))
         return docs.drop(pred, score).withColumn("_told", told).select(
@@ -251,6 +266,62 @@ class LanguageModel:
         )
 
 
+def _read(group: Broadcast) -> Statistics:
+    """From its file where there is one, as ``value`` would keep it."""
+    return group.load_from_path(group._path) if getattr(group, "_path", None) else group.value
+
+
+def _scored(
+    texts: Iterator[pa.Array], groups: list[Broadcast]
+) -> Iterator[tuple[list[pa.Array], tuple[np.ndarray, np.ndarray]]]:
+    """Batches of texts with the predicted languages and scores of all their rows.
+
+    A group is unfolded per task, and gone with it: later stages need the worker's memory.
+    """
+    only = _read(groups[0]) if len(groups) == 1 else None
+    lengths = CodeLengths(only) if only else None
+    for batches in _together(texts, TEXT_FOR_GROUPS if len(groups) > 1 else 0):
+        n = sum(map(len, batches))
+        known, pred = np.zeros(n, bool), np.full(n, UNDETERMINED, object)
+        least, total = np.full(n, np.inf), np.zeros(n)
+        for k, group in enumerate(groups):
+            statistics = only or _read(group)
+            unfolded = lengths or CodeLengths(statistics)
+            names = np.array(statistics.languages, object)
+            row = 0
+            for part in pieces((pa.RecordBatch.from_arrays([b], names=["text"]) for b in batches), "text", TEXT_AT_ONCE):
+                raw, at = flat_text(part.column("text"))
+                here = slice(row, row + part.num_rows)
+                row += part.num_rows
+                if k == 0:
+                    known[here] = has_letter(raw, at)
+                bits = unfolded.bits(raw, at)
+                old, best = least[here], bits.min(1)
+                both = np.minimum(old, best)
+                alike = np.exp2(np.maximum(both[:, None] - bits, -1000)).sum(1)
+                total[here] = total[here] * np.exp2(np.maximum(both - old, -1000)) + alike
+                pred[here] = np.where(best < old, names[bits.argmin(1)], pred[here])
+                least[here] = both
+            del statistics, unfolded
+        known &= len(groups) > 0
+        score = np.zeros(n)
+        score[known] = 1 / total[known]
+        yield batches, (np.where(known, pred, UNDETERMINED), score)
+
+
+def _together(texts: Iterator[pa.Array], size: int) -> Iterator[list[pa.Array]]:
+    """Batches until they have ``size`` bytes."""
+    batches, held = [], 0
+    for batch in texts:
+        batches.append(batch)
+        held += batch.nbytes
+        if held >= size:
+            yield batches
+            batches, held = [], 0
+    if batches:
+        yield batches
+
+
 def fit_on_two_thirds(docs: DataFrame) -> LanguageModel:
     """Learns from the documents that are not held out: crc32(doc_id) mod 3 is not 1."""
     return LanguageModel.fit(docs.where(in_thirds(F.col("doc_id")) != 1))

@@ -176,6 +176,34 @@ def test_rare_language_keeps_its_grams(spark):
     assert [r["lang_pred"] for r in told] == ["rare"] * 37
 
 
+def many_languages(spark):
+    rows = []
+    for k in range(70):
+        words = [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{w}" for w in ("ota", "emi", "usk", "arn")]
+        rows += [(10 * k + i, " ".join(words[i:] + words[:i]), f"l{k:02}") for i in range(2 if k == 33 else 3)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+
+def test_every_language_is_learned(spark):
+    """The language with fewest rows is one of 70."""
+    docs = many_languages(spark)
+    told = language_id.LanguageModel.fit(docs).predict(docs).collect()
+    assert len(told) == 209 and all(r["lang_pred"] == r["lang"] for r in told)
+
+
+def test_groups_give_what_one_group_gives(spark, monkeypatch, awkward_dir):
+    docs = many_languages(spark)
+    one = language_id.LanguageModel.fit(docs)
+    monkeypatch.setattr(language_id, "TEXT_FOR_GROUPS", 1000)
+    many = language_id.LanguageModel.fit(docs, group_grams=100)
+    assert len(one.groups) == 1 and len(many.groups) > 10
+    assert many.statistics.languages == one.statistics.languages and len(many.statistics.n) == len(one.statistics.n)
+    texts = docs.select("text").union(spark.read.parquet(f"{awkward_dir}/documents.parquet").select("text"))
+    a, b = one.predict(texts).collect(), many.predict(texts).collect()
+    assert [(r["text"], r["lang_pred"]) for r in a] == [(r["text"], r["lang_pred"]) for r in b]
+    assert [r["score"] for r in a] == pytest.approx([r["score"] for r in b])
+
+
 # ------------------------------------------------------------------------- SimHash
 
 
