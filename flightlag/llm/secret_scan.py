@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from flightlag.llm.common import bound_batches, read_table
 
 KINDS = ("assign", "access", "hex", "lexed")
+#: Characters of a value that tell a placeholder, at least as many as the longest of PLACEHOLDERS.
+HEAD = 16
 #: A literal is reported from this score on.
 LEAST_SCORE = 0.5
 
@@ -38,12 +41,12 @@ PLACEHOLDERS = frozenset(
 )
 
 OPERATOR = re.compile(r"(?<![=!<>:+*/-])(?::=|=>|[:=])(?![=:/])")
-NAME_BEFORE = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])\[?(["']?)([A-Za-z_$][A-Za-z0-9_.$-]*)\1\]?[ \t]*\Z""")
+# Read backwards from the operator, in the text turned round: a quote on both sides or none, and all of the name.
+NAME_BACK = re.compile(r"""[ \t]*+\]?(["']?)([A-Za-z0-9_.$-]++)(?<=[A-Za-z_$])\1(?![A-Za-z0-9_.$-])""")
 TERM = re.compile(
     r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([^\s"'`,;(){}\[\]#+<>|&]+))"""
 )
 PLUS = re.compile(r"[ \t]*\+")
-NAME_REACH = 80
 WORDS_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
 
@@ -73,9 +76,9 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
     ``:=`` and ``=>`` with plain or quoted names, as source and configuration do.
     """
     out = []
+    back = text[::-1]
     for op in OPERATOR.finditer(text):
-        low = max(0, op.start() - NAME_REACH)
-        name = NAME_BEFORE.search(text[low : op.start()])
+        name = NAME_BACK.match(back, len(text) - op.start())
         if not name:
             continue
         terms, at = [], op.end()
@@ -89,7 +92,7 @@ def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
                 break
             at = plus.end()
         if terms:
-            out.append((name[2], terms))
+            out.append((name[2][::-1], terms))
     return out
 
 
@@ -104,46 +107,156 @@ def name_weight(name: str) -> float:
 
 def strength(value: str) -> float:
     """How much a literal looks like a secret: entropy in bits against 40, 0 for placeholders."""
-    if len(value) < 6 or value.lower() in PLACEHOLDERS or value.startswith(("${", "<", "{{", "%(")):
+    return _strength(Counter(value), len(value), value)
+
+
+def _strength(counts: Counter, length: int, head: str) -> float:
+    """``strength`` of a value from its characters and its first HEAD ones."""
+    if length < 6 or (length <= HEAD and head.lower() in PLACEHOLDERS) or head.startswith(("${", "<", "{{", "%(")):
         return 0.0
-    counts = Counter(value)
-    bits = -sum(c * math.log2(c / len(value)) for c in counts.values())
-    classes = sum(any(test(c) for c in value) for test in (str.isdigit, str.islower, str.isupper))
-    spaced = 0.3 if " " in value else 1.0
+    bits = -math.fsum(c * math.log2(c / length) for c in counts.values())
+    classes = sum(any(test(c) for c in counts) for test in (str.isdigit, str.islower, str.isupper))
+    spaced = 0.3 if " " in counts else 1.0
     return min(1.0, bits / 40.0) * (0.6 + 0.2 * min(classes, 2)) * spaced
 
 
+class Value(NamedTuple):
+    """The literals that a name stands for: a set of numbers as bits, and what their text end to end has.
+
+    ``first`` are the numbers that the first HEAD characters come from.
+    """
+
+    node: int
+    literals: int
+    counts: Counter
+    length: int
+    first: tuple[int, ...]
+
+
+class Literals:
+    """Literals and the assignments that join them, none of which is copied into another."""
+
+    def __init__(self) -> None:
+        self.number: dict[tuple[int, int], int] = {}
+        self.texts: list[str] = []
+        #: Of each assignment its literals, and as ~number the earlier assignments it names, in order; and its score.
+        self.items: list[list[int]] = []
+        self.scores: list[float] = []
+
+    def literal(self, text: str, start: int, end: int) -> int:
+        number = self.number.setdefault((start, end), len(self.texts))
+        if number == len(self.texts):
+            self.texts.append(text)
+        return number
+
+    def join(self, items: list[int | Value]) -> Value:
+        """The value that has all literals of ``items``, each once; adds an assignment."""
+        held, counts, length = 0, Counter(), 0
+        for item in items:
+            if isinstance(item, int):
+                bit = 1 << item
+                if not held & bit:
+                    held |= bit
+                    counts.update(self.texts[item])
+                    length += len(self.texts[item])
+                continue
+            if not held:
+                held, counts, length = item.literals, item.counts.copy(), item.length
+                continue
+            both = held & item.literals
+            new = item.literals ^ both
+            if both.bit_count() < new.bit_count():
+                counts.update(item.counts)
+                length += item.length
+                for text in self._texts_of(both):
+                    counts.subtract(text)
+                    length -= len(text)
+            else:
+                for text in self._texts_of(new):
+                    counts.update(text)
+                    length += len(text)
+            held |= new
+        self.items.append([item if isinstance(item, int) else ~item.node for item in items])
+        self.scores.append(0.0)
+        return Value(len(self.items) - 1, held, counts, length, self._first(items))
+
+    def _texts_of(self, literals: int) -> Iterator[str]:
+        digits = bin(literals)[:1:-1]
+        at = digits.find("1")
+        while at >= 0:
+            yield self.texts[at]
+            at = digits.find("1", at + 1)
+
+    def _first(self, items: list[int | Value]) -> tuple[int, ...]:
+        found: dict[int, None] = {}
+        length = 0
+        for item in items:
+            first = (item,) if isinstance(item, int) else item.first
+            more = not isinstance(item, int) and sum(len(self.texts[i]) for i in first) < item.length
+            if more and any(i in found for i in first):
+                first = self._in_order(item.node)  # what lies behind its first ones may be needed
+            for i in first:
+                if i not in found:
+                    found[i] = None
+                    length += len(self.texts[i])
+                    if length >= HEAD:
+                        return tuple(found)
+        return tuple(found)
+
+    def _in_order(self, node: int) -> Iterator[int]:
+        met, stack = {node}, [iter(self.items[node])]
+        while stack:
+            item = next(stack[-1], None)
+            if item is None:
+                stack.pop()
+            elif item >= 0:
+                yield item
+            elif ~item not in met:
+                met.add(~item)
+                stack.append(iter(self.items[~item]))
+
+    def score(self, value: Value, weight: float) -> None:
+        head = "".join(self.texts[i] for i in value.first)
+        self.scores[value.node] = weight * _strength(value.counts, value.length, head)
+
+    def best(self) -> dict[tuple[int, int], float]:
+        """Of each literal the highest score of an assignment it is in, directly or through others."""
+        scores, best = self.scores.copy(), [0.0] * len(self.texts)
+        for node in range(len(self.items) - 1, -1, -1):
+            for item in self.items[node]:
+                if item >= 0:
+                    best[item] = max(best[item], scores[node])
+                else:
+                    scores[~item] = max(scores[~item], scores[node])
+        return dict(zip(self.number, best))
+
+
 def lexed_spans(text: str, base: list[Span]) -> list[Span]:
     """Literals that a sensitive name gets, directly or through other names.
 
-    A bare word that an earlier assignment defined stands for that one's literals.
-    The span is that of the literal, where it is written. Literals within a base
-    span are left to it.
+    A bare word that an earlier assignment defined stands for that one's literals,
+    however many. The span is that of the literal, where it is written. Literals within
+    a base span are left to it.
     """
     if "=" not in text and ":" not in text:
         return []
-    values: dict[str, list[tuple[str, int, int]]] = {}
-    scores: dict[tuple[int, int], float] = {}
+    values: dict[str, Value] = {}
+    literals = Literals()
     for name, terms in assignments(text):
-        literals = []
+        items: list[int | Value] = []
         for kind, value, start, end in terms:
-            if kind == "literal":
-                literals.append((value, start, end))
-            elif value in values and IDENTIFIER.match(value):
-                literals += values[value]
-            elif len(terms) == 1:
-                literals.append((value, start, end))
-        literals = list(dict.fromkeys(literals))[:64]
-        values[name] = literals
+            if kind == "bare" and value in values and IDENTIFIER.match(value):
+                items.append(values[value])
+            elif end > start and (kind == "literal" or len(terms) == 1):
+                items.append(literals.literal(value, start, end))
+        values[name] = joined = literals.join(items)
         weight = name_weight(name)
-        if weight and literals:
-            score = weight * strength("".join(v for v, _, _ in literals))
-            for _, start, end in literals:
-                scores[start, end] = max(score, scores.get((start, end), 0.0))
+        if weight and joined.length:
+            literals.score(joined, weight)
     return [
         Span("lexed", start, end)
-        for (start, end), score in scores.items()
-        if score >= LEAST_SCORE and end > start and not any(b.start <= start and end <= b.end for b in base)
+        for (start, end), score in literals.best().items()
+        if score >= LEAST_SCORE and not any(b.start <= start and end <= b.end for b in base)
     ]
 
 

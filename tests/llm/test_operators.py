@@ -1,5 +1,7 @@
 """What the queries do not show: indexes that grow, rings that grow, sizes, extra columns."""
 
+import random
+import re
 from collections import Counter
 
 import pytest
@@ -319,3 +321,61 @@ def test_constants_are_followed():
 )
 def test_names_score_literals(text, found):
     assert [text[s.start : s.end] for s in secret_scan.scan_text(text) if s.kind == "lexed"] == found
+
+
+def lexed(text: str) -> list[str]:
+    return [text[s.start : s.end] for s in secret_scan.scan_text(text) if s.kind == "lexed"]
+
+
+def test_no_literal_of_a_name_is_too_many():
+    pieces = [f"q{i:03}Zr" for i in range(100)]
+    assert lexed("credentials = " + " + ".join(f"'{p}'" for p in pieces)) == pieces
+    assert lexed("".join(f"credentials = credentials + '{p}'\n" for p in pieces)) == pieces
+    assert lexed("\n".join(f"v = v + '{p}'" for p in pieces) + "\ncredentials = v") == pieces
+
+
+def test_names_are_read_as_far_as_they_go():
+    long = ".".join(["part"] * 40)
+    assert lexed(f"password.{long} = 'aB3dE5fG7hI9kL1m'") == ["aB3dE5fG7hI9kL1m"]
+    assert lexed(f"{long}.x = 'aB3dE5fG7hI9kL1m'\npwd = {long}.x") == ["aB3dE5fG7hI9kL1m"]
+    assert lexed(f"'password.{long}'{' ' * 100}: 'aB3dE5fG7hI9kL1m'") == ["aB3dE5fG7hI9kL1m"]
+    assert lexed(f"color.{'x' * 75}pwd = 'aB3dE5fG7hI9kL1m'") == []
+
+
+def test_names_hold_what_copied_lists_hold():
+    """Random assignments against lists copied in full and names found in the whole text before."""
+    rnd = random.Random(4)
+    before = re.compile(r"""(?:^|[^A-Za-z0-9_.$-])\[?(["']?)([A-Za-z_$][A-Za-z0-9_.$-]*)\1\]?[ \t]*\Z""")
+
+    def want(text: str) -> set[tuple[int, int]]:
+        values, scores = {}, {}
+        found = [(before.search(text[: op.start()]), op) for op in secret_scan.OPERATOR.finditer(text)]
+        named = secret_scan.assignments(text)
+        assert [n for n, _ in named] == [m[2] for m, op in found if m and secret_scan.TERM.match(text, op.end())]
+        for name, terms in named:
+            literals = []
+            for kind, value, start, end in terms:
+                if kind == "bare" and value in values and secret_scan.IDENTIFIER.match(value):
+                    literals += values[value]
+                elif kind == "literal" or len(terms) == 1:
+                    literals.append((value, start, end))
+            values[name] = list(dict.fromkeys(literals))
+            score = secret_scan.name_weight(name) * secret_scan.strength("".join(v for v, _, _ in values[name]))
+            for _, start, end in values[name]:
+                scores[start, end] = max(score, scores.get((start, end), 0.0))
+        return {k for k, v in scores.items() if v >= secret_scan.LEAST_SCORE and k[1] > k[0]}
+
+    names = ["a", "b", "c", "secret", "x.token", "'pwd'", '["k"]', "d'", "9e", "f:g"]
+    words = ["a", "b", "c", "secret", "x.token", "'<'", "'$'", "'{'", "''", "'hunt'", "'Zr7'", "'x:a'", "'none'", "q9Zr7Lm2Xv", "'é9'"]
+    some = 0
+    for _ in range(3000):
+        lines = [
+            f"{rnd.choice(names)} {rnd.choice(['=', ':', ':=', '=>', '==', ':a ='])} "
+            + " + ".join(rnd.choice(words) for _ in range(rnd.randint(1, 4)))
+            for _ in range(rnd.randint(1, 25))
+        ]
+        text = rnd.choice(["\n", " ; ", " + "]).join(lines)
+        expected = want(text)
+        some += len(expected)
+        assert {(s.start, s.end) for s in secret_scan.lexed_spans(text, [])} == expected, text
+    assert some > 3000
