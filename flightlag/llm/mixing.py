@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -70,6 +71,15 @@ def source_targets(
     )
 
 
+def _piece(key: Column, pieces: int) -> Column:
+    """A step of ``ln(key)`` in which lies one in ``pieces`` of the rows of a quality at most.
+
+    ``key`` is exponential at a rate of the quality, so the density of its logarithm is
+    1 / e at most, whatever the quality.
+    """
+    return F.when(key > 0, F.floor(F.log(key) * (pieces / math.e)).cast("int")).when(key <= 0, F.lit(-(1 << 31)))
+
+
 def mix(
     rows: DataFrame,
     weights: Sequence[int] = WEIGHTS,
@@ -86,7 +96,8 @@ def mix(
     middle of a document lies within what is left, so a source ends within half a
     document of its target. Each document is taken n or n + 1 times.
 
-    A source may hold any share of the rows: it is cut by key into ``pieces``, sums
+    A source may hold any share of the rows: it is cut by key into pieces, of which
+    none has much more than one in ``pieces`` of its rows, whatever their qualities. Sums
     per piece say how many words come before it, and only rows within a piece are
     ordered. Key ties are ordered by doc_id and size. A quality that is null or not
     above 0 counts as the least positive one; a null size counts as 0. Empty tables
@@ -96,7 +107,7 @@ def mix(
     key = -F.log(F.col("u")) / quality
     keyed = rows.select(
         "doc_id", "source", *carry, F.coalesce("size", F.lit(0)).cast("long").alias("size"), key.alias("key")
-    ).withColumn("piece", F.floor((1 - F.exp(-F.col("key"))) * pieces).cast("int"))
+    ).withColumn("piece", _piece(F.col("key"), pieces))
     keyed = store(keyed, "mix-rows")
 
     per_piece = store(keyed.groupBy("source", "piece").agg(F.sum("size").alias("words")), "mix-pieces")

@@ -71,3 +71,17 @@ def test_reruns_agree_and_extra_columns_go(spark, awkward_dir):
     first = mixing.mix(mixing.mix_rows(docs)).collect()
     again = mixing.mix(mixing.mix_rows(docs.repartition(5).withColumn("target", F.lit("x")))).collect()
     assert sorted(map(str, first)) == sorted(map(str, again))
+
+
+@pytest.mark.parametrize("quality", [1.0, 0.1, 1e-9])
+def test_no_piece_holds_many_rows_of_a_source(spark, monkeypatch, quality):
+    frames = {}
+    store = mixing.store
+    monkeypatch.setattr(mixing, "store", lambda df, label: frames.setdefault(label, store(df, label)))
+    rows = spark.range(100_000).select(
+        F.col("id").alias("doc_id"), F.lit("a").alias("source"), F.lit(1).cast("long").alias("size"),
+        F.lit(quality).alias("quality"), mixing.uniform(F.col("id")).alias("u"),
+    )
+    assert mixing.mix(rows).count() == 100_000
+    # 100,000 / 4,096 is 24.
+    assert frames["mix-rows"].groupBy("piece").count().agg(F.max("count")).first()[0] < 75
