@@ -61,6 +61,22 @@ def discard(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """``store`` for tables that nothing reads any more when the block ends: they go then."""
+    paths: list[str] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        paths.append(scratch_path(spark, label))
+        return store_at(df, paths[-1])
+
+    try:
+        yield keep
+    finally:
+        for path in paths:
+            discard(spark, path)
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

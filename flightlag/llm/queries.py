@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from flightlag.llm import (
+    centroids,
     decontaminate,
     exact_dedup,
+    filter_audit,
+    html_extraction,
     language_id,
     mixing,
     secret_scan,
@@ -26,6 +29,9 @@ QUERIES = {
     "op8_suffix_dedup": suffix_dedup.op8_suffix_dedup,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_url_filter": url_filter.op10_url_filter,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_centroids": centroids.op12_centroids,
+    "op13_html_extraction": html_extraction.op13_html_extraction,
 }
 
 ORACLES = {
@@ -33,4 +39,6 @@ ORACLES = {
     "op6_decontaminate": decontaminate.OP6_SQL,
     "op7_mixing": mixing.OP7_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_centroids": centroids.OP12_SQL,
 }

@@ -58,7 +58,42 @@ def pages() -> pa.Table:
         "http://spam-farm.example.net/q", "http://spam-farm.example.org/q", "http://www.free-bets.example.com?a", "http://ok.net#f",
         "line\nhttp://x.com/de/1\n2", "http://É.com/de/", "http://x.com", "http://x.com", "http://org", "http://org/",
     ]
-    return pa.table({"page_id": pa.array(range(len(urls)), pa.int64()), "url": urls, "html": ["<p>"] * len(urls)})
+    html = [awkward_html()[k % len(awkward_html())] for k in range(len(urls))]
+    return pa.table({"page_id": pa.array(range(len(urls)), pa.int64()), "url": urls, "html": html})
+
+
+def awkward_html() -> list[str | None]:
+    """Null, empty, cut off, nested and badly closed pages, and one with very many blocks."""
+    long = "<article>" + "<p>one two three &amp; four" * 20_000 + "</article>"
+    return [
+        None, "", "<p>", "plain text", "<", "<p", "<p class='x", "<!-- never ends <p>x</p>", "<script>var a = '<p>no</p>';",
+        "</p></div>stray ends", "<article><p>Main text of a page, with a sentence.</p></article><footer>&copy; foot</footer>",
+        "<ul><li>a<li>b</ul>", "<table><tr><td>x<td>y</table>", "<div>" * 3_000 + "deep" + "</div>" * 3_000,
+        "<b><i>odd</b></i> &#x41;&bogus;&lt;p&gt;", "<p>\u00a0 wide \u2003 space \n</p>", long, long,
+    ]
+
+
+def labels() -> pa.Table:
+    """For some documents, for none of the table, twice, without an id or a value."""
+    rows = [(i, i % 2, (i // 3) % 2) for i in range(1, 120, 2)] + [(3, 0, 1), (3, None, None), (None, 1, 1), (10**6, 1, 1), (5, None, 1)]
+    kinds = [("doc_id", pa.int64()), ("quality", pa.int32()), ("toxic", pa.int32())]
+    return pa.table([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], names=[n for n, _ in kinds])
+
+
+def embeddings() -> pa.Table:
+    """Whole vectors, copies, ties, and vectors that are null, short, long or not finite."""
+    rnd = random.Random(3)
+    vectors: list = [[rnd.uniform(-1, 1) for _ in range(64)] for _ in range(90)]
+    vectors += [vectors[0]] * 30 + [[0.0] * 64, [0.5] * 64, [-0.5] * 64]
+    broken = [None, [], [1.0] * 63, [1.0] * 65, [None] + [1.0] * 63, [float("nan")] + [1.0] * 63, [float("inf")] + [1.0] * 63]
+    ids = [*range(len(vectors)), 4, 4, None, None, *range(1000, 1000 + len(broken))]
+    vectors += [vectors[4], vectors[9], vectors[11], vectors[11], *broken]
+    return pa.table({"vec_id": pa.array(ids, pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32()))})
+
+
+def _tables() -> dict[str, pa.Table]:
+    made = {"documents": documents(), "benchmark": benchmark(), "pages": pages()}
+    return {**made, "labels": labels(), "embeddings": embeddings()}
 
 
 def _write(folder, tables: dict[str, pa.Table]) -> str:
@@ -69,11 +104,11 @@ def _write(folder, tables: dict[str, pa.Table]) -> str:
 
 @pytest.fixture(scope="session")
 def awkward_dir(tmp_path_factory) -> str:
-    made = {"documents": documents(), "benchmark": benchmark(), "pages": pages()}
+    made = _tables()
     return _write(tmp_path_factory.mktemp("awkward"), made)
 
 
 @pytest.fixture(scope="session")
 def empty_dir(tmp_path_factory) -> str:
-    made = {"documents": documents(), "benchmark": benchmark(), "pages": pages()}
+    made = _tables()
     return _write(tmp_path_factory.mktemp("empty"), {k: t.slice(0, 0) for k, t in made.items()})
