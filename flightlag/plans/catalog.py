@@ -526,10 +526,8 @@ on_warehouse("damage_vs_repair", lambda wh: explore.damage_vs_repair(
 on_warehouse("worst_cascade_days", lambda wh: explore.worst_cascade_days(
     wh.rotation_links(), Slice(), wh.settings
 ))
-on_warehouse("rotation_timeline", lambda wh: explore.rotation_timeline(
-    wh.rotation_leg(), wh.settings
-))
-on_warehouse("cascade_start", lambda wh: explore.cascade_start(wh.rotation_leg(), wh.settings))
+on_warehouse("rotation_timeline", lambda wh: explore.rotation_timeline(wh.rotation_leg()))
+on_warehouse("cascade_start", lambda wh: explore.cascade_start(wh.rotation_leg()))
 on_warehouse("rotation_breaks", lambda wh: explore.rotation_breaks(wh.rotation_links()))
 def ranked_stations(wh: Warehouse) -> DataFrame:
     s = wh.settings

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from flightlag.functions.clock import month_first
 from flightlag.functions.numeric import percent
 from flightlag.operators import scorecard as sc
 from flightlag.operators.filters import Slice
-from flightlag.operators.sequence import Chunked, cut_sequences, number_rows, per_entity
 from flightlag.plans.analyses import buffer_by_hour, cascade_by_hour
 from flightlag.settings import Settings
 
@@ -139,18 +138,19 @@ def one_aircraft_day(legs: DataFrame, tail: str, day: dt.date) -> DataFrame:
     return Slice(date_from=day, date_to=day).apply(legs).filter(F.col("tail_number") == tail)
 
 
-def aircraft_days(legs: DataFrame, settings: Settings = Settings()) -> Chunked:
-    """Legs numbered within each aircraft day."""
-    order = ["sched_dep_utc", *[c for c in settings.tie_break if c in legs.columns]]
-    days = cut_sequences(
-        legs.drop("leg_seq"), AIRCRAFT_DAY, "sched_dep_utc", order, settings.max_rows_per_sequence
-    )
-    return number_rows(days, "leg_seq")
+def _day() -> WindowSpec:
+    """An aircraft's legs of one day, few as a day is short; windows of a day share one exchange."""
+    return Window.partitionBy(*AIRCRAFT_DAY)
 
 
-def rotation_timeline(legs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def rotation_timeline(legs: DataFrame) -> DataFrame:
     """Each aircraft day as legs with minutes from its first planned departure."""
-    days = per_entity(aircraft_days(legs, settings), {"_base": F.min("sched_dep_utc")})
+    days = legs.withColumns(
+        {
+            "leg_seq": F.row_number().over(_day().orderBy("leg_seq")).cast("long"),
+            "_base": F.min("sched_dep_utc").over(_day()),
+        }
+    )
 
     def minutes(end: str, start: str):
         return ((F.unix_seconds(end) - F.unix_seconds(start)) / F.lit(60)).cast("double")
@@ -158,7 +158,7 @@ def rotation_timeline(legs: DataFrame, settings: Settings = Settings()) -> DataF
     def hhmm(instant: str):
         return F.date_format(instant, "HH:mm")
 
-    return days.rows.select(
+    return days.select(
         *AIRCRAFT_DAY,
         "leg_seq",
         "origin",
@@ -183,17 +183,16 @@ def rotation_timeline(legs: DataFrame, settings: Settings = Settings()) -> DataF
     )
 
 
-def cascade_start(legs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def cascade_start(legs: DataFrame) -> DataFrame:
     """First inheriting leg of each aircraft day and the day's inherited total."""
     through = F.col("is_continuation") & (F.col("inherited_delay_minutes") > 0)
-    days = per_entity(
-        aircraft_days(legs, settings),
+    days = legs.withColumn("leg_seq", F.row_number().over(_day().orderBy("leg_seq")).cast("long")).withColumns(
         {
-            "day_inherited_minutes": F.sum("inherited_delay_minutes"),
-            "start_leg": F.min(F.when(through, F.col("leg_seq"))),
-        },
+            "day_inherited_minutes": F.sum("inherited_delay_minutes").over(_day()),
+            "start_leg": F.min(F.when(through, F.col("leg_seq"))).over(_day()),
+        }
     )
-    return days.rows.filter(F.col("leg_seq") == F.col("start_leg")).select(
+    return days.filter(F.col("leg_seq") == F.col("start_leg")).select(
         *AIRCRAFT_DAY,
         "day_inherited_minutes",
         "start_leg",

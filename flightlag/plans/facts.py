@@ -11,9 +11,10 @@ from flightlag.operators.benchmark import benchmark_floor
 from flightlag.operators.delay import attribution_flags, split_root_inherited
 from flightlag.operators.islands import islands
 from flightlag.operators.propagation import propagate
-from flightlag.operators.sequence import sequence_entities
+from flightlag.operators.sequence import Chunked, Cuts, Keep, find_cuts, sequence_entities
 from flightlag.operators.turns import flyable_legs, link_turns
 from flightlag.settings import Settings
+from flightlag.sources.tables import keep_in_scratch
 
 # Columns of the flight fact taken over from staging, where the feed has them.
 KEPT = [
@@ -109,33 +110,52 @@ def fct_flight(staged: DataFrame, settings: Settings = Settings()) -> DataFrame:
     return split_root_inherited(flights)
 
 
-def rotation_links(flights: DataFrame, settings: Settings = Settings()) -> DataFrame:
-    """Legs of each aircraft in order, linked into turns and cascades.
+def leg_order(settings: Settings) -> list[str]:
+    return ["sched_dep_utc", *settings.tie_break]
 
-    Sequence, links and islands share one exchange by aircraft. Cascades depend
-    on the links and the reported causes only, so they are found here rather than
-    after the benchmark join.
-    """
-    legs = flyable_legs(flights).drop(*SAME_WHEN_FLOWN)
-    seq = sequence_entities(
-        legs,
+
+def rotation_cuts(flights: DataFrame, settings: Settings = Settings(), keep: Keep = keep_in_scratch) -> Cuts:
+    """Where legs of aircraft with very many are cut; small tables that ``keep`` stores."""
+    return find_cuts(
+        flyable_legs(flights),
         ["tail_number"],
         "sched_dep_utc",
-        ["sched_dep_utc", *settings.tie_break],
+        leg_order(settings),
         CARRIED,
-        max_rows=settings.max_rows_per_sequence,
+        settings.max_rows_per_sequence,
+        keep,
+        "rotation_cuts",
     )
+
+
+def rotation_links(
+    flights: DataFrame, settings: Settings = Settings(), cuts: Cuts | None = None, keep: Keep = keep_in_scratch
+) -> DataFrame:
+    """Legs of each aircraft in order, linked into turns and cascades.
+
+    Sequence, links and islands share one scan and one exchange by aircraft. Cascades
+    depend on the links and the reported causes only, so they are found here rather than
+    after the benchmark join.
+    """
+    legs = flyable_legs(flights).drop(*SAME_WHEN_FLOWN)
+    seq = sequence_entities(legs, cuts or rotation_cuts(flights, settings, keep))
+    return chain_legs(seq, settings, keep).drop_chunk()
+
+
+def chain_legs(seq: Chunked, settings: Settings, keep: Keep = keep_in_scratch) -> Chunked:
+    """Turns and cascades of legs that know the leg before."""
     seq = seq.with_rows(link_turns(seq.rows, settings.max_turn_minutes))
     inheriting = F.col("is_continuation") & (F.col("inherited_delay_minutes") > 0)
     seq = seq.with_rows(seq.rows.withColumn("is_inheriting", inheriting))
-    seq = islands(
+    return islands(
         seq,
         F.col("is_inheriting"),
         id_name="cascade_id",
         position_name="cascade_position",
         length_name="cascade_length",
+        keep=keep,
+        label="rotation_islands",
     )
-    return seq.drop_chunk()
 
 
 def ref_min_turn(links: DataFrame, settings: Settings = Settings()) -> DataFrame:

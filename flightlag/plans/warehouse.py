@@ -9,6 +9,7 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from flightlag.operators.sequence import Cuts
 from flightlag.plans import dimensions, facts, marts, staging
 from flightlag.session import pin_session, scratch_path
 from flightlag.settings import Settings
@@ -46,6 +47,10 @@ class Warehouse:
         self._feed = feed
         self._airports = airports
         self._span = calendar_span
+        self._cuts: Cuts | None = None
+
+    def _keep(self, df: DataFrame, name: str) -> DataFrame:
+        return self.store.save(name, df)
 
     def _table(
         self, name: str, plan: Callable[[], DataFrame], by: tuple[str, ...] = (), compact: bool = False
@@ -140,14 +145,23 @@ class Warehouse:
             ("year", "month"),
         )
 
+    def rotation_cuts(self) -> Cuts:
+        """Where very long sequences are cut: small tables, found once."""
+        if self._cuts is None:
+            self._cuts = facts.rotation_cuts(self.flight(), self.settings, self._keep)
+        return self._cuts
+
     def rotation_links(self) -> DataFrame:
         """Linked legs by month: one shuffle by aircraft, one to lay out the files."""
-        return self._table(
+        links = self._table(
             "int_rotation_leg",
-            lambda: facts.rotation_links(self.flight(), self.settings),
+            lambda: facts.rotation_links(self.flight(), self.settings, self.rotation_cuts(), self._keep),
             ("year", "month"),
             compact=True,
         )
+        for name in ("rotation_islands", "rotation_islands_chunks"):
+            self.store.remove(name)
+        return links
 
     def min_turn(self) -> DataFrame:
         return self._table(

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flightlag.operators.sequence import cut_sequences, neighbour
+from flightlag.operators.sequence import cut_sequences, find_cuts, neighbour
 
 # Stations of the feed and the zone of their clocks.
 STATIONS = [
@@ -48,8 +48,8 @@ def legs_from_events(events: DataFrame, max_rows: int = 2_000_000) -> DataFrame:
             F.col("ts").cast("timestamp"), _nth([zone for _, zone in STATIONS], station)
         ).alias("_local"),
     )
-    seq = cut_sequences(base, ["user_id"], "ts", ["ts", "event_id"], max_rows)
-    base = neighbour(seq, F.col("origin"), "_next", following=True).drop_chunk()
+    cuts = find_cuts(base, ["user_id"], "ts", ["ts", "event_id"], ["origin"], max_rows, label="feed_cuts")
+    base = neighbour(cut_sequences(base, cuts), "origin", "_next", following=True).drop_chunk()
 
     cancelled = i % 53 == 0
     diverted = ~cancelled & (i % 211 == 0)

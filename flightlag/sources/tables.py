@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
+from flightlag.session import scratch_path
+
 
 def _folder(spark: SparkSession, path: str):
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -22,6 +24,13 @@ def delete_folder(spark: SparkSession, path: str) -> None:
     system.delete(folder, True)
 
 
+def keep_in_scratch(df: DataFrame, label: str) -> DataFrame:
+    """Store a table below the shared folder and read it back: its size is known then."""
+    path = scratch_path(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class TableStore:
     """Write a DataFrame once, read it back as a table with known size."""
 
@@ -54,6 +63,11 @@ class TableStore:
             reader = reader.schema(self._schemas[name])
         return reader.parquet(self.path(name))
 
+    def remove(self, name: str) -> None:
+        """Delete a table that nothing reads any more; one that is not there is none."""
+        if self._schemas.pop(name, None) is not None:
+            delete_folder(self.spark, self.path(name))
+
     def drop(self) -> None:
         """Remove the folder and forget its tables."""
         delete_folder(self.spark, self.root)

@@ -1,14 +1,25 @@
 """Sequences and islands against plain Python, whole and cut into chunks."""
 
 import datetime as dt
+import pathlib
 import random
+import re
+import time
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
 from flightlag.operators.islands import islands
-from flightlag.operators.sequence import cut_sequences, neighbour, number_rows, per_entity, sequence_entities
+from flightlag.operators.sequence import (
+    cut_sequences,
+    find_cuts,
+    neighbour,
+    number_rows,
+    per_entity,
+    sequence_entities,
+)
+from flightlag.sources.tables import keep_in_scratch
 
 SCHEMA = "entity string, at timestamp, tie int, flag boolean"
 START = dt.datetime(2024, 1, 1)
@@ -47,9 +58,13 @@ def expected(rows):
     return out
 
 
+def cuts_of(df, max_rows, **how):
+    return find_cuts(df, ["entity"], "at", ["at", "tie"], ["tie"], max_rows, **how)
+
+
 def computed(df, max_rows):
-    seq = sequence_entities(df, ["entity"], "at", ["at", "tie"], ["tie"], "seq", "prev_", max_rows)
-    seq = neighbour(seq, F.col("tie"), "next_tie", following=True)
+    seq = sequence_entities(df, cuts_of(df, max_rows), "seq", "prev_")
+    seq = neighbour(seq, "tie", "next_tie", following=True)
     continues = F.col("prev_tie").isNotNull() & F.col("flag")
     seq = islands(seq, continues, "seq", "id", "place", "length")
     seq = per_entity(seq, {"size": F.count("*")})
@@ -83,16 +98,87 @@ def test_one_second_is_cut_too(spark):
     assert got == expected(rows)
 
 
-def test_describing_starts_no_job(spark):
+def test_cuts_are_kept_and_used_without_a_job(spark):
     frame = spark.createDataFrame(make_rows(1), SCHEMA)
+    kept = []
+    cuts = cuts_of(frame, 5, keep=lambda df, name: kept.append(name) or keep_in_scratch(df, name))
+    assert kept == ["cuts_long", "cuts_counts", "cuts_sides", "cuts_units", "cuts_edges"]
     context = spark.sparkContext
     context.setJobGroup("describing", "no job may start")
-    seq = sequence_entities(frame, ["entity"], "at", ["at", "tie"], ["tie"], "seq", "prev_", 5)
-    islands(neighbour(seq, F.col("tie"), "next", following=True), F.col("flag"), "seq")
+    neighbour(sequence_entities(frame, cuts, "seq", "prev_"), "tie", "next", following=True)
     assert len(context.statusTracker().getJobIdsForGroup("describing")) == 0
     context.setLocalProperty("spark.jobGroup.id", None)
 
 
+def test_nothing_long_is_found_by_one_count_of_the_entities(spark):
+    frame, kept = spark.createDataFrame(make_rows(1), SCHEMA), []
+    cuts = cuts_of(frame, 10**6, keep=lambda df, name: kept.append(name) or keep_in_scratch(df, name))
+    assert kept == ["cuts_long"] and cuts.units is None and cuts.edges is None
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("max_rows", [10**6, 40])
+def test_one_scan_and_one_exchange_of_the_rows(spark, max_rows):
+    """With and without cuts: rows are read once and dealt out once."""
+    stored = keep_in_scratch(spark.createDataFrame(make_rows(6), SCHEMA), "rows")
+    cuts = cuts_of(stored, max_rows)
+    passed = []
+
+    def keep(df, name):
+        df.collect()
+        passed.append((name, plan(df)))
+        return keep_in_scratch(df, name)
+
+    seq = neighbour(sequence_entities(stored, cuts, "seq", "prev_"), "tie", "next_tie", following=True)
+    seq = islands(seq, F.col("prev_tie").isNotNull() & F.col("flag"), "seq", keep=keep)
+    seq.rows.collect()
+    ran = dict(passed).get("islands") or plan(seq.rows)
+    path = stored.inputFiles()[0].rsplit("/", 2)[1]
+    assert ran.count("FileScan") - ran.count("cuts_") == 1 and path in ran
+    assert len(re.findall(r"Exchange hashpartitioning", ran)) == 1
+    if max_rows == 40:
+        # What completes the runs is joined to the kept rows; they are not dealt out again.
+        assert "Exchange hashpartitioning" not in plan(seq.rows) and path not in plan(seq.rows)
+    else:
+        assert not passed and "Join" not in ran
+
+
+def test_finding_a_chunk_does_not_slow_down_with_the_cuts(spark):
+    """10 cuts and 10,000 cuts of one entity in a few units of time."""
+    rows = spark.range(400_000).select(
+        F.lit("a").alias("entity"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.floor(F.col("id") / 40)).alias("at"),
+        F.col("id").cast("int").alias("tie"),
+        F.lit(True).alias("flag"),
+    )
+    rows = keep_in_scratch(rows.repartition(8), "rows")
+    took = []
+    for max_rows in (40_000, 40):
+        cuts = cuts_of(rows, max_rows)
+        best = 9e9
+        for _ in range(3):
+            start = time.perf_counter()
+            cut_sequences(rows, cuts).rows.write.format("noop").mode("overwrite").save()
+            best = min(best, time.perf_counter() - start)
+        took.append(best)
+    assert took[1] < 4 * took[0] + 0.5
+
+
+def test_no_table_is_broadcast_by_hint():
+    folder = pathlib.Path(__file__).parent.parent / "flightlag/operators"
+    assert not [p.name for p in folder.glob("*.py") if "broadcast(" in p.read_text()]
+
+
+def test_rows_without_an_entity(spark):
+    """They are one entity in windows and never cut."""
+    rows = [(None, START, i, True) for i in range(20)]
+    seq = sequence_entities(spark.createDataFrame(rows, SCHEMA), cuts_of(spark.createDataFrame(rows, SCHEMA), 3), "seq", "prev_")
+    assert sorted(r.seq for r in seq.rows.collect()) == list(range(1, 21))
+
+
 def test_long_island_crosses_chunks(spark):
     rows = [("a", START + dt.timedelta(hours=i), i, i not in (0, 70)) for i in range(100)]
     _, got = computed(spark.createDataFrame(rows, SCHEMA), 9)
@@ -116,6 +202,7 @@ def test_empty_input(spark):
 
 def test_numbers_go_on_over_chunks(spark):
     rows = [("a", START + dt.timedelta(hours=i), i, True) for i in range(30)]
-    seq = cut_sequences(spark.createDataFrame(rows, SCHEMA), ["entity"], "at", ["at", "tie"], 4)
+    df = spark.createDataFrame(rows, SCHEMA)
+    seq = cut_sequences(df, cuts_of(df, 4))
     numbers = [r.n for r in number_rows(seq, "n").rows.orderBy("tie").collect()]
     assert numbers == list(range(1, 31))

@@ -47,7 +47,7 @@ def test_no_query_crosses_rows_or_runs_python(spark, sf_dir, wh, name):
 
 def test_rotation_needs_one_exchange(wh):
     """As it runs: without a long aircraft nothing is left of cutting and carrying."""
-    links = facts.rotation_links(wh.flight(), wh.settings)
+    links = facts.rotation_links(wh.flight(), wh.settings, wh.rotation_cuts())
     links.collect()
     ran = plan(links).split("== Initial Plan ==")[0]
     assert len(re.findall(r"Exchange hash", ran)) == 1 and "Join" not in ran
@@ -99,8 +99,7 @@ def test_hot_aircraft_gives_the_same_tables(spark, sf_dir):
     assert same(whole.rotation_leg(), cut.rotation_leg())
     assert same(whole.cascade(), cut.cascade())
     for view in (explore.rotation_timeline, explore.cascade_start):
-        few = dataclasses.replace(FEED_SETTINGS, max_rows_per_sequence=3)
-        assert same(view(whole.rotation_leg(), FEED_SETTINGS), view(cut.rotation_leg(), few))
+        assert same(view(whole.rotation_leg()), view(cut.rotation_leg()))
 
 
 # ------------------------------------------------------------------------ building
