@@ -25,17 +25,20 @@ def efficiency(base: str, with_buffer: str, turns: str, added: int) -> Column:
     return ratio(F.col(base) - F.col(with_buffer), F.lit(float(added)) * F.col(turns))
 
 
+def curve_measures(added: int = 10) -> list[sc.Measure]:
+    return [
+        sc.rows("turns"),
+        sc.total("predicted_base", handed_on(), PLACES),
+        sc.total("predicted_with_buffer", handed_on(added), PLACES),
+    ]
+
+
 def buffer_curve(legs: DataFrame, keys: Sequence[str], added: int = 10) -> DataFrame:
     """Predicted minutes with and without a buffer, per key, over real turns."""
-    curve = sc.scorecard(
-        legs.filter("is_continuation"),
-        keys,
-        [
-            sc.rows("turns"),
-            sc.total("predicted_base", handed_on(), PLACES),
-            sc.total("predicted_with_buffer", handed_on(added), PLACES),
-        ],
-    )
+    return with_efficiency(sc.scorecard(legs.filter("is_continuation"), keys, curve_measures(added)), added)
+
+
+def with_efficiency(curve: DataFrame, added: int = 10) -> DataFrame:
     return curve.withColumn(
         "efficiency", efficiency("predicted_base", "predicted_with_buffer", "turns", added)
     )

@@ -41,6 +41,11 @@ class Slice:
                 keep = keep & (month >= bound if at_least else month <= bound)
         return keep
 
+    def columns(self, airport_column: str = "origin") -> list[str]:
+        """Columns the filter looks at."""
+        dated = self.date_from is not None or self.date_to is not None
+        return ["carrier"] * bool(self.carriers) + [airport_column] * bool(self.airports) + ["flight_date"] * dated
+
     def apply(self, df: DataFrame, airport_column: str = "origin") -> DataFrame:
         by_month = {"year", "month"} <= set(df.columns)
         return df.filter(self.predicate(airport_column, by_month))

@@ -126,6 +126,11 @@ def scorecard(
         grouped = grouped.groupBy(*keys).agg(*merged)
     if min_rows is not None:
         grouped = grouped.filter(F.col("_rows") >= min_rows)
+    return finished(grouped, keys, measures)
+
+
+def finished(grouped: DataFrame, keys: Sequence[str], measures: Sequence[Measure]) -> DataFrame:
+    """Measures from their sums: _rows, and _s, _n or _q with the measure's number."""
     return grouped.select(*keys, *[_finish(i, m).alias(m.name) for i, m in enumerate(measures)])
 
 

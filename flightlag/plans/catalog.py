@@ -24,6 +24,7 @@ from flightlag.operators.filters import Slice
 from flightlag.operators.periods import join_periods
 from flightlag.operators.turns import flyable_legs
 from flightlag.plans import analyses, dimensions, explore, exports, marts, quality
+from flightlag.plans.rotation_months import MonthlyRotation, month_starts, rotation_by_days
 from flightlag.plans.staging import stg_flight
 from flightlag.plans.warehouse import Warehouse
 from flightlag.session import pin_session, scratch_path
@@ -422,6 +423,39 @@ on_warehouse("cascade_islands", lambda wh: wh.rotation_leg().select(
 ))
 
 
+LINKED = (
+    *FLIGHT_KEY, "leg_seq", "prev_dest", "prev_carrier", "prev_flight_date", "prev_flight_number", "prev_origin",
+    "prev_sched_arr_utc", "prev_actual_arr_utc", "prev_arr_delay", "prev_root_delay_minutes",
+    "prev_inherited_delay_minutes", "prev_primary_cause", "sched_turn_minutes", "actual_turn_minutes", "is_continuation",
+    "is_inheriting", "cascade_id", "cascade_position", "cascade_length",
+)
+
+
+def _kept_rotation(x: Inputs, key: str, starts: Callable[[DataFrame], list[dt.date]]) -> DataFrame:
+    def add_all() -> MonthlyRotation:
+        flights = x.warehouse().flight()
+        return rotation_by_days(x.spark, flights, starts(flights), scratch_path(x.spark, key), x.settings)
+
+    return x.once(key, add_all).links().select(*LINKED)
+
+
+@query
+def rotation_by_month(x: Inputs) -> DataFrame:
+    """The rotation grown month by month: every column as in a rebuild."""
+    return _kept_rotation(x, "rotation-months", month_starts)
+
+
+@query
+def rotation_by_ten_days(x: Inputs) -> DataFrame:
+    """The same in batches of ten days."""
+
+    def starts(flights: DataFrame) -> list[dt.date]:
+        first, *_, end = month_starts(flights)
+        return [*(first + dt.timedelta(days=n) for n in range(0, (end - first).days, 10)), end]
+
+    return _kept_rotation(x, "rotation-days", starts)
+
+
 @query
 def min_turn_network(x: Inputs) -> DataFrame:
     """The turn floors when no group is large enough but the whole."""
@@ -516,12 +550,12 @@ on_warehouse("filter_domain", lambda wh: explore.filter_domain(
     wh.flight(), wh.dim_carrier(), wh.dim_airport()
 ))
 on_warehouse("filtered_kpis", lambda wh: explore.filtered_kpis(
-    wh.flight(), NARROWED, wh.cost()
+    wh.flight_days(), NARROWED, wh.cost()
 ))
-on_warehouse("filtered_trend", lambda wh: explore.filtered_trend(wh.flight(), NARROWED))
-on_warehouse("filtered_damage", lambda wh: explore.filtered_damage(wh.cascade(), NARROWED))
+on_warehouse("filtered_trend", lambda wh: explore.filtered_trend(wh.flight_days(), NARROWED))
+on_warehouse("filtered_damage", lambda wh: explore.filtered_damage(wh.cascade_hours(), NARROWED))
 on_warehouse("damage_vs_repair", lambda wh: explore.damage_vs_repair(
-    wh.cascade(), wh.rotation_leg(), NARROWED
+    wh.cascade_hours(), wh.turn_hours(), NARROWED
 ))
 on_warehouse("worst_cascade_days", lambda wh: explore.worst_cascade_days(
     wh.rotation_links(), Slice(), wh.settings
@@ -529,6 +563,33 @@ on_warehouse("worst_cascade_days", lambda wh: explore.worst_cascade_days(
 on_warehouse("rotation_timeline", lambda wh: explore.rotation_timeline(wh.rotation_leg()))
 on_warehouse("cascade_start", lambda wh: explore.cascade_start(wh.rotation_leg()))
 on_warehouse("rotation_breaks", lambda wh: explore.rotation_breaks(wh.rotation_links()))
+on_warehouse("filtered_damage_week", lambda wh: explore.filtered_damage(wh.cascade_hours(), WEEK))
+
+
+@query
+def filter_description(x: Inputs) -> DataFrame:
+    """What each filter says of itself, with the flights it leaves."""
+    source = x.warehouse().flight_days()
+    slices = [Slice(), NARROWED, WEEK, Slice(("AA",)), Slice(date_from=WEEK.date_from)]
+    rows = [
+        source.figures(where, [], [sc.rows("flights")]).withColumn("shown", F.lit(where.describe())) for where in slices
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@query
+def models_by_name(x: Inputs) -> DataFrame:
+    """SQL over the registered models: delay handed on and what cascades made of it."""
+    x.warehouse().register("named_")
+    return x.spark.sql("""
+        SELECT carrier, flights, inherited, cascades, downstream
+        FROM (SELECT carrier, count(*) AS flights, sum(inherited_delay_minutes) AS inherited
+              FROM named_fct_flight GROUP BY carrier)
+        JOIN (SELECT carrier, count(*) AS cascades, sum(downstream_delay_minutes) AS downstream
+              FROM named_mart_cascade GROUP BY carrier) USING (carrier)
+    """)
+
+
 def ranked_stations(wh: Warehouse) -> DataFrame:
     s = wh.settings
     return explore.station_opportunities(wh.turn_slack_opportunity(), NARROWED, s.opportunity_rows, s.ranked_buffer)
@@ -536,8 +597,8 @@ def ranked_stations(wh: Warehouse) -> DataFrame:
 
 on_warehouse("station_opportunities", ranked_stations)
 on_warehouse("station_labels", lambda wh: explore.station_labels(ranked_stations(wh)))
-on_warehouse("filtered_kpis_week", lambda wh: explore.filtered_kpis(wh.flight(), WEEK, wh.cost()))
-on_warehouse("filtered_trend_week", lambda wh: explore.filtered_trend(wh.flight(), WEEK))
+on_warehouse("filtered_kpis_week", lambda wh: explore.filtered_kpis(wh.flight_days(), WEEK, wh.cost()))
+on_warehouse("filtered_trend_week", lambda wh: explore.filtered_trend(wh.flight_days(), WEEK))
 on_warehouse("one_aircraft_day", lambda wh: explore.one_aircraft_day(
     wh.rotation_leg(), "N107", dt.date(2024, 1, 9)
 ).select("tail_number", "flight_date", "leg_seq", "origin", "dest", "arr_delay", "is_continuation"))

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from flightlag.functions.clock import month_first
 from flightlag.functions.numeric import percent
 from flightlag.operators import scorecard as sc
+from flightlag.operators.buffer import curve_measures, with_efficiency
 from flightlag.operators.filters import Slice
-from flightlag.plans.analyses import buffer_by_hour, cascade_by_hour
+from flightlag.operators.summary import Source
 from flightlag.settings import Settings
 
 AIRCRAFT_DAY = ["tail_number", "flight_date"]
@@ -50,23 +51,36 @@ def filter_domain(flights: DataFrame, carriers: DataFrame, airports: DataFrame)
     )
 
 
-def filtered_kpis(flights: DataFrame, where: Slice, cost: Column) -> DataFrame:
-    """The headline row of a slice with its delay split and cost."""
+def kpi_measures() -> list[sc.Measure]:
     done = F.col("completed")
-    figures = sc.scorecard(
-        where.apply(flights),
-        [],
-        [
-            sc.rows("flights"),
-            sc.share("a14_pct", F.col("is_on_time_a14")),
-            sc.share("completion_pct", done),
-            sc.share("cancellation_pct", F.col("cancelled")),
-            sc.mean("mean_arr_delay", F.col("arr_delay"), done),
-            sc.quantile("p90_arr_delay", F.col("arr_delay"), 0.90, done),
-            sc.total("root_minutes", F.col("root_delay_minutes")),
-            sc.total("inherited_minutes", F.col("inherited_delay_minutes")),
-        ],
-    )
+    return [
+        sc.rows("flights"),
+        sc.share("a14_pct", F.col("is_on_time_a14")),
+        sc.share("completion_pct", done),
+        sc.share("cancellation_pct", F.col("cancelled")),
+        sc.mean("mean_arr_delay", F.col("arr_delay"), done),
+        sc.quantile("p90_arr_delay", F.col("arr_delay"), 0.90, done),
+        sc.total("root_minutes", F.col("root_delay_minutes")),
+        sc.total("inherited_minutes", F.col("inherited_delay_minutes")),
+    ]
+
+
+def damage_measures() -> list[sc.Measure]:
+    return [
+        sc.rows("roots"),
+        sc.mean("legs", F.col("downstream_legs")),
+        sc.mean("minutes", F.col("downstream_delay_minutes")),
+        sc.mean("amplification", F.col("amplification_ratio"), places=2),
+    ]
+
+
+def as_source(rows: DataFrame | Source, airport: str = "origin") -> Source:
+    return rows if isinstance(rows, Source) else Source(lambda: rows, airport=airport)
+
+
+def filtered_kpis(flights: DataFrame | Source, where: Slice, cost: Column) -> DataFrame:
+    """The headline row of a slice with its delay split and cost."""
+    figures = as_source(flights).figures(where, [], kpi_measures())
     root, inherited = F.col("root_minutes"), F.col("inherited_minutes")
     return figures.withColumns(
         {
@@ -76,10 +90,10 @@ def filtered_kpis(flights: DataFrame, where: Slice, cost: Column) -> DataFrame:
     )
 
 
-def filtered_trend(flights: DataFrame, where: Slice) -> DataFrame:
+def filtered_trend(flights: DataFrame | Source, where: Slice) -> DataFrame:
     """Exact on-time rate and inherited share by month, from flights."""
-    figures = sc.scorecard(
-        where.apply(flights),
+    figures = as_source(flights).figures(
+        where,
         ["year", "month"],
         [
             sc.share("a14_pct", F.col("is_on_time_a14")),
@@ -94,24 +108,38 @@ def filtered_trend(flights: DataFrame, where: Slice) -> DataFrame:
     )
 
 
-def filtered_damage(
-    cascades: DataFrame, where: Slice, first: int = 5, last: int = 22
-) -> DataFrame:
+def roots_by_hour(cascades: DataFrame) -> DataFrame:
+    return cascades.withColumnRenamed("root_dep_hour_local", "hour")
+
+
+def turns_by_hour(legs: DataFrame) -> DataFrame:
+    return legs.filter("is_continuation").withColumnRenamed("sched_dep_hour_local", "hour")
+
+
+def filtered_damage(cascades: DataFrame | Source, where: Slice, first: int = 5, last: int = 22) -> DataFrame:
     """Damage by hour; the airport filter looks at where the root departed."""
-    return cascade_by_hour(where.apply(cascades, "root_origin"), first, last)
+    if isinstance(cascades, DataFrame):
+        cascades = as_source(roots_by_hour(cascades), "root_origin")
+    return cascades.figures(where, ["hour"], damage_measures(), (first, last))
 
 
 def filtered_repair(
-    legs: DataFrame, where: Slice, added: int = 10, first: int = 5, last: int = 22
+    legs: DataFrame | Source, where: Slice, added: int = 10, first: int = 5, last: int = 22
 ) -> DataFrame:
-    return buffer_by_hour(where.apply(legs), added, first, last)
+    if isinstance(legs, DataFrame):
+        legs = as_source(turns_by_hour(legs))
+    curve = with_efficiency(legs.figures(where, ["hour"], curve_measures(added), (first, last)), added)
+    return curve.select("hour", "turns", "efficiency")
 
 
-def damage_vs_repair(cascades: DataFrame, legs: DataFrame, where: Slice, added: int = 10) -> DataFrame:
-    """Both curves by hour; hours of either curve are kept."""
-    return filtered_damage(cascades, where).join(
-        filtered_repair(legs, where, added), "hour", "full_outer"
-    )
+def damage_vs_repair(
+    cascades: DataFrame | Source, legs: DataFrame | Source, where: Slice, added: int = 10
+) -> DataFrame:
+    """Both curves by hour; hours of either curve are kept. One pass over the hours of both."""
+    damage, repair = filtered_damage(cascades, where), filtered_repair(legs, where, added)
+    both = damage.unionByName(repair, allowMissingColumns=True)
+    figures = [c for c in both.columns if c != "hour"]
+    return both.groupBy("hour").agg(*[F.max(c).alias(c) for c in figures])
 
 
 def worst_cascade_days(legs: DataFrame, where: Slice, settings: Settings = Settings()) -> DataFrame:

@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flightlag.operators.sequence import Cuts
-from flightlag.plans import dimensions, facts, marts, staging
+from flightlag.operators.summary import Source, Summary
+from flightlag.plans import dimensions, explore, facts, marts, staging, summaries
 from flightlag.session import pin_session, scratch_path
 from flightlag.settings import Settings
 from flightlag.sources.airports import with_overrides
@@ -211,6 +212,27 @@ class Warehouse:
             ),
         )
 
+    # --------------------------------------------------------- summaries
+
+    def _summarised(self, name: str, summary: Summary, rows: Callable[[], DataFrame], airport: str = "origin") -> Source:
+        by = tuple(c for c in ("year", "month") if c in summary.dims)
+        table = lambda: self._table(name, lambda: summary.build(rows()), by, compact=True)
+        return Source(rows, summary, table, airport)
+
+    def flight_days(self) -> Source:
+        """The flight fact with its figures by carrier, origin and day."""
+        return self._summarised("sum_flight_day", summaries.flight_days(), self.flight)
+
+    def cascade_hours(self) -> Source:
+        """Cascades with their figures by carrier, root station, day and hour."""
+        rows = lambda: explore.roots_by_hour(self.cascade())
+        return self._summarised("sum_cascade_hour", summaries.cascade_hours(), rows, "root_origin")
+
+    def turn_hours(self) -> Source:
+        """Turns with their figures by carrier, station, day and hour."""
+        rows = lambda: explore.turns_by_hour(self.rotation_leg())
+        return self._summarised("sum_turn_hour", summaries.turn_hours(self.settings), rows)
+
     def models(self) -> dict[str, Callable[[], DataFrame]]:
         return {
             "stg_airport": self.stg_airport,

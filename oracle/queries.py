@@ -197,6 +197,14 @@ oracle(
     "i:event_id s:tail_number i:sched_turn_minutes,actual_turn_minutes b:is_continuation",
     "SELECT * FROM links",
 )
+LINKED = (
+    "i:event_id s:tail_number i:leg_seq s:prev_dest,prev_carrier y:prev_flight_date i:prev_flight_number "
+    "s:prev_origin i:prev_sched_arr_utc,prev_actual_arr_utc,prev_arr_delay,prev_root_delay_minutes,"
+    "prev_inherited_delay_minutes s:prev_primary_cause i:sched_turn_minutes,actual_turn_minutes b:is_continuation,"
+    "is_inheriting i:cascade_id,cascade_position,cascade_length"
+)
+oracle("rotation_by_month", LINKED, "SELECT * FROM legs")
+oracle("rotation_by_ten_days", LINKED, "SELECT * FROM legs")
 FLOORS = "s:carrier,airport i:sample_size d:min_turn_minutes s:benchmark_level"
 oracle("min_turn", FLOORS, "SELECT * FROM floors")
 oracle(
@@ -651,6 +659,11 @@ SELECT root_dep_hour_local AS hour, count(*) AS roots, avg(downstream_legs) AS l
 FROM cascades WHERE root_dep_hour_local BETWEEN 5 AND 22 AND {NARROW.format(airport='root_origin')} GROUP BY 1
 """
 oracle("filtered_damage", HOURLY, DAMAGE_SLICE)
+oracle(
+    "filtered_damage_week",
+    HOURLY,
+    DAMAGE_SLICE.replace(" GROUP BY 1", f" AND {THE_WEEK} GROUP BY 1"),
+)
 oracle(
     "damage_vs_repair",
     f"{HOURLY} i:turns d:efficiency",
@@ -675,6 +688,26 @@ SELECT * FROM (
 WHERE place <= 60
 """,
 )
+oracle(
+    "filter_description",
+    "s:shown i:flights",
+    f"""
+SELECT 'all carriers' AS shown, count(*) AS flights FROM flights
+UNION ALL SELECT 'AA, WN, OO · via ATL, DEN, ORD, HNL', count(*) FROM flights WHERE {BY_ORIGIN}
+UNION ALL SELECT 'AA, WN, OO · via ATL, DEN, ORD, HNL · 2024-01-08 to 2024-01-14', count(*) FROM flights WHERE {IN_WEEK}
+UNION ALL SELECT 'AA', count(*) FROM flights WHERE carrier = 'AA'
+UNION ALL SELECT 'all carriers · 2024-01-08 to end', count(*) FROM flights WHERE flight_date >= DATE '2024-01-08'
+""",
+)
+oracle(
+    "models_by_name",
+    "s:carrier i:flights,inherited,cascades,downstream",
+    """
+SELECT * FROM (SELECT carrier, count(*) AS flights, sum(inherited_delay_minutes) AS inherited FROM flights GROUP BY carrier)
+JOIN (SELECT carrier, count(*) AS cascades, sum(downstream_delay_minutes) AS downstream FROM cascades GROUP BY carrier)
+USING (carrier)
+""",
+)
 DAY_LEGS = """
 (SELECT *, row_number() OVER (PARTITION BY tail_number, flight_date ORDER BY leg_seq) AS leg_of_day,
         min(sched_dep_utc) OVER (PARTITION BY tail_number, flight_date) AS base
