@@ -9,6 +9,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,9 +20,16 @@ from flightlag.session import scratch_path
 
 END_ID = 2
 BLOCK_TOKENS = 1 << 18
-TEXT_AT_ONCE = 1 << 20
-#: Words whose ids a task remembers, twice: of late and before.
-CACHED_WORDS = 300_000
+TEXT_AT_ONCE = 1 << 22
+#: Words whose ids a task remembers before it starts anew.
+CACHED_WORDS = 900_000
+#: New words given to the tokenizer as one text.
+WORDS_AT_ONCE = 200
+#: Signs that are no part of a word they follow.
+SIGNS = ".,!?;:%*#$&|)]}"
+
+#: All that is white space to any script, but a line end at the start.
+WORD = r"^\n?[^\s\x0b\x1c-\x1f\x{85}\p{Z}]+$"
 
 RAW_SCHEMA = "part int, block int, first_token long, doc_ids array<long>, lengths array<int>, ids binary"
 FILE_SCHEMA = "part int, block int, first_token long, n_tokens long, doc_ids array<long>, lengths array<int>, payload binary"
@@ -32,33 +40,44 @@ class WordEncoder:
 
     A byte-level BPE merges within words only: a text whose words are parted by
     single blanks and line ends has the ids of its words, each with the blank or
-    line end before it. Any other text is given to the tokenizer as it is.
+    line end before it. Signs that end a word are merged among themselves, so its ids are
+    those of the word without them and theirs. Any other text, and one that holds the
+    string of a special token, is given to the tokenizer as it is.
+
+    Texts are split and their distinct words numbered by Arrow, so only distinct words
+    are looked up one by one.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        # The strings of special tokens are ordinary text in a document.
-        self.tokenizer.encode_special_tokens = True
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        splits = self.tokenizer.pre_tokenizer
+        self.parts_signs = (
+            isinstance(splits, pre_tokenizers.ByteLevel) and splits.use_regex and self.tokenizer.normalizer is None
+        )
         vocabulary = self.tokenizer.get_vocab()
         self.kind = np.dtype("<u2") if len(vocabulary) <= 1 << 16 else np.dtype("<u4")
         # In byte-level BPE the letters G and C with dot above stand for a blank and a line end.
         self.opens = np.zeros(max(vocabulary.values()) + 1, bool)
         self.opens[[i for token, i in vocabulary.items() if token[0] in "\u0120\u010a"]] = True
+        #: Nothing for what is no word.
         self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
         self.first: dict[str, bytes] = {}
+        self.signs: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.kind).tobytes() for e in found]
 
     def _learn(self, words: list[str]) -> None:
-        """Ids of new words, as one text: a word begins where a blank or line end does."""
+        """Ids of new words, as a few texts: a word begins where a blank or line end does."""
         spaced = [w if w[0] == "\n" else " " + w for w in words]
-        ids = np.array(self.tokenizer.encode_batch_fast(["".join(spaced)], add_special_tokens=False)[0].ids, self.kind)
+        groups = ["".join(spaced[i : i + WORDS_AT_ONCE]) for i in range(0, len(spaced), WORDS_AT_ONCE)]
+        found = self.tokenizer.encode_batch_fast(groups, add_special_tokens=False)
+        ids = np.concatenate([np.array(e.ids, self.kind) for e in found])
         at = (np.append(np.flatnonzero(self.opens[ids]), len(ids)) * self.kind.itemsize).tolist()
         if len(at) != len(words) + 1:  # some word has a sign that is taken for a blank
             self.known.update(zip(words, self._ids(spaced)))
@@ -66,50 +85,85 @@ class WordEncoder:
         raw = ids.tobytes()
         self.known.update(zip(words, [raw[a:b] for a, b in zip(at[:-1], at[1:])]))
 
-    def _remember(self, words: set[str]) -> None:
-        """All ``words`` are in ``known`` afterwards, with None for what is no word.
-
-        Words not met for long are forgotten.
-        """
+    def _remember(self, words: list[str]) -> list[bytes]:
+        """Ids of ``words``, none for what is no word."""
         if len(self.known) > CACHED_WORDS:
-            self.known, self.older = {}, self.known
-        new = words.difference(self.known)
-        seen = new.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in seen)
-        new.difference_update(seen)
-        plain = [w for w in new if _is_word(w)]
+            self.known.clear()
+        ids = list(map(self.known.get, words))
+        new = [w for w, found in zip(words, ids) if found is None]
+        plain = _words_among(new)
         if len(plain) < len(new):
-            self.known.update((w, None) for w in new.difference(plain))
+            self.known.update(dict.fromkeys(new, b""))
         if plain:
-            self._learn(plain)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        parts = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
-        self._remember(set().union(*[p[1:] for p in parts]))
-        if len(self.first) > CACHED_WORDS:
+            self._learn_parts(plain) if self.parts_signs else self._learn(plain)
+        return [self.known[w] if found is None else found for w, found in zip(words, ids)] if new else ids
+
+    def _learn_parts(self, words: list[str]) -> None:
+        """Words that end in signs from what they are without."""
+        column = pa.array(words, pa.string())
+        stems = pc.utf8_rtrim(column, SIGNS)
+        ended = pc.and_(pc.not_equal(stems, column), pc.match_substring_regex(stems, r"[\p{L}0-9]$"))
+        of = stems.filter(ended).to_numpy(zero_copy_only=False).tolist()
+        whole = [w for w, e in zip(words, ended.to_pylist()) if not e]
+        wanted = set(whole).union(s for s in of if s not in self.known)
+        if wanted:
+            self._learn(list(wanted))
+        ending = column.filter(ended).to_numpy(zero_copy_only=False).tolist()
+        signs = [w[len(s) :] for w, s in zip(ending, of)]
+        new = [s for s in set(signs) if s not in self.signs]
+        self.signs.update(zip(new, self._ids(new)))
+        self.known.update((w, self.known[s] + self.signs[e]) for w, s, e in zip(ending, of, signs))
+
+    def _first(self, words: set[str]) -> None:
+        """Ids of words that begin a text, with no blank before them."""
+        if len(self.first) + len(self.signs) > CACHED_WORDS:
             self.first.clear()
-        new = [w for w in {p[0] for p in parts if p}.difference(self.first) if _is_word(w) and w[0] != "\n"]
+            self.signs.clear()
+        new = [w for w in _words_among(list(words.difference(self.first))) if w[0] != "\n"]
         self.first.update(zip(new, self._ids(new)))
-        known, whole = self.known, []
-        for i, p in enumerate(parts):
-            if not p:
-                continue
-            ids = [known[w] for w in p[1:]]
-            first = self.first.get(p[0])
-            if first is None or None in ids:
-                whole.append(i)
-            else:
-                out[i] = first + b"".join(ids)
-        for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
-            out[i] = ids
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """Ids of each text as bytes; null is the empty text."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        column = column.fill_null("") if column.null_count else column
+        whole = np.zeros(len(column), bool)
+        for special in self.special:
+            whole |= pc.match_substring(column, special).to_numpy(zero_copy_only=False)
+        parts = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        at = parts.offsets.to_numpy().astype(np.int64)
+        numbered = parts.flatten().dictionary_encode()
+        code = numbered.indices.to_numpy()
+        at -= at[0]
+        words = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = self._remember(words)
+
+        # The first word of a text has no blank before it and is looked up by itself.
+        opening = at[:-1]
+        placed = code.copy()
+        placed[opening] = len(words)
+        unknown = np.array([not x for x in ids] + [False], bool)
+        laid = pa.array(ids + [b""], pa.large_binary()).take(pa.array(placed))
+        raw = laid.buffers()[2]
+        ends = np.frombuffer(laid.buffers()[1], np.int64)[laid.offset : laid.offset + len(laid) + 1]
+        broken = np.concatenate([[0], np.cumsum(unknown[placed])])
+        whole |= broken[at[1:]] > broken[at[:-1]]
+        firsts = [words[c] for c in code[opening].tolist()]
+        self._first(set(firsts))
+        out, single = [], np.diff(at) == 1
+        for i, (start, end) in enumerate(zip(ends[at[:-1]].tolist(), ends[at[1:]].tolist())):
+            first = b"" if single[i] and not firsts[i] else self.first.get(firsts[i])
+            whole[i] |= first is None
+            out.append(b"" if whole[i] else first + raw[start:end].to_pybytes())
+        aside = np.flatnonzero(whole).tolist()
+        for i, found in zip(aside, self._ids([column[i].as_py() for i in aside])):
+            out[i] = found
         return out
 
 
-def _is_word(part: str) -> bool:
-    """Whether a part has signs other than blanks, and no blank but a line end at its start."""
-    body = part[1:] if part[:1] == "\n" else part
-    return body.split() == [body]
+def _words_among(parts: list[str]) -> list[str]:
+    """Parts that have signs other than blanks, and no blank but a line end at their start."""
+    column = pa.array(parts, pa.string())
+    return column.filter(pc.match_substring_regex(column, WORD)).to_numpy(zero_copy_only=False).tolist()
 
 
 @lru_cache(maxsize=1)
@@ -146,8 +200,7 @@ def _tokenise(path: str, end_id: int) -> Callable:
             return row
 
         for batch in pieces(batches, "text", TEXT_AT_ONCE):
-            texts = batch.column("text").to_pylist()
-            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), coder.encode(texts)):
+            for doc_id, coded in zip(batch.column("doc_id").to_pylist(), coder.encode(batch.column("text"))):
                 coded += end
                 if held and held + len(coded) > BLOCK_TOKENS * width:
                     yield flush()

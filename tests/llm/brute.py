@@ -68,7 +68,6 @@ def token_rows(docs: list[dict], path: str) -> list[dict]:
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     out, start = [], 0
 
     def order(d):

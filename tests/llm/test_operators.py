@@ -280,7 +280,6 @@ def test_word_encoder_agrees_with_the_tokenizer(sf_dir):
 
     path = token_files.default_tokenizer()
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     coder = token_files.WordEncoder(path)
     texts = [d["text"] for d in brute.table(sf_dir, "documents") if d["text"]]
     texts += ["a  b", " a", "a ", "a\n\nb", "don't\nwe'll 's", "\n", "x y", "a \nb", "<|endoftext|>", "x\x1cy z", "é́ ñ"]
