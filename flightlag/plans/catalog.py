@@ -21,7 +21,8 @@ from flightlag.functions.numeric import round_to
 from flightlag.operators import scorecard as sc
 from flightlag.operators.benchmark import benchmark_floor
 from flightlag.operators.filters import Slice
-from flightlag.operators.periods import join_periods
+from flightlag.operators.periods import join_periods, join_windows
+from flightlag.operators.quantile import exact_quantiles
 from flightlag.operators.turns import flyable_legs
 from flightlag.plans import analyses, dimensions, explore, exports, marts, quality
 from flightlag.plans.rotation_months import MonthlyRotation, month_starts, rotation_by_days
@@ -672,3 +673,35 @@ def benchmark_floor_lineitem(x: Inputs) -> DataFrame:
         min_sample=90,
         level_names=("supplier_line", "supplier", "all"),
     )
+
+
+@query
+def exact_quantiles_lineitem(x: Inputs) -> DataFrame:
+    """Prices by flag and status, exact although nearly every price differs."""
+    return exact_quantiles(
+        x.table("lineitem"),
+        ["l_returnflag", "l_linestatus"],
+        F.col("l_extendedprice"),
+        {"p05": 0.05, "p50": 0.5, "p95": 0.95},
+        places=2,
+    )
+
+
+@query
+def window_join_events(x: Inputs) -> DataFrame:
+    """Events of the same user in windows of minutes to years that some events open."""
+    events = x.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    kind = F.pmod(F.floor(F.col("event_id") / 10), F.lit(5)).cast("int")
+    lengths = F.array(*[F.lit(s) for s in (600, 3 * 3600, 2 * 86_400, 20 * 86_400, 3 * 365 * 86_400)])
+    seconds = F.get(lengths, kind)
+    windows = events.filter(F.col("event_id") % 10 == 0).select(
+        "user_id",
+        seconds.alias("window_seconds"),
+        F.col("event_id").alias("opened_by"),
+        F.col("ts").alias("opens"),
+        F.timestamp_seconds(F.unix_micros("ts") / 1e6 + seconds).alias("closes"),
+    )
+    met = join_windows(events, "ts", windows, "opens", "closes", ["user_id"])
+    return met.groupBy("window_seconds").agg(
+        F.count("*").alias("pairs"), F.count_distinct("opened_by").alias("windows"), F.sum("event_id").alias("id_sum")
+    )

@@ -1105,3 +1105,24 @@ SELECT q.supplier, line, count(*) AS sample_size,
 FROM q LEFT JOIN wide w USING (supplier) GROUP BY q.supplier, line
 """,
 )
+oracle(
+    "exact_quantiles_lineitem",
+    "s:l_returnflag,l_linestatus i:known d:p05,p50,p95",
+    """
+SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS known, quantile_cont(l_extendedprice, 0.05) AS p05,
+       quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.95) AS p95
+FROM lineitem GROUP BY l_returnflag, l_linestatus
+""",
+)
+oracle(
+    "window_join_events",
+    "i:window_seconds,pairs,windows,id_sum",
+    """
+SELECT window_seconds, count(*) AS pairs, count(DISTINCT opened_by) AS windows, sum(e.event_id) AS id_sum
+FROM (SELECT user_id, event_id AS opened_by, ts AS opens,
+             [600, 10800, 172800, 1728000, 94608000][(event_id // 10) % 5 + 1] AS window_seconds
+      FROM events WHERE event_id % 10 = 0) w
+JOIN events e ON e.user_id = w.user_id AND e.ts >= w.opens AND e.ts < w.opens + to_seconds(w.window_seconds)
+GROUP BY window_seconds
+""",
+)
