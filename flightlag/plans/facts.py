@@ -139,7 +139,8 @@ def rotation_links(
     """
     legs = flyable_legs(flights).drop(*SAME_WHEN_FLOWN)
     seq = sequence_entities(legs, cuts or rotation_cuts(flights, settings, keep))
-    return chain_legs(seq, settings, keep).drop_chunk()
+    links = chain_legs(seq, settings, keep).drop_chunk()
+    return links.select("tail_number", *[c for c in links.columns if c != "tail_number"])
 
 
 def chain_legs(seq: Chunked, settings: Settings, keep: Keep = keep_in_scratch) -> Chunked:
