@@ -611,9 +611,7 @@ on_warehouse("event_window", lambda wh: analyses.event_vs_control(
 # ----------------------------------------------------------------------- quality
 
 on_warehouse("dq_suite", lambda wh: quality.dq_suite(wh, FEED_BOUNDS))
-on_warehouse("table_profile", lambda wh: quality.table_profile(
-    {name: model() for name, model in wh.models().items()}
-))
+on_warehouse("table_profile", quality.table_profile)
 on_warehouse("build_log", lambda wh: wh.build().select("model", "rows"))
 
 

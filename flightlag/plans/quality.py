@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightlag.functions.clock import minutes_between
 from flightlag.functions.labels import CAUSES_BY_PRIORITY
@@ -13,6 +15,7 @@ from flightlag.functions.numeric import pearson, rate, ratio
 
 from flightlag.operators.checks import Check, combine, equal, none, run_checks
 from flightlag.plans.analyses import few
+from flightlag.sources.reference import one_row
 
 
 @dataclass(frozen=True)
@@ -224,8 +227,25 @@ def dq_suite(wh, bounds: Bounds = Bounds()) -> DataFrame:
     )
 
 
-def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
-    """Columns of each table with type, place, filled rows and row count."""
+PROFILE = "table_name string, ordinal int, column_name string, data_type string, filled_rows long, table_rows long"
+
+
+def table_profile(wh) -> DataFrame:
+    """Columns of each model with type, place, filled rows and row count, as counted by the writes.
+
+    One row per column of a model, so the whole is short: it enters the plan as one text.
+    """
+    fields = T.StructType.fromDDL(PROFILE)
+    rows = [
+        dict(zip(fields.names, (model, place, column, kind, filled, figures.rows)))
+        for model, figures in wh.figures().items()
+        for place, (column, kind, filled) in enumerate(figures.columns, 1)
+    ]
+    return one_row(wh.spark).select(F.inline(F.from_json(F.lit(json.dumps(rows)), T.ArrayType(fields))))
+
+
+def counted_profile(tables: dict[str, DataFrame]) -> DataFrame:
+    """The same by reading every table: for tables that no store has counted."""
     out = []
     for table, df in tables.items():
         counts = df.agg(

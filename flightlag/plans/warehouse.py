@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-import time
+import hashlib
+import json
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
+from dataclasses import asdict, dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +20,18 @@ from flightlag.settings import Settings
 from flightlag.sources.airports import with_overrides
 from flightlag.sources.raw_feed import read_months
 from flightlag.sources.reference import cost_assumptions, cost_per_minute, inline_table, one_row
-from flightlag.sources.tables import TableStore
+from flightlag.sources.tables import TableStore, content_id, files_id
+
+#: Raised whenever a model is computed otherwise than before: stored tables of an older number are replaced.
+MODELS = 1
+
+
+@dataclass(frozen=True)
+class Figures:
+    """Rows of a model and, per column, its type and the values that are not null."""
+
+    rows: int
+    columns: list[tuple[str, str, int]]
 
 
 class Warehouse:
@@ -30,6 +44,11 @@ class Warehouse:
     in the shared directory of the session) and read back, so later models start
     from stored data: a lost executor costs the running stage only, and Spark
     knows table sizes when it chooses joins.
+
+    Below a given ``root`` a later session finds the models again, if they were made
+    with the same settings from the same inputs: the files of the month store, the rows
+    of the airport table. A DataFrame as feed is told by ``feed_id``, a name the caller
+    gives its content; without one its models are built anew.
     """
 
     def __init__(
@@ -40,15 +59,23 @@ class Warehouse:
         settings: Settings = Settings(),
         root: str | None = None,
         calendar_span: tuple | None = None,
+        feed_id: str | None = None,
     ):
         self.spark = pin_session(spark)
         self.settings = settings
-        self.store = TableStore(spark, root or scratch_path(spark, "warehouse"))
         self.seconds: dict[str, float] = {}
         self._feed = feed
         self._airports = airports
         self._span = calendar_span
         self._cuts: Cuts | None = None
+        inputs = self._inputs(feed_id) if root else ""
+        self.store = TableStore(spark, root or scratch_path(spark, "warehouse"), inputs)
+
+    def _inputs(self, feed_id: str | None) -> str:
+        """What the models are made from, in one name."""
+        feed = files_id(self.spark, self._feed) if isinstance(self._feed, str) else feed_id or uuid.uuid4().hex
+        made_from = [MODELS, asdict(self.settings), self._span, feed, content_id(self._airports)]
+        return hashlib.sha256(json.dumps(made_from, default=str).encode()).hexdigest()
 
     def _keep(self, df: DataFrame, name: str) -> DataFrame:
         return self.store.save(name, df)
@@ -57,10 +84,8 @@ class Warehouse:
         self, name: str, plan: Callable[[], DataFrame], by: tuple[str, ...] = (), compact: bool = False
     ) -> DataFrame:
         if not self.store.has(name):
-            df = plan()
-            start = time.perf_counter()
-            self.store.save(name, df, by, compact)
-            self.seconds[name] = time.perf_counter() - start
+            self.store.save(name, plan(), by, compact)
+            self.seconds[name] = self.store.version(name).seconds
         return self.store.load(name)
 
     # ------------------------------------------------------------ inputs
@@ -269,10 +294,48 @@ class Warehouse:
                 for done in [pool.submit(model) for model in group]:
                     done.result()
 
+    def _noted(self, name: str) -> Figures:
+        """Figures of a stored model, as counted when it was written."""
+        df, version = self.models()[name](), self.store.version(name)
+        return Figures(version.rows, [(f.name, f.dataType.simpleString(), version.filled[f.name]) for f in df.schema])
+
+    def _viewed(self, df: DataFrame, base: Figures | None = None) -> Figures:
+        """Figures of a view with the rows of ``base``: only columns that ``base`` lacks are read."""
+        known = {name: filled for name, _, filled in base.columns} if base else {}
+        counts = [F.count(F.col(f"`{c}`")).alias(c) for c in df.columns if c not in known]
+        if base is None:
+            counts.append(F.count(F.lit(1)).alias("_rows"))
+        found = {**known, **(df.agg(*counts).first().asDict() if counts else {})}
+        rows = base.rows if base else found["_rows"]
+        return Figures(rows, [(f.name, f.dataType.simpleString(), found[f.name]) for f in df.schema])
+
+    def figures(self) -> dict[str, Figures]:
+        """Rows and filled values of every model; stored models are not read for it.
+
+        The views have the rows of the fact that is made from them or that they complete,
+        and share its columns by name; what else they have is counted in one pass each.
+        """
+        views = {
+            "stg_flight": lambda: self._viewed(self.stg_flight(), self._noted("fct_flight")),
+            "fct_rotation_leg": lambda: self._viewed(self.rotation_leg(), self._noted("int_rotation_leg")),
+            "ref_cost_assumption": lambda: self._viewed(self.cost_assumptions()),
+        }
+        return {name: views[name]() if name in views else self._noted(name) for name in self.models()}
+
+    def _rows_of(self, name: str) -> int:
+        same = {"stg_flight": "fct_flight", "fct_rotation_leg": "int_rotation_leg"}.get(name, name)
+        version = self.store.version(same)
+        return version.rows if version else self.models()[name]().count()
+
     def build(self) -> DataFrame:
-        """Build every model; returns (model, rows, seconds)."""
+        """Build every model; returns (model, rows, seconds).
+
+        Rows are those counted while writing. Seconds are those of the write, by whichever
+        session; views have none.
+        """
         self.materialise()
-        log = [(name, model().count(), self.seconds.get(name)) for name, model in self.models().items()]
+        stored = {name: self.store.version(name) for name in self.models()}
+        log = [(name, self._rows_of(name), v and v.seconds) for name, v in stored.items()]
         return inline_table(self.spark, log, "model string, rows long, seconds double")
 
     def close(self) -> None:
