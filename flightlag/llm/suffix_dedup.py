@@ -5,15 +5,18 @@ splits buckets by the bucket identifiers found at later offsets; what a round fi
 out is reused by the next. Only equality down to ``SIZE`` bytes is asked for here, so
 three things differ from a suffix array built on one machine:
 
-* Identifiers are hashes of content, not ranks. Every task names a bucket alike, and
-  the identifier of a longer string is made from those at its start and at a later
-  offset, so a round needs one shuffle and no global numbering.
+* Identifiers are hashes of content, not ranks: every task names a bucket alike without a
+  global numbering. They replace the identifiers found at later offsets; a round hashes
+  the bytes it compares anew and mixes in the bucket they were in.
 * Suffixes enter by the q-gram a window of ``SIZE`` bytes keeps (its least hash),
   which equal windows keep at the same place. About one position in 32 enters and
   stands for the up to ``RANGE`` windows around it.
 * A bucket is refined from ``RANGE`` windows at once to 8 and then to single ones. A
   bucket of one suffix is finished and leaves; so do windows whose whole surrounding
   repeats an earlier one.
+
+All texts stand end to end in the order that decides who is earlier, so a suffix has one
+number, its place among all bytes, and the earliest of equal ones is a plain minimum.
 """
 
 from __future__ import annotations
@@ -24,11 +27,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from flightlag.llm.common import bound_batches, discard, flat_text, pieces, read_table, store_at, utf8_length
+from flightlag.llm.common import _setting, bound_batches, discard, flat_text, pieces, read_table, store_at, utf8_length
 from flightlag.session import scratch_path
 
 #: A repeated string has so many bytes at least; windows a suffix stands for; bytes of the first buckets.
@@ -37,6 +40,8 @@ GRAM = SIZE - RANGE + 1
 #: Windows of a part of a range in the second round; the third has single windows.
 PART = 8
 TEXT_AT_ONCE = 1 << 19
+#: A join whose one side has partitions of at most this size, as measured once it is shuffled, hashes that side.
+HASHED_SIDE = ("spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold", "64m")
 
 _BASE = 0x9E3779B97F4A7C15
 _LAST = (1 << 63) - 1
@@ -124,57 +129,56 @@ def _suffixes(raw: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, ...
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (ord, t, text) to suffixes; ``place`` packs position and the reach of its windows."""
+    """Rows (base, text) to suffixes; ``reach`` packs how far before the position its windows begin."""
     for batch in pieces(batches, "text", TEXT_AT_ONCE):
         raw, at = flat_text(batch.column("text"))
-        ord_, t = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("ord", "t"))
+        base = batch.column("base").to_numpy(zero_copy_only=False)
         for text, position, start, end, bucket, whole, shift in _suffixes(raw, at):
             if not len(text):
                 continue
-            begins = at[text] - shift
-            place = ((position - begins) << 12) | ((position - start) << 6) | (position - end)
+            reach = ((position - start) << 6) | (position - end)
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array(bucket.view(np.int64)),
                     pa.array(whole.view(np.int64)),
-                    pa.array(ord_[text]),
-                    pa.array(t[text]),
-                    pa.array(place.astype(np.int64)),
+                    pa.array(base[text]),
+                    pa.array(base[text] + position - (at[text] - shift)),
+                    pa.array(reach.astype(np.int32)),
                 ],
-                names=["bucket", "whole", "ord", "t", "place"],
+                names=["bucket", "whole", "base", "at", "reach"],
             )
 
 
-SUFFIX = "bucket long, whole long, ord long, t long, place long"
+SUFFIX = "bucket long, whole long, base long, at long, reach int"
+
+
+def _windows(at: Column, reach: Column) -> tuple[Column, Column]:
+    """First and last window of a suffix."""
+    return at - F.shiftright(reach, 6), at - reach.bitwiseAND(RANGE - 1)
 
 
-def _windows(place: Column) -> tuple[Column, Column]:
-    """First and last window of a suffix, counted from the start of its text."""
-    position = F.shiftright(place, 12)
-    first = position - F.shiftright(place, 6).bitwiseAND(RANGE - 1)
-    return first, position - place.bitwiseAND(RANGE - 1)
+WANTED = T.StructType([T.StructField("at", T.LongType()), T.StructField("reach", T.IntegerType()), T.StructField("bucket", T.LongType())])
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("place", T.LongType()), T.StructField("bucket", T.LongType()), T.StructField("bytes", T.BinaryType())])))
-def cut_out(texts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """The bytes of the windows of each suffix of a text."""
-    kind = pa.list_(pa.struct([("place", pa.int64()), ("bucket", pa.int64()), ("bytes", pa.binary())]))
-    for text, wanted in texts:
+@F.arrow_udf(T.ArrayType(T.StructType([*WANTED.fields, T.StructField("bytes", T.BinaryType())])))
+def cut_out(texts: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The bytes of the windows of each suffix of a text that begins at ``base``."""
+    kind = pa.list_(pa.struct([("at", pa.int64()), ("reach", pa.int32()), ("bucket", pa.int64()), ("bytes", pa.binary())]))
+    for base, text, wanted in texts:
         out = []
-        for t, rows in zip(text, wanted):
+        for b, t, rows in zip(base.to_pylist(), text, wanted):
             raw = t.as_buffer()
             got = []
             for row in rows.as_py():
-                place = row["place"]
-                position = place >> 12
-                start, end = position - (place >> 6 & RANGE - 1), position - (place & RANGE - 1)
+                position, reach = row["at"] - b, row["reach"]
+                start, end = position - (reach >> 6), position - (reach & RANGE - 1)
                 got.append({**row, "bytes": raw[start : end + SIZE].to_pybytes()})
             out.append(got)
         yield pa.array(out, kind)
 
 
 def _refine(size: int):
-    """Rows (bucket, ord, t, place, bytes[, parts]) to their windows, ``size`` at a time.
+    """Rows (bucket, base, at, reach, bytes[, parts]) to their windows, ``size`` at a time.
 
     The new bucket is the old one and the identifier of the bytes all windows of the
     part have in common; ``whole`` is that of all their bytes.
@@ -182,36 +186,29 @@ def _refine(size: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "bytes", TEXT_AT_ONCE):
-            raw, at = flat_text(batch.column("bytes"))
-            place = batch.column("place").to_numpy(zero_copy_only=False)
+            raw, offsets = flat_text(batch.column("bytes"))
+            reach = batch.column("reach").to_numpy(zero_copy_only=False).astype(np.int64)
             old = batch.column("bucket").to_numpy(zero_copy_only=False).view(np.uint64)
             ids = Identifiers(raw)
-            before, after = place >> 6 & RANGE - 1, place & RANGE - 1  # windows begin so far before the position
+            before, after = reach >> 6, reach & RANGE - 1  # windows begin so far before the position
             # Parts are aligned to the position, so equal windows fall into equal parts.
-            row, part = np.divmod(np.arange(len(place) * (RANGE // size)), RANGE // size)
+            row, part = np.divmod(np.arange(len(reach) * (RANGE // size)), RANGE // size)
             most, least = np.minimum((part + 1) * size - 1, before[row]), np.maximum(part * size, after[row])
             inside = most >= least
             if "parts" in batch.schema.names:
                 inside &= (batch.column("parts").to_numpy(zero_copy_only=False)[row] >> (part * size // PART)) & 1 > 0
             row, part, most, least = row[inside], part[inside], most[inside], least[inside]
-            zero = at[:-1][row] + before[row]  # where the position is in the buffer
+            zero = offsets[:-1][row] + before[row]  # where the position is in the buffer
             core = ids.of(zero - part * size, zero - (part + 1) * size + 1 + SIZE)
             shape = ((most - part * size) * RANGE + (least - part * size)).astype(np.uint64)
             whole = _mix(ids.of(zero - most, zero - least + SIZE) + shape)
             # Only equal distances from the position are compared, so its order is that of the windows.
             bucket = _mix(_mix(old[row] + part.astype(np.uint64)) + core)
-            position = place >> 12
-            columns = [bucket.view(np.int64), whole.view(np.int64)]
-            columns += [batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("ord", "t")]
-            columns += [(position[row] << 12) | (most << 6) | least]
-            arrays = [pa.array(c.astype(np.int64)) for c in columns]
-            names = ["bucket", "whole", "ord", "t", "place"]
-            for c in ("root", "root_place"):
-                if c in batch.schema.names:
-                    arrays.append(pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]))
-                    names.append(c)
-            arrays.append(pa.array(part.astype(np.int32)))
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "part"])
+            arrays = [pa.array(bucket.view(np.int64)), pa.array(whole.view(np.int64))]
+            arrays += [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[row]) for c in ("base", "at")]
+            arrays += [pa.array(((most << 6) | least).astype(np.int32)), pa.array(old[row].view(np.int64))]
+            arrays += [pa.array(part.astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["bucket", "whole", "base", "at", "reach", "root", "part"])
 
     return run
 
@@ -258,7 +255,8 @@ class _Tables:
 
     def keep(self, df: DataFrame, label: str) -> DataFrame:
         path = scratch_path(self.spark, label)
-        stored = store_at(df, path)
+        with _setting(self.spark, *HASHED_SIDE):
+            stored = store_at(df, path)
         self.paths[id(stored)] = path
         return stored
 
@@ -268,18 +266,21 @@ class _Tables:
 
 
 def _firsts(rows: DataFrame, *carried: str) -> DataFrame:
-    """Of the suffixes with equal bytes the earliest, and their number."""
-    earliest = F.min(F.struct("ord", "t", "place", *carried)).alias("first")
-    return rows.groupBy("bucket", "whole").agg(earliest, F.count("*").alias("n")).select("bucket", "whole", "first.*", "n")
+    """Of the suffixes with equal bytes the earliest, and their number.
+
+    Places order the texts as their beginnings do; what else is kept is equal in the group.
+    """
+    least = [F.min(c).alias(c) for c in ("base", "at", "reach", *carried)]
+    return rows.groupBy("bucket", "whole").agg(*least, F.count("*").alias("n"))
 
 
 def _later(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Spans of the suffixes whose bytes all occur earlier."""
-    r, f = rows.alias("r"), firsts.where("n > 1").alias("f")
+    """Spans of the suffixes whose bytes all occur earlier, counted from the start of their text."""
+    r, f = rows.alias("r"), firsts.where("n > 1").select("bucket", "whole", "at").alias("f")
     met = r.join(f, (F.col("r.bucket") == F.col("f.bucket")) & (F.col("r.whole") == F.col("f.whole")))
-    later = met.where(F.struct("r.ord", "r.t", "r.place") > F.struct("f.ord", "f.t", "f.place"))
-    start, last = _windows(F.col("r.place"))
-    return later.select("r.ord", "r.t", start.alias("start"), (last + SIZE).alias("stop"))
+    start, last = _windows(F.col("r.at") - F.col("r.base"), F.col("r.reach"))
+    later = met.where("r.at > f.at")
+    return later.select("r.base", start.alias("start"), (last + SIZE).alias("stop"))
 
 
 def _mixed(firsts: DataFrame, tables: _Tables) -> DataFrame:
@@ -287,8 +288,34 @@ def _mixed(firsts: DataFrame, tables: _Tables) -> DataFrame:
     return tables.keep(firsts.groupBy("bucket").count().where("count > 1").select("bucket"), "mixed-buckets")
 
 
+def placed(rows: DataFrame, tables: _Tables) -> DataFrame:
+    """(id, base, text) of rows (id, ord, t, text): where each text begins if all stand end to end.
+
+    Texts are ordered by (ord, t); rows equal in both are one text. The keys are dealt out
+    by ranges, summed up per range, and numbered from the sums of the ranges before.
+    """
+    size = F.greatest(utf8_length(F.col("text")), F.lit(1))  # an empty text has a place of its own
+    keys = tables.keep(rows.groupBy("ord", "t").agg(F.max(size).alias("size")), "keys")
+    ranged = keys.repartitionByRange("ord", "t").withColumn("range", F.spark_partition_id())
+    ranges = tables.keep(ranged, "ranges")
+    tables.drop(keys)
+    # As many rows as there are ranges.
+    sums = ranges.groupBy("range").agg(F.sum("size").alias("bytes"))
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("range", F.coalesce(F.sum("bytes").over(ahead), F.lit(0)).alias("start"))
+    within = Window.partitionBy("range").orderBy("ord", "t").rowsBetween(Window.unboundedPreceding, -1)
+    base = F.col("start") + F.coalesce(F.sum("size").over(within), F.lit(0))
+    bases = tables.keep(ranges.join(starts, "range").select("ord", "t", base.alias("base")), "bases")
+    tables.drop(ranges)
+    r, b = rows.alias("r"), bases.alias("b")
+    met = r.join(b, (F.col("r.ord") == F.col("b.ord")) & (F.col("r.t") == F.col("b.t")))
+    out = tables.keep(met.select("r.id", "b.base", "r.text"), "placed-texts")
+    tables.drop(bases)
+    return out
+
+
 def repeated_spans(docs: DataFrame, tables: _Tables) -> DataFrame:
-    """(ord, t, spans) of documents (ord, t, text) that have bytes to remove."""
+    """(base, spans) of texts (base, text) that have bytes to remove."""
     rows = tables.keep(docs.where(utf8_length(F.col("text")) >= SIZE).mapInArrow(_scan, SUFFIX), "suffixes")
     shared = tables.keep(rows.groupBy("bucket").count().where("count > 1").select("bucket"), "shared-buckets")
     open_rows = tables.keep(rows.join(shared, "bucket"), "open-suffixes")
@@ -300,41 +327,33 @@ def repeated_spans(docs: DataFrame, tables: _Tables) -> DataFrame:
     # Second round: one suffix of each kind is left in buckets that are not settled.
     mixed = _mixed(firsts, tables)
     wanted = tables.keep(
-        firsts.join(mixed, "bucket").groupBy("ord", "t").agg(F.collect_list(F.struct("place", "bucket")).alias("wanted")), "wanted"
+        firsts.join(mixed, "bucket").groupBy("base").agg(F.collect_list(F.struct("at", "reach", "bucket")).alias("wanted")), "wanted"
     )
     tables.drop(mixed, firsts)
-    d, w = docs.alias("d"), wanted.alias("w")
-    met = d.join(w, (F.col("d.ord") == F.col("w.ord")) & (F.col("d.t") == F.col("w.t")))
-    cut = met.select("d.ord", "d.t", F.explode(cut_out("d.text", "w.wanted")).alias("c"))
-    blocks = tables.keep(cut.select("ord", "t", "c.place", "c.bucket", "c.bytes"), "blocks")
+    # Rows equal in id and text are one text.
+    cut = docs.join(wanted, "base").select("base", F.explode(cut_out("base", "text", "wanted")).alias("c"))
+    blocks = tables.keep(cut.select("base", "c.*"), "blocks")
     tables.drop(wanted)
-    rooted = blocks.withColumns({"root": F.col("bucket"), "root_place": F.col("place")})
-    parts = tables.keep(rooted.mapInArrow(_refine(PART), f"{SUFFIX}, root long, root_place long, part int"), "parts")
-    firsts = tables.keep(_firsts(parts, "root", "root_place", "part"), "firsts")
+    parts = tables.keep(blocks.mapInArrow(_refine(PART), f"{SUFFIX}, root long, part int"), "parts")
+    firsts = tables.keep(_firsts(parts, "root", "part"), "firsts")
     found.append(tables.keep(_later(parts, firsts), "spans"))
     tables.drop(parts)
 
     # Third round: single windows of the parts that are still mixed.
     mixed = _mixed(firsts, tables)
-    still = firsts.join(mixed, "bucket").groupBy("root", "ord", "t", "root_place")
+    still = firsts.join(mixed, "bucket").groupBy("root", "at")
     chosen = tables.keep(still.agg(F.bit_or(F.expr("shiftleft(1L, part)")).alias("parts")), "chosen-parts")
     tables.drop(mixed, firsts)
     b, c = blocks.alias("b"), chosen.alias("c")
-    same = (
-        (F.col("b.bucket") == F.col("c.root"))
-        & (F.col("b.ord") == F.col("c.ord"))
-        & (F.col("b.t") == F.col("c.t"))
-        & (F.col("b.place") == F.col("c.root_place"))
-    )
-    again = b.join(c, same).select("b.bucket", "b.ord", "b.t", "b.place", "b.bytes", "c.parts")
-    single = tables.keep(again.mapInArrow(_refine(1), f"{SUFFIX}, part int").drop("part"), "windows")
+    again = b.join(c, (F.col("b.bucket") == F.col("c.root")) & (F.col("b.at") == F.col("c.at"))).select("b.*", "c.parts")
+    single = tables.keep(again.mapInArrow(_refine(1), f"{SUFFIX}, root long, part int").drop("root", "part"), "windows")
     tables.drop(blocks, chosen)
     firsts = tables.keep(_firsts(single), "firsts")
     found.append(tables.keep(_later(single, firsts), "spans"))
     tables.drop(single, firsts)
 
     spans = found[0].unionByName(found[1]).unionByName(found[2])
-    merged = spans.groupBy("ord", "t").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    merged = spans.groupBy("base").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     out = tables.keep(merged, "spans-of-texts")
     tables.drop(*found)
     return out
@@ -352,24 +371,24 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     in id and text are the same document and do not repeat each other. An empty
     table gives no rows.
 
-    The text is read to find suffixes, and dealt out twice: to the few suffixes that
-    are refined, and to the spans found. A passage that very many documents hold is
+    The texts are stored with their places once, and dealt out to the few suffixes that
+    are refined and to the spans found. A passage that very many documents hold is
     aggregated before it is shuffled, and joined between two shuffled sides, which
-    adaptive execution splits.
+    adaptive execution splits. Columns of any name may stand beside ``id_col`` and ``text``.
     """
     spark = docs.sparkSession
     bound_batches(spark)
+    tables = _Tables(spark)
     rows = docs.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"),
         F.xxhash64(text).alias("t"),
         F.col(text).cast("binary").alias("text"),
     )
-    spans = repeated_spans(rows.select("ord", "t", "text"), _Tables(spark))
-    d, s = rows.alias("d"), spans.alias("s")
-    met = d.join(s, (F.col("d.ord") == F.col("s.ord")) & (F.col("d.t") == F.col("s.t")), "left")
-    done = met.select(
-        F.col("d.id").alias(id_col), utf8_length(F.col("d.text")).alias("n_bytes"), without("d.text", "s.spans").alias("w")
+    texts = placed(rows, tables)
+    spans = repeated_spans(texts.select("base", "text"), tables)
+    done = texts.join(spans, "base", "left").select(
+        F.col("id").alias(id_col), utf8_length(F.col("text")).alias("n_bytes"), without("text", "spans").alias("w")
     )
     return done.select(id_col, "n_bytes", "w.n_removed", "w.n_spans", "w.kept_sha256", "w.spans")
 

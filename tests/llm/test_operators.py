@@ -275,6 +275,16 @@ def test_repeat_spans_are_real_outputs(spark, awkward_dir):
     assert sum(b - a for a, b in row["spans"]) == row["n_removed"]
 
 
+def test_repeats_of_rows_without_id_and_of_texts_under_one_id(spark):
+    """One passage: rows without an id come last, texts under one id in some fixed order, equal rows are one."""
+    passage = "".join(chr(97 + i * i % 23) + str(i) for i in range(60))
+    rows = [(5, "a" + passage), (5, "b" + passage), (None, "c" + passage), (9, passage + "d"), (9, passage + "d"), (7, ""), (None, None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, base long, ord long")
+    found = suffix_dedup.remove_repeats(docs).select("doc_id", "n_removed").collect()
+    n = len(passage)
+    assert sorted((r.doc_id or 0, r.n_removed) for r in found) == [(0, 0), (0, n), (5, 0), (5, n), (7, 0), (9, n), (9, n)]
+
+
 def test_word_encoder_agrees_with_the_tokenizer(sf_dir):
     from tokenizers import Tokenizer
 
