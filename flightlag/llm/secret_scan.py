@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pandas as pd
@@ -44,7 +46,7 @@ OPERATOR = re.compile(r"(?<![=!<>:+*/-])(?::=|=>|[:=])(?![=:/])")
 # Read backwards from the operator, in the text turned round: a quote on both sides or none, and all of the name.
 NAME_BACK = re.compile(r"""[ \t]*+\]?(["']?)([A-Za-z0-9_.$-]++)(?<=[A-Za-z_$])\1(?![A-Za-z0-9_.$-])""")
 TERM = re.compile(
-    r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([^\s"'`,;(){}\[\]#+<>|&]+))"""
+    r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([^\s"'`,;(){}\[\]#+<>|&]++)(?!\())"""
 )
 PLUS = re.compile(r"[ \t]*\+")
 WORDS_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -231,6 +233,14 @@ class Literals:
         return dict(zip(self.number, best))
 
 
+def covered_by(spans: list[Span]) -> Callable[[int, int], bool]:
+    """Tells whether one of ``spans`` holds all from ``start`` to ``end``: the furthest of those that begin no later does."""
+    ordered = sorted((s.start, s.end) for s in spans)
+    starts = [start for start, _ in ordered]
+    furthest = list(accumulate((end for _, end in ordered), max, initial=-1))
+    return lambda start, end: furthest[bisect_right(starts, start)] >= end
+
+
 def lexed_spans(text: str, base: list[Span]) -> list[Span]:
     """Literals that a sensitive name gets, directly or through other names.
 
@@ -253,10 +263,11 @@ def lexed_spans(text: str, base: list[Span]) -> list[Span]:
         weight = name_weight(name)
         if weight and joined.length:
             literals.score(joined, weight)
+    covered = covered_by(base)
     return [
         Span("lexed", start, end)
         for (start, end), score in literals.best().items()
-        if score >= LEAST_SCORE and not any(b.start <= start and end <= b.end for b in base)
+        if score >= LEAST_SCORE and not covered(start, end)
     ]
 
 

@@ -332,6 +332,35 @@ def test_names_score_literals(text, found):
     assert [text[s.start : s.end] for s in secret_scan.scan_text(text) if s.kind == "lexed"] == found
 
 
+def test_base_spans_are_found_around_literals():
+    import random
+
+    draw = random.Random(3)
+    for _ in range(300):
+        spans = [secret_scan.Span("hex", a, a + draw.randint(0, 9)) for a in (draw.randint(0, 30) for _ in range(draw.randint(0, 6)))]
+        covered = secret_scan.covered_by(spans)
+        for start in range(32):
+            for end in range(start, 42):
+                assert covered(start, end) == any(s.start <= start and end <= s.end for s in spans)
+
+
+def test_many_assignments_take_time_in_proportion():
+    import time
+
+    line = "service_password = 'aB3dE5fG7hI9kL{}'\nsession_credential = 'Zr7Lm2Xv5Tn8Wk{}'\n"
+    text = "".join(line.format(i, i) for i in range(60_000))
+    start = time.perf_counter()
+    spans = secret_scan.scan_text(text)
+    assert len(text) > 5_000_000 and time.perf_counter() - start < 30
+    kinds = Counter(s.kind for s in spans)
+    assert kinds["assign"] == 60_000 and kinds["lexed"] == 60_000
+
+
+def test_a_call_is_no_literal():
+    assert lexed('pwd = os.getenv("X")') == [] and lexed("credentials = decodeAll9Zr7Lm2(x)") == []
+    assert lexed("pwd = aB3dE5fG7hI9kL1m") == ["aB3dE5fG7hI9kL1m"]
+
+
 def lexed(text: str) -> list[str]:
     return [text[s.start : s.end] for s in secret_scan.scan_text(text) if s.kind == "lexed"]
 
