@@ -83,8 +83,11 @@ def assign_shards(rows: DataFrame, key: str, shards: int, slack: float = 0.0, ce
     rows equal in all columns are counted before the shuffle and unfolded after it,
     so a row with very many copies is no large group. All columns must be sortable
     and should be narrow: carry ids and sizes, not texts. An empty table stays empty.
+    Other columns may have any name, as they are numbered while rows are placed.
     """
-    columns = [c for c in rows.columns if c not in ("shard", "slot")]
+    kept = {f"c{i}": c for i, c in enumerate(rows.columns) if c not in ("shard", "slot")}
+    columns, key = list(kept), f"c{rows.columns.index(key)}"
+    rows = rows.toDF(*[f"c{i}" for i in range(len(rows.columns))])
     cell = F.pmod(F.xxhash64(F.lit("cell"), F.col(key)), F.lit(cells)).cast("int").alias("_cell")
     hashed = F.xxhash64(F.lit("rank"), F.col(key)).alias("_hash")
     distinct = store(
@@ -115,7 +118,8 @@ def assign_shards(rows: DataFrame, key: str, shards: int, slack: float = 0.0, ce
     intervals = rows.sparkSession.createDataFrame(plan, schema)
     inside = (F.col("_rank") >= F.col("_begin")) & (F.col("_rank") < F.col("_end"))
     found = one_each.join(F.broadcast(intervals), (one_each["_cell"] == intervals["_cell"]) & inside)
-    return found.select(*columns, "shard", (F.col("_slot") + F.col("_rank") - F.col("_begin")).alias("slot"))
+    back = [F.col(c).alias(name) for c, name in kept.items()]
+    return found.select(*back, "shard", (F.col("_slot") + F.col("_rank") - F.col("_begin")).alias("slot"))
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

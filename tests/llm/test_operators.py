@@ -247,6 +247,16 @@ def test_components_of_chains_stars_and_loops(spark):
     assert components.components(frame.limit(0)).count() == 0
 
 
+def test_columns_named_like_internal_ones_change_nothing(spark):
+    rows = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 3).alias("v"))
+    plain = {(r.key, r.shard, r.slot) for r in sharding.assign_shards(rows, "key", 7).collect()}
+    names = ["_cell", "_hash", "_copies", "_first", "_from", "_nth", "_rank", "_begin", "_end", "_slot", "c0", "a.b", "shard", "slot"]
+    clashing = rows.toDF("key", "_cell").select("*", *[F.lit(1).alias(n) for n in names[1:]])
+    found = sharding.assign_shards(clashing, "key", 7)
+    assert found.columns == ["key", *names[:-2], "shard", "slot"]
+    assert {(r.key, r.shard, r.slot) for r in found.collect()} == plain
+
+
 # ------------------------------------------------------------- winnowing, repeats, tokens
 
 
