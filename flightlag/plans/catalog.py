@@ -51,9 +51,9 @@ FEED_SETTINGS = Settings(
 FEED_BOUNDS = quality.Bounds(
     months=2,
     calendar_days=31,
-    flights_per_year=(1, None),
+    flights_per_year=(100, 9_000_000),
     unexplained_share=0.01,
-    invalid_schedules=(0, None),
+    invalid_schedules=(0, 1_000),
     on_time_pct=(50, 90),
     correlation=0.1,
     tight_over_loose=1.01,

@@ -322,7 +322,8 @@ class Warehouse:
         }
         return {name: views[name]() if name in views else self._noted(name) for name in self.models()}
 
-    def _rows_of(self, name: str) -> int:
+    def row_count(self, name: str) -> int:
+        """Rows of a model as counted by its write; one that is not built yet is read."""
         same = {"stg_flight": "fct_flight", "fct_rotation_leg": "int_rotation_leg"}.get(name, name)
         version = self.store.version(same)
         return version.rows if version else self.models()[name]().count()
@@ -335,7 +336,7 @@ class Warehouse:
         """
         self.materialise()
         stored = {name: self.store.version(name) for name in self.models()}
-        log = [(name, self._rows_of(name), v and v.seconds) for name, v in stored.items()]
+        log = [(name, self.row_count(name), v and v.seconds) for name, v in stored.items()]
         return inline_table(self.spark, log, "model string, rows long, seconds double")
 
     def close(self) -> None:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from flightlag import Settings, Warehouse
 from flightlag.operators.cascades import roll_up_islands
-from flightlag.operators.checks import Check, equal, none, run_checks
+from flightlag.operators.checks import Check, Groups, equal, no_group, none, run_checks
 from flightlag.operators.filters import Slice
 from flightlag.plans import explore, exports, facts, marts, quality
 from flightlag.plans.catalog import FEED_SETTINGS, Inputs, inputs
@@ -219,3 +219,55 @@ def test_checks_report_what_fails(spark):
 def test_suite_has_every_check(wh):
     rows = quality.dq_suite(wh).collect()
     assert len({r.check_name for r in rows}) == len(rows) == 32
+
+
+def test_suite_reads_each_table_once(wh):
+    """The rotation fact is a view of two tables; the others are one each."""
+    suite = quality.dq_suite(wh)
+    tables = {re.search(r"/(\w+)/data-", file)[1] for file in suite.inputFiles()}
+    assert plan(suite).count("FileScan") == len(tables) == 11
+    for checks in (quality.flight_checks(wh.flight()), quality.rotation_checks(wh.rotation_leg())):
+        assert plan(checks).count("Exchange hash") == 1
+
+
+def group_checks():
+    key = [F.col("a"), F.col("b")]
+    return [
+        equal("rows", F.count("*"), 3),
+        Check("pairs", groups=Groups(key)),
+        Check("pairs_and_none", groups=Groups(key, nulls=True)),
+        no_group("repeated", Groups(key, counted=lambda n: n > 1, nulls=True)),
+        Check("odd_pairs", groups=Groups(key, where=F.col("x") % 2 == 1)),
+        Check("odd_alone", groups=Groups(key, where=F.col("x") % 2 == 1, counted=lambda n: n == 1, nulls=True)),
+        Check("rows_per_a", F.count("*"), groups=Groups([F.col("a")]), combined=lambda rows, n: rows / n),
+        Check("total", F.sum("x")),
+    ]
+
+
+def test_groups_are_counted_with_the_whole(spark):
+    rows = [("p", "q", 1), ("p", "q", 3), ("p", None, 5), (None, None, 7), (None, None, 8), ("r", "q", 2)]
+    df = spark.createDataFrame(rows, "a string, b string, x int")
+    got = {r.check_name: r.observed for r in run_checks(df, group_checks()).collect()}
+    assert got == {
+        "rows": 6.0, "pairs": 3.0, "pairs_and_none": 4.0, "repeated": 2.0, "odd_pairs": 2.0, "odd_alone": 2.0,
+        "rows_per_a": 3.0, "total": 26.0,
+    }
+
+
+def test_groups_of_an_empty_table(spark):
+    got = run_checks(spark.createDataFrame([], "a string, b string, x int"), group_checks()).collect()
+    seen = {r.check_name: (r.observed, r.passed) for r in got}
+    assert seen["rows"] == (0.0, False) and seen["repeated"] == (0.0, True) and seen["pairs"][0] == 0.0
+    assert seen["total"][0] is None and seen["rows_per_a"][0] is None
+
+
+def test_a_hot_group_is_combined_before_the_exchange(spark):
+    """A third of the rows have one key: a task sends one row for them."""
+    df = spark.range(0, 30_000, 1, 8).select(
+        F.when(F.col("id") % 3 == 0, -1).otherwise(F.col("id")).alias("k"), F.col("id").alias("x")
+    )
+    checks = [Check("keys", groups=Groups([F.col("k")])), Check("total", F.sum("x"))]
+    out = run_checks(df, checks)
+    assert [r.observed for r in out.collect()] == [20_001.0, 449_985_000.0]
+    text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "HashAggregate" in text and "SortAggregate" not in text and "ObjectHash" not in text
