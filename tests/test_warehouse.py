@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 from flightlag import Settings, Warehouse
+from flightlag.functions.numeric import ratio
 from flightlag.operators.cascades import roll_up_islands
 from flightlag.operators.checks import Check, Groups, equal, no_group, none, run_checks
 from flightlag.operators.filters import Slice
@@ -239,7 +240,7 @@ def group_checks():
         no_group("repeated", Groups(key, counted=lambda n: n > 1, nulls=True)),
         Check("odd_pairs", groups=Groups(key, where=F.col("x") % 2 == 1)),
         Check("odd_alone", groups=Groups(key, where=F.col("x") % 2 == 1, counted=lambda n: n == 1, nulls=True)),
-        Check("rows_per_a", F.count("*"), groups=Groups([F.col("a")]), combined=lambda rows, n: rows / n),
+        Check("rows_per_a", F.count("*"), groups=Groups([F.col("a")]), combined=ratio),
         Check("total", F.sum("x")),
     ]
 
