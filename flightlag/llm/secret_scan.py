@@ -42,13 +42,29 @@ PLACEHOLDERS = frozenset(
     ["changeme", "example", "none", "null", "true", "false", "undefined", "todo", "redacted", "placeholder", "secret", "password"]
 )
 
-OPERATOR = re.compile(r"(?<![=!<>:+*/-])(?::=|=>|[:=])(?![=:/])")
+OPERATOR = re.compile(r"(?<![=!<>:+*/-])(?::=|=>|[:=])(?![=:/])|(?<!\+)\+=(?!=)")
 # Read backwards from the operator, in the text turned round: a quote on both sides or none, and all of the name.
 NAME_BACK = re.compile(r"""[ \t]*+\]?(["']?)([A-Za-z0-9_.$-]++)(?<=[A-Za-z_$])\1(?![A-Za-z0-9_.$-])""")
 TERM = re.compile(
     r"""[ \t]*(?:(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([^\s"'`,;(){}\[\]#+<>|&]++)(?!\())"""
 )
 PLUS = re.compile(r"[ \t]*\+")
+#: A type between ``name:`` and ``= "literal"``: a path, what it is made of in brackets, alternatives.
+TYPE = re.compile(
+    r"""[ \t]*+[&*]*+(?:'[a-z]++[ \t]++)?(?:mut[ \t]++)?[A-Za-z_][A-Za-z0-9_.]*+(?:::[A-Za-z0-9_]++)*+"""
+    r"""(?:[<\[][^<>\[\]\n:="']*+[>\]]++)?+[?!]?(?:[ \t]*+\|[ \t]*+[A-Za-z_][A-Za-z0-9_.]*+)*+[ \t]*+=[ \t]*+(?=["'`])"""
+)
+#: A literal of several lines, between three quotes of a kind.
+TRIPLE = re.compile(r"""[ \t]*+("{3}|'{3})(.*?)\1""", re.S)
+#: What opens a call or a list, and one of its arguments with what follows it.
+OPEN = re.compile(r"[ \t]*+(?:(?:new|await)[ \t]++)?(?:[A-Za-z_$][A-Za-z0-9_.$:!]*+)?[ \t]*+[(\[]")
+ARGUMENT = re.compile(
+    r"""\s*+(?:(["'`])((?:\\.|(?!\1)[^\\\n])*+)\1|([^\s"'`,;(){}\[\]#<>|&=:]++))?\s*+(,|[)\]])"""
+)
+#: The name of a setting, as ``getenv`` and the like are given.
+SETTING = re.compile(r"[A-Z][A-Z0-9]*(?:_[A-Z0-9]+)+\Z")
+#: An element with text only.
+ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)(?:\s[^<>]*+)?>([^<>\n]++)</\1>")
 WORDS_OF_NAME = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 IDENTIFIER = re.compile(r"[A-Za-z_$][A-Za-z0-9_.$-]*\Z")
 
@@ -71,31 +87,67 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def assignments(text: str) -> list[tuple[str, list[tuple[str, str, int, int]]]]:
+Term = tuple[str, str, int, int]
+
+
+def assignments(text: str) -> list[tuple[str, list[Term]]]:
     """Name and terms of each assignment: ``name = "literal" + other`` and the like.
 
-    A term is (``literal`` or ``bare``, value, start, end). Reads ``=``, ``:``,
-    ``:=`` and ``=>`` with plain or quoted names, as source and configuration do.
+    A term is (``literal`` or ``bare``, value, start, end). Reads ``=``, ``:``, ``:=``,
+    ``=>`` and ``+=`` with plain or quoted names, as source and configuration do,
+    types between name and value (``name: type = "literal"``), literals of several lines
+    and elements with text. What ``+=`` adds to comes first, as a bare term of that name.
+    Each literal among the arguments of a call or the items of a list is an assignment of
+    its own, but for names of settings; nested calls and named arguments are read at their own
+    operators.
     """
-    out = []
+    found = [(m.start(), m[1], [("literal", m[2], *m.span(2))]) for m in ELEMENT.finditer(text)] if "</" in text else []
     back = text[::-1]
+    done = 0
     for op in OPERATOR.finditer(text):
+        if op.start() < done:
+            continue
         name = NAME_BACK.match(back, len(text) - op.start())
         if not name:
             continue
-        terms, at = [], op.end()
-        while term := TERM.match(text, at):
-            if term[1]:
-                terms.append(("literal", term[2], term.start(2), term.end(2)))
-            else:
-                terms.append(("bare", term[3], term.start(3), term.end(3)))
-            plus = PLUS.match(text, term.end())
-            if not plus:
-                break
-            at = plus.end()
-        if terms:
-            out.append((name[2][::-1], terms))
-    return out
+        at = op.end()
+        if op[0] == ":" and (typed := TYPE.match(text, at)):
+            at = typed.end()
+        given = name[2][::-1]
+        if block := TRIPLE.match(text, at):
+            done = block.end()
+            found.append((op.start(), given, [("literal", block[2], *block.span(2))]))
+        elif terms := _terms(text, at):
+            if op[0] == "+=":
+                terms.insert(0, ("bare", given, op.start(), op.start()))
+            found.append((op.start(), given, terms))
+        elif opened := OPEN.match(text, at):
+            found += [(op.start(), given, [term]) for term in _arguments(text, opened.end())]
+    return [(name, terms) for _, name, terms in sorted(found, key=lambda f: f[0])]
+
+
+def _terms(text: str, at: int) -> list[Term]:
+    terms: list[Term] = []
+    while term := TERM.match(text, at):
+        if term[1]:
+            terms.append(("literal", term[2], term.start(2), term.end(2)))
+        else:
+            terms.append(("bare", term[3], term.start(3), term.end(3)))
+        plus = PLUS.match(text, term.end())
+        if not plus:
+            break
+        at = plus.end()
+    return terms
+
+
+def _arguments(text: str, at: int) -> Iterator[Term]:
+    """Literals up to the end of the call or list, or to an argument that is more than a literal or a word."""
+    while argument := ARGUMENT.match(text, at):
+        if argument[1] and not SETTING.match(argument[2]):
+            yield "literal", argument[2], argument.start(2), argument.end(2)
+        if argument[4] != ",":
+            return
+        at = argument.end()
 
 
 def name_weight(name: str) -> float:
@@ -248,7 +300,7 @@ def lexed_spans(text: str, base: list[Span]) -> list[Span]:
     however many. The span is that of the literal, where it is written. Literals within
     a base span are left to it.
     """
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     values: dict[str, Value] = {}
     literals = Literals()
