@@ -52,9 +52,12 @@ def matching_rule(host: Column, path: Column, rules: Sequence[tuple[str, str, st
 
 @dataclass(frozen=True)
 class Level:
-    """One Bloom filter: a one-row table ``bits`` of 64-bit words, and its shape."""
+    """One Bloom filter: a one-row table ``bits`` of 64-bit words per segment, and its shape.
 
-    bits: DataFrame
+    Keys are dealt to segments by a hash; each segment is a filter of ``words`` words.
+    """
+
+    segments: list[DataFrame]
     words: int
     hashes: int
     seed: int
@@ -71,14 +74,13 @@ class BloomCascade:
     with an odd one. Keys outside the universe may be judged either way.
 
     A level is built from hash positions by aggregation (``bit_or`` per word) and
-    read as a scalar subquery: judging rows takes no join and no shuffle. Its size
-    is known before it is made, from the number of keys; a cascade over
-    ``max_bytes`` is not made, and ``contains`` then joins the keys instead.
+    read as scalar subqueries: judging rows takes no join and no shuffle. A level over
+    ``segment_bytes`` is cut into segments, each packed by a task and read by a subquery of
+    its own, so lists of any length keep the method; a process that judges rows holds
+    ``bits_per_key`` bits per listed key and those of the shorter levels.
     """
 
     levels: list[Level] = field(default_factory=list)
-    listed: DataFrame | None = None
-    oversized: bool = False
 
     @classmethod
     def build(
@@ -86,8 +88,7 @@ class BloomCascade:
         universe: DataFrame,
         listed: DataFrame,
         bits_per_key: float = 8.0,
-        max_bytes: int = 8 << 20,
-        max_levels: int = 64,
+        segment_bytes: int = 8 << 20,
     ) -> BloomCascade:
         """Both tables have one column ``key``; null keys are left out.
 
@@ -99,21 +100,17 @@ class BloomCascade:
             keys.join(marks, "key", "left").select("key", F.coalesce("is_listed", F.lit(False)).alias("is_listed")),
             "cascade-keys",
         )
-        cascade = cls(listed=keys.where("is_listed").select("key"))
+        cascade = cls()
         passing, inside = keys, True
         while True:
             held = passing.where(F.col("is_listed") == inside)
             count = held.count()
             if count == 0 and cascade.levels:
                 return cascade
-            if len(cascade.levels) == max_levels:
-                raise ValueError(f"no exact cascade within {max_levels} levels")
             words = max(1, math.ceil(count * bits_per_key / WORD_BITS))
-            if words * WORD_BITS // 8 > max_bytes:
-                cascade.levels, cascade.oversized = [], True
-                return cascade
+            segments = math.ceil(words * WORD_BITS // 8 / segment_bytes)
             hashes = max(1, round(bits_per_key * math.log(2)))
-            level = _fill(held, words, hashes, seed=len(cascade.levels) + 1)
+            level = _fill(held, segments, math.ceil(words / segments), hashes, seed=len(cascade.levels) + 1)
             cascade.levels.append(level)
             passing = store(
                 passing.where((F.col("is_listed") != inside) & _has(F.col("key"), level)), "cascade-passing"
@@ -122,12 +119,6 @@ class BloomCascade:
 
     def contains(self, df: DataFrame, key: Column, name: str) -> DataFrame:
         """``df`` with a boolean column ``name``; a null key is not listed."""
-        if self.oversized:
-            probe = free_name(df, "probe")
-            marks = self.listed.select(F.col("key").alias(probe), F.lit(True).alias(name))
-            # Null keys and keys that are not listed keep their row.
-            joined = df.withColumn(probe + "0", key).join(marks, F.col(probe + "0") == F.col(probe), "left")
-            return joined.withColumn(name, F.coalesce(name, F.lit(False))).drop(probe, probe + "0")
         member = F.lit(len(self.levels) % 2 == 1)
         for depth in range(len(self.levels) - 1, -1, -1):
             member = F.when(_has(key, self.levels[depth]), member).otherwise(F.lit(depth % 2 == 1))
@@ -142,20 +133,38 @@ def _positions(key: Column, words: int, hashes: int, seed: int) -> list[Column]:
     return [F.pmod(a + b * i, F.lit(size)) for i in range(hashes)]
 
 
-def _fill(keys: DataFrame, words: int, hashes: int, seed: int) -> Level:
-    """The words as one array; their number is bounded by ``max_bytes``."""
-    bits = keys.select(F.explode(F.array(*_positions(F.col("key"), words, hashes, seed))).alias("bit")).select(
+def _segment(key: Column, segments: int, seed: int) -> Column:
+    """The segment of a key, by a hash that its positions do not depend on."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit("segment"), key), F.lit(segments)).cast("int")
+
+
+def _fill(keys: DataFrame, segments: int, words: int, hashes: int, seed: int) -> Level:
+    """The words of each segment as one array, of bounded length."""
+    key = F.col("key")
+    places = F.explode(F.array(*_positions(key, words, hashes, seed))).alias("bit")
+    bits = keys.select(_segment(key, segments, seed).alias("segment"), places).select(
+        "segment",
         F.shiftright("bit", 6).cast("int").alias("word"),
         F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("bit", F.lit(WORD_BITS)).cast("int")).alias("mask"),
     )
-    blank = keys.sparkSession.range(words).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("long").alias("mask"))
-    per_word = bits.unionByName(blank).groupBy("word").agg(F.bit_or("mask").alias("mask"))
-    packed = per_word.agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("pairs"))
-    return Level(store(packed.select(F.transform("pairs", lambda p: p["mask"]).alias("bits")), "cascade-level"), words, hashes, seed)
+    blank = keys.sparkSession.range(segments * words).select(
+        F.floor(F.col("id") / words).cast("int").alias("segment"),
+        (F.col("id") % words).cast("int").alias("word"),
+        F.lit(0).cast("long").alias("mask"),
+    )
+    per_word = bits.unionByName(blank).groupBy("segment", "word").agg(F.bit_or("mask").alias("mask"))
+    packed = per_word.groupBy("segment").agg(F.sort_array(F.collect_list(F.struct("word", "mask"))).alias("pairs"))
+    stored = store(packed.select("segment", F.transform("pairs", lambda p: p["mask"]).alias("bits")), "cascade-level")
+    tables = [stored.where(F.col("segment") == n).select("bits") for n in range(segments)]
+    return Level(tables, words, hashes, seed)
 
 
 def _has(key: Column, level: Level) -> Column:
-    bits = level.bits.scalar()
+    bits = level.segments[0].scalar()
+    if len(level.segments) > 1:
+        segment = _segment(key, len(level.segments), level.seed)
+        for n, table in enumerate(level.segments[1:], 1):
+            bits = (F.when(segment == 0, bits) if n == 1 else bits).when(segment == n, table.scalar())
     tests = [
         F.getbit(F.get(bits, F.shiftright(p, 6).cast("int")), F.pmod(p, F.lit(WORD_BITS)).cast("int")) == 1
         for p in _positions(key, level.words, level.hashes, level.seed)

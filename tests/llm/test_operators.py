@@ -105,12 +105,17 @@ def test_cascade_is_exact(spark, listed):
     assert found.count() == 5002
 
 
-def test_oversized_cascade_joins_and_stays_exact(spark):
-    universe = keys(spark, [f"h{i}.net" for i in range(100)] + [None])
-    cascade = url_filter.BloomCascade.build(universe, keys(spark, ["h3.net", "h5.net"]), max_bytes=0)
+@pytest.mark.parametrize("segment_bytes, segments", [(8, 9), (64, 2)])
+def test_long_lists_are_cut_into_segments(spark, segment_bytes, segments):
+    """Levels of any size stay filters: no join, whatever fits into a segment."""
+    universe = keys(spark, [f"h{i}.net" for i in range(2000)] + [None])
+    wanted = {f"h{i}.net" for i in range(0, 2000, 28)}
+    cascade = url_filter.BloomCascade.build(universe, keys(spark, sorted(wanted)), segment_bytes=segment_bytes)
+    assert len(cascade.levels[0].segments) == segments and cascade.levels[0].words * 8 <= segment_bytes
     found = cascade.contains(universe.withColumn("probe", F.lit(1)), F.col("key"), "listed")
-    assert cascade.oversized and found.columns == ["key", "probe", "listed"]
-    assert sorted(r["key"] for r in found.where("listed").collect()) == ["h3.net", "h5.net"] and found.count() == 101
+    assert found.columns == ["key", "probe", "listed"] and found.count() == 2001
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["key"] for r in found.where("listed").collect()} == wanted
 
 
 def test_extra_columns_with_clashing_names(spark):
@@ -390,6 +395,25 @@ def test_names_are_read_as_far_as_they_go():
     assert lexed(f"color.{'x' * 75}pwd = 'aB3dE5fG7hI9kL1m'") == []
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        'pwd: str = "{}"', 'const authToken: string = "{}"', 'let credential: &str = "{}"', "pwd: Optional[str] = '{}'",
+        "pwd: str | None = '{}'", 'pwd += "{}"', 'pwd = ["{}"]', 'pwd = """{}"""', "pwd = '''{}'''", "<pwd>{}</pwd>",
+        '<pwd kind="x">{}</pwd>', 'pwd = os.getenv("X", "{}")', "pwd = f(\n  'x',\n  '{}',\n)", "pwd = f(other, '{}')",
+        "pwd = getenv('APP_SECRET_NAME9_OF_IT', '{}')", "a = ['{}']\npwd = a",
+    ],
+)
+def test_literals_behind_types_and_in_calls(text):
+    assert lexed(text.format("aB3dE5fG7hI9kL1m")) == ["aB3dE5fG7hI9kL1m"]
+
+
+def test_what_is_no_literal_of_a_sensitive_name():
+    for text in ("color: str = '{}'", "<p>{}</p>", "<pwd>{}</token>", "note: the value of x = '{}'", "f(pwd, '{}')"):
+        assert lexed(text.format("aB3dE5fG7hI9kL1m")) == [], text
+    assert lexed("part = 'aB3dE5fG'\npart += '7hI9kL1m'\npwd = part") == ["aB3dE5fG", "7hI9kL1m"]
+
+
 def test_names_hold_what_copied_lists_hold():
     """Random assignments against lists copied in full and names found in the whole text before."""
     rnd = random.Random(4)
