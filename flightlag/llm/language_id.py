@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flightlag.llm.common import bound_batches, discard, flat_text, lower_ascii, pieces, read_table, store_at
+from flightlag.llm.common import bound_batches, discard, flat_text, free_name, lower_ascii, pieces, read_table, store_at
 from flightlag.session import scratch_path
 
 #: Bytes of context at most.
@@ -258,11 +258,11 @@ class LanguageModel:
                     )
                     start = end
 
-        told = judge(F.col(text))
-        return docs.drop(pred, score).withColumn("_told", told).select(
-            *[c for c in docs.columns if c.lower() not in (pred.lower(), score.lower())],
-            F.col("_told.pred").alias(pred),
-            F.col("_told.score").alias(score),
+        told = free_name(docs, "told")
+        return docs.withColumn(told, judge(F.col(text))).select(
+            *[F.col(f"`{c}`") for c in docs.columns if c.lower() not in (pred.lower(), score.lower())],
+            F.col(f"{told}.pred").alias(pred),
+            F.col(f"{told}.score").alias(score),
         )
 
 
