@@ -3,6 +3,7 @@
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
 import corpus_pipeline
@@ -77,6 +78,23 @@ def test_empty_tables_and_whole_run(spark, sf_dir, empty_dir):
     assert whole.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and whole.count() > 50
 
 
+CLASHING = ["id", "hash", "rows", "row", "copies", "told", "lang_told", "score_told", "d", "k", "row_id", "text_hash", "a.b"]
+
+
+@pytest.mark.parametrize("stage", ["language_id", "simhash_dedup", "decontaminate", "mix_sources", "token_files"])
+def test_columns_of_any_name_stay(spark, awkward_dir, stage):
+    docs = spark.read.parquet(f"{awkward_dir}/documents.parquet")
+    more = docs.select("*", *[F.lit(f"mine {c}").alias(c) for c in CLASHING])
+    step = dict(corpus_pipeline.STAGES)[stage]
+    plain, kept = rows_of(step(spark, docs, awkward_dir)), step(spark, more, awkward_dir)
+    if stage != "token_files":
+        assert kept.columns == more.columns
+        assert all(r[c] == f"mine {c}" for r in rows_of(kept) for c in CLASHING)
+        assert Counter(map(key, rows_of(kept))) == Counter(map(key, plain))
+    else:
+        assert Counter(map(str, rows_of(kept))) == Counter(map(str, plain))
+
+
 def test_repeated_rows_stay_once(spark, awkward_dir):
     docs = spark.read.parquet(f"{awkward_dir}/documents.parquet")
     taken = corpus_pipeline.mix_sources(spark, docs.unionByName(docs), awkward_dir)
