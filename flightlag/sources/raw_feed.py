@@ -21,10 +21,10 @@ def read_text_feed(spark: SparkSession, path: str | list[str]) -> DataFrame:
     ).csv(path)
 
 
-def typed_projection(text: DataFrame) -> DataFrame:
-    """The declared columns only, each cast by its kind."""
+def typed_projection(text: DataFrame, *more: str) -> DataFrame:
+    """The declared columns only, each cast by its kind, and ``more`` as they are."""
     return text.select(
-        *[cast_text(F.col(f"`{source}`"), kind).alias(name) for source, name, kind in FEED_COLUMNS]
+        *[cast_text(F.col(f"`{source}`"), kind).alias(name) for source, name, kind in FEED_COLUMNS], *more
     )
 
 

@@ -44,7 +44,7 @@ def _names(spark: SparkSession, path: str) -> list[str]:
     return [s.getPath().getName() for s in system.listStatus(folder)] if system.exists(folder) else []
 
 
-def _read_small(spark: SparkSession, path: str) -> str:
+def read_small(spark: SparkSession, path: str) -> str:
     system, file = _folder(spark, path)
     stream = system.open(file)
     try:
@@ -53,7 +53,7 @@ def _read_small(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def _place_small(spark: SparkSession, path: str, text: str) -> bool:
+def place_small(spark: SparkSession, path: str, text: str) -> bool:
     """A short file that is there as a whole or not at all; False if the path is taken."""
     system, file = _folder(spark, path)
     if system.exists(file):
@@ -134,7 +134,7 @@ class TableStore:
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json") and not n.startswith("."))
 
     def _published(self, name: str, number: int) -> Version:
-        return Version(**json.loads(_read_small(self.spark, self._manifest(name, number))))
+        return Version(**json.loads(read_small(self.spark, self._manifest(name, number))))
 
     def version(self, name: str) -> Version | None:
         """The version of a table that this store reads."""
@@ -177,7 +177,7 @@ class TableStore:
     def _publish(self, name: str, version: Version) -> None:
         numbers = self._numbers(name)
         number = numbers[-1] + 1 if numbers else 1
-        while not _place_small(self.spark, self._manifest(name, number), json.dumps(asdict(version))):
+        while not place_small(self.spark, self._manifest(name, number), json.dumps(asdict(version))):
             number += 1
         self._versions[name] = version
         for old in numbers[: 1 - KEPT_VERSIONS]:

@@ -10,7 +10,7 @@ from flightlag.sources import raw_feed
 from flightlag.sources.airports import read_airport_file, with_overrides
 from flightlag.sources.schema import FEED_COLUMNS, FEED_SCHEMA, cast_text
 from flightlag.sources.sinks import json_document, write_csv, write_json_document
-from flightlag.streaming.landing import ingest_landing, text_schema, watch_landing
+from flightlag.streaming.landing import LANDED_FILE, Ledger, ingest_landing, text_schema, watch_landing
 
 
 @pytest.mark.parametrize(
@@ -162,6 +162,72 @@ def test_landing_files_are_stored_once(spark, tmp_path):
     assert run() == {(2024, 1, 3), (2024, 2, 3), (2024, 3, 3)}
 
 
+def landed(spark, *files):
+    """Rows of files: (name, months), the rows of a month as often as it is named."""
+    parts = [
+        feed(spark, [month]).withColumn(LANDED_FILE, F.lit(name)) for name, months in files for month in months
+    ]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    empty = spark.createDataFrame([], raw_feed.FEED_SCHEMA)
+    return empty.unionByName(whole, allowMissingColumns=True)
+
+
+def months(spark, root):
+    return {(r.year, r.month, r.rows) for r in raw_feed.stored_months(spark, root).collect()}
+
+
+def test_rows_that_repeat_stay_as_batches_keep_them(spark, tmp_path):
+    root, batch_root = str(tmp_path / "landed"), str(tmp_path / "batch")
+    twice = landed(spark, ("a", [(2024, 1), (2024, 1)]))
+    Ledger(spark, root + "-ledger").land(twice, 0, root)
+    raw_feed.write_months(twice.drop(LANDED_FILE), batch_root)
+    assert months(spark, root) == months(spark, batch_root) == {(2024, 1, 6)}
+    # A later file for the month adds its rows and keeps the others.
+    Ledger(spark, root + "-ledger").land(landed(spark, ("b", [(2024, 1), (2024, 2)])), 1, root)
+    assert months(spark, root) == {(2024, 1, 9), (2024, 2, 3)}
+
+
+def test_a_file_counts_once_whatever_its_name(spark, tmp_path):
+    root = str(tmp_path / "landed")
+    ledger = Ledger(spark, root + "-ledger")
+    first = landed(spark, ("a", [(2024, 1)]), ("copy of a", [(2024, 1)]), ("b", [(2024, 2)]))
+    ledger.land(first, 0, root)
+    assert months(spark, root) == {(2024, 1, 3), (2024, 2, 3)}
+    ledger.land(first, 0, root)
+    ledger.land(landed(spark, ("again", [(2024, 2)]), ("c", [(2024, 3)])), 0, root)  # a checkpoint begun anew
+    assert months(spark, root) == {(2024, 1, 3), (2024, 2, 3), (2024, 3, 3)}
+    assert ledger.files().count() == 3
+    ledger.land(first.limit(0), 2, root)
+    assert months(spark, root) == {(2024, 1, 3), (2024, 2, 3), (2024, 3, 3)}
+
+
+@pytest.mark.parametrize("stopped", ["read_small", "write_months", "place_small"])
+def test_a_batch_that_was_stopped_goes_on(spark, tmp_path, monkeypatch, stopped):
+    from flightlag.streaming import landing
+
+    root = str(tmp_path / "landed")
+    ledger = Ledger(spark, root + "-ledger")
+    ledger.land(landed(spark, ("a", [(2024, 1)])), 0, root)
+    batch = landed(spark, ("b", [(2024, 1), (2024, 2)]))
+    whole = getattr(landing, stopped)
+
+    def stop(*args):
+        if stopped == "write_months":
+            whole(*args)  # the months are there, the note is not
+        raise OSError("stopped")
+
+    monkeypatch.setattr(landing, stopped, stop)
+    with pytest.raises(OSError):
+        ledger.land(batch, 1, root)
+    monkeypatch.setattr(landing, stopped, whole)
+    for _ in range(2):
+        ledger.land(batch, 1, root)
+        assert months(spark, root) == {(2024, 1, 6), (2024, 2, 3)}
+    assert ledger.files().count() == 2
+
+
 def test_an_empty_store_has_no_months(spark, tmp_path):
     root = str(tmp_path / "none yet")
     assert raw_feed.stored_months(spark, root).count() == 0
