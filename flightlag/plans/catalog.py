@@ -35,6 +35,7 @@ from flightlag.sources.airports import MISSING, read_airport_file, with_override
 from flightlag.sources.event_feed import legs_from_events, station_zones
 from flightlag.sources.reference import inline_table, thanksgiving_periods
 from flightlag.sources.schema import cast_text
+from flightlag.streaming.landing import LANDED_FILE, Ledger
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -321,6 +322,21 @@ def ingest_month(x: Inputs) -> DataFrame:
     return raw_feed.stored_months(x.spark, x.once("topped-up", topped_up))
 
 
+@query
+def landed_months(x: Inputs) -> DataFrame:
+    """Files of a day each that land twice, under two names: every row is stored once."""
+
+    def landed() -> str:
+        root = scratch_path(x.spark, "landed-months")
+        feed = raw_feed.read_months(x.spark, x.month_root())
+        for number in range(2):
+            named = feed.withColumn(LANDED_FILE, F.concat_ws("-", F.lit(number), F.col("flight_date").cast("string")))
+            Ledger(x.spark, f"{root}-ledger").land(named, number, root)
+        return root
+
+    return raw_feed.stored_months(x.spark, x.once("landed-months", landed))
+
+
 @query
 def inline_reference(x: Inputs) -> DataFrame:
     """Inherited delay priced at every published rate."""

@@ -74,6 +74,11 @@ oracle(
     "i:year,month,rows",
     "SELECT year, month, count(*) AS rows FROM feed GROUP BY year, month",
 )
+oracle(
+    "landed_months",
+    "i:year,month,rows",
+    "SELECT year, month, count(*) AS rows FROM feed GROUP BY year, month",
+)
 oracle(
     "inline_reference",
     "s:assumption d:value i:inherited_minutes d:usd",
