@@ -13,6 +13,10 @@ from flightlag.llm.simhash import near_groups
 from flightlag.llm.token_files import token_output
 
 
+#: Words a worker remembers for the token files: it shares its executor with what the stages before left there.
+CACHED_WORDS = 150_000
+
+
 def _as_rows(docs: DataFrame) -> DataFrame:
     """(row, id, hash): all columns of a document as one, so that no name of theirs meets one of a stage."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
@@ -95,7 +99,7 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are their end alone. Repeated rows and ids stay, rows without an id
     come first; an empty table gives no rows. Only id and text are read.
     """
-    return token_output(spark, docs.select("doc_id", "text"))
+    return token_output(spark, docs.select("doc_id", "text"), cached_words=CACHED_WORDS)
 
 
 STAGES = [

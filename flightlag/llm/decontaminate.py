@@ -180,6 +180,10 @@ def extend(words: pa.Array, position: pa.Array, own: pa.Array, text: pa.Array, o
     return pa.array(out, pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
 
 
+# Else the filter on its result runs it a second time, in a second worker of the same task.
+extend = extend.asNondeterministic()
+
+
 def covered(spans: Column) -> Column:
     """Number of positions in a union of spans."""
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("sum"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -204,10 +205,13 @@ class LanguageModel:
             return cls([])
         steps = 1 << 30
         draw = F.pmod(F.xxhash64(F.col("doc_id"), F.col("text")), F.lit(steps))
-        shares = spark.createDataFrame(
-            [(name, i, min(steps, -(-fit_documents * steps // n))) for i, (name, n) in enumerate(found)],
-            "_name string, _number int, _share long",
-        )
+        # As text: rows handed over from Python would start workers of another kind.
+        rows = [
+            {"_name": name, "_number": i, "_share": min(steps, -(-fit_documents * steps // n))}
+            for i, (name, n) in enumerate(found)
+        ]
+        kind = "array<struct<_name:string,_number:int,_share:long>>"
+        shares = spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kind)))
         # One row per language.
         chosen = taught.join(F.broadcast(shares), F.col("lang") == F.col("_name")).where(draw < F.col("_share"))
         counted = (

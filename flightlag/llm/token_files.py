@@ -48,7 +48,8 @@ class WordEncoder:
     are looked up one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cached_words: int = CACHED_WORDS):
+        self.cached_words = cached_words
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -87,7 +88,7 @@ class WordEncoder:
 
     def _remember(self, words: list[str]) -> list[bytes]:
         """Ids of ``words``, none for what is no word."""
-        if len(self.known) > CACHED_WORDS:
+        if len(self.known) > self.cached_words:
             self.known.clear()
         ids = list(map(self.known.get, words))
         new = [w for w, found in zip(words, ids) if found is None]
@@ -116,7 +117,7 @@ class WordEncoder:
 
     def _first(self, words: set[str]) -> None:
         """Ids of words that begin a text, with no blank before them."""
-        if len(self.first) + len(self.signs) > CACHED_WORDS:
+        if len(self.first) + len(self.signs) > self.cached_words:
             self.first.clear()
             self.signs.clear()
         new = [w for w in _words_among(list(words.difference(self.first))) if w[0] != "\n"]
@@ -167,15 +168,15 @@ def _words_among(parts: list[str]) -> list[str]:
 
 
 @lru_cache(maxsize=1)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, cached_words: int = CACHED_WORDS) -> WordEncoder:
+    return WordEncoder(path, cached_words)
 
 
-def _tokenise(path: str, end_id: int) -> Callable:
+def _tokenise(path: str, end_id: int, cached_words: int) -> Callable:
     """Rows (doc_id, text) in order to raw blocks of whole documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _encoder(path)
+        coder = _encoder(path, cached_words)
         end = np.array([end_id], coder.kind).tobytes()
         part = TaskContext.get().partitionId()
         doc_ids, ids, held, block, first = [], [], 0, 0, 0
@@ -251,7 +252,13 @@ def _encode(table: Table, kind: str) -> Callable:
 
 
 def write_token_files(
-    docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    path: str,
+    tokenizer: str,
+    end_id: int = END_ID,
+    id_col: str = "doc_id",
+    text: str = "text",
+    cached_words: int = CACHED_WORDS,
 ) -> None:
     """Write the ids of all documents below ``path`` in ascending order of ``id_col``.
 
@@ -264,6 +271,8 @@ def write_token_files(
 
     Texts are dealt out once, by ranges of the id. Counts come from all raw blocks,
     one number per id of the vocabulary. The raw blocks are removed afterwards.
+    ``cached_words`` is about how many words each worker remembers, over tasks: the ids
+    do not depend on it, time and memory do.
     """
     spark = docs.sparkSession
     bound_batches(spark)
@@ -271,7 +280,7 @@ def write_token_files(
     order = [F.col("doc_id").asc(), F.xxhash64("text").asc()]
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     raw_path = scratch_path(spark, "raw-blocks")
-    raw = store_at(ranged.mapInArrow(_tokenise(tokenizer, end_id), RAW_SCHEMA), raw_path)
+    raw = store_at(ranged.mapInArrow(_tokenise(tokenizer, end_id, cached_words), RAW_SCHEMA), raw_path)
     kind = _encoder(tokenizer).kind.str
     counts = raw.select("ids").mapInArrow(_count(kind), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     stored = store_at(counts, f"{path}/table")
@@ -357,10 +366,12 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def token_output(spark: SparkSession, docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+def token_output(
+    spark: SparkSession, docs: DataFrame, tokenizer: str | None = None, cached_words: int = CACHED_WORDS
+) -> DataFrame:
     """Write token files of ``docs`` to a fresh folder and read them back."""
     path = scratch_path(spark, "token-files")
-    write_token_files(docs, path, tokenizer or default_tokenizer())
+    write_token_files(docs, path, tokenizer or default_tokenizer(), cached_words=cached_words)
     return read_token_files(spark, path)
 
 

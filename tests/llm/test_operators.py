@@ -312,6 +312,35 @@ def test_word_encoder_agrees_with_the_tokenizer(sf_dir):
         assert list(memoryview(ids).cast("H")) == tokenizer.encode(text, add_special_tokens=False).ids, text
 
 
+def test_word_encoder_with_few_words_remembered(sf_dir):
+    path = token_files.default_tokenizer()
+    texts = [d["text"] for d in brute.table(sf_dir, "documents") if d["text"]]
+    few, whole = token_files.WordEncoder(path, cached_words=50), token_files.WordEncoder(path)
+    want = whole.encode(texts)
+    assert [i for t in texts for i in few.encode([t])] == want
+    assert len(few.known) < len(whole.known) / 2
+
+
+def test_spans_are_extended_once(spark, sf_dir):
+    found = decontaminate.op6_decontaminate(spark, sf_dir)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_fit_hands_no_rows_over_from_python(spark, monkeypatch):
+    names = ['a "quoted" one', "b\nline", "\u00e9\u4e2d"]
+    docs = spark.createDataFrame(
+        [(i, f"{'xyz'[i % 3] * 9} {i}", names[i % 3]) for i in range(30)], "doc_id long, text string, lang string"
+    )
+
+    def refused(*_):
+        raise AssertionError("rows from Python")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    model = language_id.LanguageModel.fit(docs)
+    assert model.statistics.languages == tuple(sorted(names))
+
+
 def test_files_give_back_all_ids(spark, awkward_dir, monkeypatch):
     docs = spark.read.parquet(f"{awkward_dir}/documents.parquet").withColumn("part", F.lit("mine"))
     path = scratch_path(spark, "tokens")
