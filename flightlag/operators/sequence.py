@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from flightlag.sources.tables import keep_in_scratch
 
 CHUNK = "_chunk"
+#: Rows that a task sorts, of a table whose number of rows is known.
+ROWS_IN_TASK = 100_000
 #: Stores a small table and reads it back: (table, label) to table.
 Keep = Callable[[DataFrame, str], DataFrame]
 
@@ -232,9 +234,26 @@ def per_entity(seq: Chunked, figures: dict[str, Column]) -> Chunked:
     return seq.with_rows(rows.join(totals, list(seq.entity), "left").withColumns(whole).drop("_whole"))
 
 
-def sequence_entities(df: DataFrame, cuts: Cuts, seq_name: str = "leg_seq", prefix: str = "prev_") -> Chunked:
-    """Number the rows of every entity and bring the carried columns of the previous row along."""
-    seq = cut_sequences(df, cuts)
+def _dealt(seq: Chunked, rows: int) -> Chunked:
+    """Deal out ``rows`` rows so that a task sorts about ROWS_IN_TASK, however few shuffle partitions are set.
+
+    A small table is left to the exchange of the windows.
+    """
+    tasks = -(-rows // ROWS_IN_TASK)
+    if tasks <= seq.rows.sparkSession.sparkContext.defaultParallelism:
+        return seq
+    # Without cuts the chunk is a constant.
+    return seq.with_rows(seq.rows.repartition(tasks, *(seq.keys if seq.is_cut else seq.entity)))
+
+
+def sequence_entities(
+    df: DataFrame, cuts: Cuts, seq_name: str = "leg_seq", prefix: str = "prev_", rows: int = 0
+) -> Chunked:
+    """Number the rows of every entity and bring the carried columns of the previous row along.
+
+    ``rows`` is how many there are, if that is known: the number of tasks grows with them.
+    """
+    seq = _dealt(cut_sequences(df, cuts), rows)
     window = seq.window()
     new = {seq_name: _row_number(seq)}
     at_edge = F.row_number().over(window) == 1

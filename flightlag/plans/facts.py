@@ -129,16 +129,20 @@ def rotation_cuts(flights: DataFrame, settings: Settings = Settings(), keep: Kee
 
 
 def rotation_links(
-    flights: DataFrame, settings: Settings = Settings(), cuts: Cuts | None = None, keep: Keep = keep_in_scratch
+    flights: DataFrame,
+    settings: Settings = Settings(),
+    cuts: Cuts | None = None,
+    keep: Keep = keep_in_scratch,
+    rows: int = 0,
 ) -> DataFrame:
     """Legs of each aircraft in order, linked into turns and cascades.
 
     Sequence, links and islands share one scan and one exchange by aircraft. Cascades
     depend on the links and the reported causes only, so they are found here rather than
-    after the benchmark join.
+    after the benchmark join. ``rows`` is how many flights there are, if that is known.
     """
     legs = flyable_legs(flights).drop(*SAME_WHEN_FLOWN)
-    seq = sequence_entities(legs, cuts or rotation_cuts(flights, settings, keep))
+    seq = sequence_entities(legs, cuts or rotation_cuts(flights, settings, keep), rows=rows)
     links = chain_legs(seq, settings, keep).drop_chunk()
     return links.select("tail_number", *[c for c in links.columns if c != "tail_number"])
 

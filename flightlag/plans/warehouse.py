@@ -181,7 +181,9 @@ class Warehouse:
         """Linked legs by month: one shuffle by aircraft, one to lay out the files."""
         links = self._table(
             "int_rotation_leg",
-            lambda: facts.rotation_links(self.flight(), self.settings, self.rotation_cuts(), self._keep),
+            lambda: facts.rotation_links(
+                self.flight(), self.settings, self.rotation_cuts(), self._keep, self.row_count("fct_flight")
+            ),
             ("year", "month"),
             compact=True,
         )

@@ -90,6 +90,17 @@ def test_one_entity_holds_everything(spark):
     assert biggest <= 50
 
 
+@pytest.mark.parametrize("max_rows", [10**6, 40])
+def test_tasks_grow_with_the_rows(spark, monkeypatch, max_rows):
+    rows = make_rows(6)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr("flightlag.operators.sequence.ROWS_IN_TASK", len(rows) // 40)
+    cuts = cuts_of(frame, max_rows)
+    numbered = sequence_entities(frame, cuts, "seq", "prev_", rows=len(rows)).drop_chunk()
+    assert numbered.rdd.getNumPartitions() >= 40 > 8
+    assert {r.tie: (r.seq, r.prev_tie) for r in numbered.collect()} == {t: e[:2] for t, e in expected(rows).items()}
+
+
 def test_one_second_is_cut_too(spark):
     rows = [("a", START, i, i % 7 > 0) for i in range(100_000)]
     seq, got = computed(spark.createDataFrame(rows, SCHEMA), 9_000)
