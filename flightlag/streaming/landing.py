@@ -98,11 +98,17 @@ class Ledger:
                 known = self.files().where(F.col("batch") != key)
                 new = files.join(known, list(self.DIGEST), "left_anti").dropDuplicates(list(self.DIGEST))
                 new.withColumn("batch", F.lit(key)).write.parquet(new_path)
-                self._lay_out(key, landed, self.spark.read.schema(self.FILES).parquet(new_path), root)
-            laid_out = read_small(self.spark, self._note("laid-out", key))
-            write_months(self.spark.read.schema(FEED_SCHEMA).parquet(laid_out), root)
-            place_small(self.spark, self._note("done", key), "")
-            delete_folder(self.spark, laid_out)
+                added = self.spark.read.schema(self.FILES).parquet(new_path)
+                # A batch of known files changes no month.
+                if not added.isEmpty():
+                    self._lay_out(key, landed, added, root)
+            if folder_exists(self.spark, self._note("laid-out", key)):
+                laid_out = read_small(self.spark, self._note("laid-out", key))
+                write_months(self.spark.read.schema(FEED_SCHEMA).parquet(laid_out), root)
+                place_small(self.spark, self._note("done", key), "")
+                delete_folder(self.spark, laid_out)
+            else:
+                place_small(self.spark, self._note("done", key), "")
         delete_folder(self.spark, landed_path)
         delete_folder(self.spark, new_path)
 

@@ -203,6 +203,21 @@ def test_a_file_counts_once_whatever_its_name(spark, tmp_path):
     assert months(spark, root) == {(2024, 1, 3), (2024, 2, 3), (2024, 3, 3)}
 
 
+def test_a_batch_of_known_files_lays_nothing_out(spark, tmp_path, monkeypatch):
+    from flightlag.streaming import landing
+
+    root = str(tmp_path / "landed")
+    ledger = Ledger(spark, root + "-ledger")
+    ledger.land(landed(spark, ("a", [(2024, 1)])), 0, root)
+
+    def refused(*_):
+        raise AssertionError("months are written again")
+
+    monkeypatch.setattr(landing, "write_months", refused)
+    ledger.land(landed(spark, ("again", [(2024, 1)])), 1, root)
+    assert months(spark, root) == {(2024, 1, 3)}
+
+
 @pytest.mark.parametrize("stopped", ["read_small", "write_months", "place_small"])
 def test_a_batch_that_was_stopped_goes_on(spark, tmp_path, monkeypatch, stopped):
     from flightlag.streaming import landing
