@@ -195,7 +195,7 @@ class Inputs:
             feed = raw_feed.read_months(self.spark, self.month_root())
             month = F.struct("year", "month")
             first = feed.agg(F.min(month)).scalar()
-            raw_feed.write_months(feed.filter(month == first), path)
+            raw_feed.write_months(feed.filter(month == first), path, laid_out=True)
             return path
 
         return self.once("first-month", write)
@@ -309,14 +309,14 @@ def ingest_month(x: Inputs) -> DataFrame:
     def topped_up() -> str:
         root = scratch_path(x.spark, "topped-up")
         first = raw_feed.read_months(x.spark, x.first_month_root())
-        raw_feed.write_months(first, root)
+        raw_feed.write_months(first, root, laid_out=True)
         typed = raw_feed.read_months(x.spark, x.month_root())
         new = raw_feed.months_to_ingest(
             _wanted_months(x),
             typed.select("year", "month"),
             raw_feed.stored_months(x.spark, x.first_month_root()),
         )
-        raw_feed.ingest_new_months(typed, new, root)
+        raw_feed.ingest_new_months(typed, new, root, laid_out=True)
         return root
 
     return raw_feed.stored_months(x.spark, x.once("topped-up", topped_up))

@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+#: HotSpot interprets longer methods for good. Spark's limit is 65,535, and stages over rows as wide as ours pass 8,000.
+COMPILED_BYTES = "8000"
+
 
 def build_session(app: str = "flightlag", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC clocks and adaptive execution.
@@ -37,6 +40,7 @@ def pin_session(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     # Plain longs with min/max statistics instead of INT96.
     spark.conf.set("spark.sql.parquet.outputTimestampType", "TIMESTAMP_MICROS")
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", COMPILED_BYTES)
     return spark
 
 

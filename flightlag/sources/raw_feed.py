@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from flightlag.sources.reference import one_row
 from flightlag.sources.schema import FEED_COLUMNS, FEED_SCHEMA, cast_text, text_cell
-from flightlag.sources.tables import folder_exists
+from flightlag.sources.tables import folder_exists, keep_in_scratch
 
 ENCODING = "ISO-8859-1"
 
@@ -45,15 +45,16 @@ def write_text_feed(typed: DataFrame, path: str) -> None:
     ).csv(path)
 
 
-def write_months(typed: DataFrame, root: str) -> None:
+def write_months(typed: DataFrame, root: str, laid_out: bool = False) -> None:
     """Store rows in a folder per month, replacing only the months they hold.
 
     ``rebalance`` sizes the files: a month larger than a file is split over
-    tasks, small months are not scattered.
+    tasks, small months are not scattered. Rows that are read from a month store are
+    ``laid_out``: their files have a month each, so they are written without a shuffle.
     """
+    dealt = typed if laid_out else typed.hint("rebalance", "year", "month")
     (
-        typed.hint("rebalance", "year", "month")
-        .write.mode("overwrite")
+        dealt.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("compression", "zstd")
         .partitionBy("year", "month")
@@ -114,9 +115,12 @@ def months_to_ingest(wanted: DataFrame, upstream: DataFrame, stored: DataFrame)
     return month_status(wanted, upstream, stored).filter("status = 'to_ingest'").drop("status")
 
 
-def ingest_new_months(typed: DataFrame, wanted_months: DataFrame, root: str) -> None:
+def ingest_new_months(typed: DataFrame, wanted_months: DataFrame, root: str, laid_out: bool = False) -> None:
     """Store the rows of the given months; other stored months stay as they are."""
-    write_months(typed.join(wanted_months, ["year", "month"], "left_semi"), root)
+    if laid_out:
+        # A stored table is known to be short, so the rows stay where they are in the join.
+        wanted_months = keep_in_scratch(wanted_months, "wanted-months")
+    write_months(typed.join(wanted_months, ["year", "month"], "left_semi"), root, laid_out)
 
 
 def empty_months(spark: SparkSession) -> DataFrame:

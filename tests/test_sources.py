@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from flightlag.operators.filters import Slice
+from flightlag.session import pin_session
 from flightlag.sources import raw_feed
 from flightlag.sources.airports import read_airport_file, with_overrides
 from flightlag.sources.schema import FEED_COLUMNS, FEED_SCHEMA, cast_text
@@ -278,3 +279,23 @@ def test_filters(spark):
     assert Slice().describe() == "all carriers" and not Slice().is_narrowed
     text = Slice(["AA", "DL"], ["ORD"], dt.date(2024, 1, 1), dt.date(2024, 2, 1)).describe()
     assert text == "AA, DL · via ORD · 2024-01-01 to 2024-02-01"
+
+
+def test_stored_months_are_ingested_without_a_shuffle_of_rows(spark, tmp_path, monkeypatch):
+    store, root = str(tmp_path / "store"), str(tmp_path / "months")
+    raw_feed.write_months(feed(spark, [(2024, 1), (2024, 2), (2024, 2)]), store)
+    written = []
+    keep = raw_feed.write_months
+    monkeypatch.setattr(raw_feed, "write_months", lambda rows, *more: (written.append(rows), keep(rows, *more)))
+    wanted = spark.sql("SELECT 2024 AS year, 2 AS month, uuid() AS id").repartition(2).select("year", "month").distinct()
+    raw_feed.ingest_new_months(raw_feed.read_months(spark, store), wanted, root, laid_out=True)
+    plan = written[0]._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+    assert [tuple(r) for r in raw_feed.stored_months(spark, root).collect()] == [(2024, 2, 6)]
+
+
+def test_wide_stages_are_compiled(spark):
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "65535")
+    pin_session(spark)
+    # HotSpot does not compile methods of more than 8,000 bytes.
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
