@@ -83,6 +83,9 @@ CARRIED = [
     "inherited_delay_minutes",
     "primary_cause",
 ]
+# What links legs besides their order and the columns carried over.
+LINKING = ["actual_dep_utc"]
+BESIDE = "_beside"
 
 
 def fct_flight(staged: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -142,9 +145,21 @@ def rotation_links(
     after the benchmark join. ``rows`` is how many flights there are, if that is known.
     """
     legs = flyable_legs(flights).drop(*SAME_WHEN_FLOWN)
-    seq = sequence_entities(legs, cuts or rotation_cuts(flights, settings, keep), rows=rows)
-    links = chain_legs(seq, settings, keep).drop_chunk()
-    return links.select("tail_number", *[c for c in links.columns if c != "tail_number"])
+    cuts = cuts or rotation_cuts(flights, settings, keep)
+    links = chain_legs(sequence_entities(_packed(legs, settings), cuts, rows=rows), settings, keep).drop_chunk()
+    own = ["tail_number", *[c for c in legs.columns if c != "tail_number"]]
+    told = [c for c in links.columns if c not in (*own, BESIDE)]
+    return links.select(*[F.col(c if c in links.columns else f"{BESIDE}.{c}") for c in own], *told)
+
+
+def _packed(legs: DataFrame, settings: Settings) -> DataFrame:
+    """Legs with all that neither orders nor links them in one struct.
+
+    Every window copies its rows; a struct is copied as a whole, its columns are not.
+    """
+    used = {"tail_number", *leg_order(settings), *CARRIED, *LINKING}
+    beside = [c for c in legs.columns if c not in used]
+    return legs.select(*[c for c in legs.columns if c in used], *([F.struct(*beside).alias(BESIDE)] if beside else []))
 
 
 def chain_legs(seq: Chunked, settings: Settings, keep: Keep = keep_in_scratch) -> Chunked:

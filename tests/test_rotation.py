@@ -7,7 +7,9 @@ from flightlag.operators.benchmark import benchmark_floor
 from flightlag.operators.buffer import buffer_curve, simulate_buffer
 from flightlag.operators.cascades import roll_up_islands
 from flightlag.operators.propagation import propagate
-from flightlag.operators.turns import link_turns, real_tail
+from flightlag.operators.turns import flyable_legs, link_turns, real_tail
+from flightlag.plans.catalog import inputs
+from flightlag.plans.facts import BESIDE, SAME_WHEN_FLOWN, rotation_links
 
 LINK = (
     "origin string, prev_dest string, sched_dep_utc timestamp, prev_sched_arr_utc timestamp,"
@@ -149,3 +151,14 @@ def test_roll_up(spark):
         ("N1A", 1): (3, 28, 2, 48, 2.4, 4723.68),
         ("N1A", 2): (0, 0, 0, 7, 1.0, 688.87),
     }
+
+
+def test_windows_carry_what_they_do_not_use_in_one_column(spark, sf_dir):
+    wh = inputs(spark, sf_dir).warehouse()
+    flights = wh.flight()
+    links = rotation_links(flights, wh.settings, wh.rotation_cuts())
+    assert f"AS {BESIDE}" in links._jdf.queryExecution().optimizedPlan().toString()
+    own = [c for c in flights.columns if c not in (*SAME_WHEN_FLOWN, "tail_number")]
+    assert links.columns[: len(own) + 1] == ["tail_number", *own]
+    legs = flyable_legs(flights).select("tail_number", *own)
+    assert links.select(*legs.columns).exceptAll(legs).isEmpty() and links.count() == legs.count()
