@@ -341,7 +341,7 @@ def landed_months(x: Inputs) -> DataFrame:
 def inline_reference(x: Inputs) -> DataFrame:
     """Inherited delay priced at every published rate."""
     wh = x.warehouse()
-    minutes = wh.flight().agg(F.sum("inherited_delay_minutes")).scalar()
+    minutes = wh.flight_once(instants=False).agg(F.sum("inherited_delay_minutes")).scalar()
     return wh.cost_assumptions().select(
         "assumption", "value", minutes.alias("inherited_minutes"), (minutes * F.col("value")).alias("usd")
     )
@@ -382,19 +382,19 @@ on_warehouse("stg_flight", lambda wh: wh.stg_flight().select(
     "event_id", "origin", "dest", "origin_tz", "dest_tz", "sched_dep_local", "sched_dep_utc",
     "is_schedule_valid", "sched_arr_utc", "actual_dep_utc", "actual_arr_utc",
 ))
-on_warehouse("fct_flight", lambda wh: wh.flight())
-on_warehouse("delay_split", lambda wh: wh.flight().select(
+on_warehouse("fct_flight", lambda wh: wh.flight_once())
+on_warehouse("delay_split", lambda wh: wh.flight_once(instants=False).select(
     *FLIGHT_KEY, "root_delay_minutes", "inherited_delay_minutes", "controllable_root_minutes",
     "external_root_minutes", "has_cause_attribution", "has_complete_attribution",
 ))
-on_warehouse("primary_cause", lambda wh: wh.flight().groupBy("carrier", "primary_cause").agg(
+on_warehouse("primary_cause", lambda wh: wh.flight_once(instants=False).groupBy("carrier", "primary_cause").agg(
     F.count("*").alias("flights"),
     F.sum("arr_delay_minutes").alias("delay_minutes"),
 ))
-on_warehouse("cancellation_reason", lambda wh: wh.flight().groupBy(
+on_warehouse("cancellation_reason", lambda wh: wh.flight_once(instants=False).groupBy(
     "cancellation_code", "cancellation_reason"
 ).agg(F.count("*").alias("flights")))
-on_warehouse("flyable_legs", lambda wh: flyable_legs(wh.flight()).select(
+on_warehouse("flyable_legs", lambda wh: flyable_legs(wh.flight_once()).select(
     *FLIGHT_KEY, "origin", "dest", "sched_dep_utc", "actual_arr_utc"
 ))
 

@@ -96,6 +96,10 @@ class Warehouse:
             return read_months(self.spark, self._feed)
         return self._table("feed", lambda: self._feed, ("year", "month"), compact=True)
 
+    def _feed_once(self) -> DataFrame:
+        """The typed feed for one reading: what is not stored yet is not stored for it."""
+        return self.feed() if isinstance(self._feed, str) or self.store.has("feed") else self._feed
+
     def stg_airport(self) -> DataFrame:
         return self._table("stg_airport", lambda: with_overrides(self._airports))
 
@@ -171,6 +175,20 @@ class Warehouse:
             ("year", "month"),
         )
 
+    def flight_once(self, instants: bool = True) -> DataFrame:
+        """The flight fact for one reading: as stored or else, being row-wise, as it is read.
+
+        Then nothing is written for it, and only what is asked for is worked out. ``instants``
+        says whether columns of instants are asked for: these need the table of clock offsets,
+        and that the stored feed. They are right without, but zone rules are looked up per flight.
+        """
+        if self.store.has("fct_flight"):
+            return self.flight()
+        if instants:
+            return facts.fct_flight(self.stg_flight(), self.settings)
+        staged = staging.stg_flight(self._feed_once(), self.stg_airport(), self.settings.clock)
+        return facts.fct_flight(staged, self.settings)
+
     def rotation_cuts(self) -> Cuts:
         """Where very long sequences are cut: small tables, found once."""
         if self._cuts is None:

@@ -14,7 +14,7 @@ from flightlag.functions.numeric import ratio
 from flightlag.operators.cascades import roll_up_islands
 from flightlag.operators.checks import Check, Groups, equal, no_group, none, run_checks
 from flightlag.operators.filters import Slice
-from flightlag.plans import explore, exports, facts, marts, quality
+from flightlag.plans import catalog, explore, exports, facts, marts, quality
 from flightlag.plans.catalog import FEED_SETTINGS, Inputs, inputs
 from flightlag.sources.airports import read_airport_file
 from flightlag.sources.event_feed import legs_from_events
@@ -119,6 +119,33 @@ def test_a_stored_feed_is_read_where_it_lies(spark, sf_dir):
     assert not folder_exists(spark, wh.store.root) and folder_exists(spark, x.month_root())
 
 
+ONE_READING = ["cancellation_reason", "primary_cause", "delay_split", "inline_reference"]
+
+
+def test_one_reading_of_the_fact_stores_neither_fact_nor_feed(spark, sf_dir, wh, monkeypatch):
+    stored = {name: entry_module.QUERIES[name](spark, sf_dir) for name in ONE_READING}
+    assert all("fct_flight" in str(stored[name].inputFiles()) for name in ONE_READING if name != "inline_reference")
+    monkeypatch.setattr(catalog, "_INPUTS", {})
+    for name in ONE_READING:
+        assert same(entry_module.QUERIES[name](spark, sf_dir), stored[name])
+    fresh = inputs(spark, sf_dir).warehouse()
+    assert fresh is not wh and not fresh.store.has("feed") and not fresh.store.has("fct_flight")
+
+
+def test_the_fact_is_the_same_as_stored_and_as_read(spark, sf_dir, wh):
+    """Codes that the airport file repeats repeat legs either way."""
+    x = inputs(spark, sf_dir)
+    airports = read_airport_file(spark, x.airport_file())
+    for rows in (airports, airports.unionByName(airports.filter("airport_code = 'DEN'"))):
+        house = Warehouse(spark, x.legs(), rows, FEED_SETTINGS)
+        plain = house.flight_once(instants=False)
+        assert not house.store.has("feed")
+        read = house.flight_once()
+        assert not house.store.has("fct_flight") and same(plain, read)
+        assert same(read, house.flight()) and "fct_flight" in str(house.flight_once(instants=False).inputFiles())
+    assert house.row_count("fct_flight") > wh.row_count("fct_flight")
+
+
 def test_cascades_take_one_scan_and_one_shuffle(wh):
     text = plan(roll_up_islands(wh.rotation_links(), F.lit(98.41)))
     assert text.count("FileScan") == 1 and text.count("Exchange") == 1 and "Join" not in text
